@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("listing", "lookups")
+MODULES = ("listing", "lookups", "sheets")
 
 
 def load_all() -> None:
