@@ -165,16 +165,22 @@ def evaluation_rates(results: DataFrame) -> DataFrame:
 # -- ordered budgets ---------------------------------------------------------
 
 
-def running_budget(calls: DataFrame, tenants: DataFrame, slot: str = "hour") -> DataFrame:
+def running_budget(
+    calls: DataFrame, tenants: DataFrame, slot: str = "hour", month: Column | None = None
+) -> DataFrame:
     """Admit calls in time order while the month's earlier tokens are below the cap.
 
     The prefix sum is built in two levels so that no tenant is ordered in one
     task: totals per time slot are summed over slots (at most 744 hours a month),
-    and only calls inside one slot are ordered against each other.
+    and only calls inside one slot are ordered against each other.  Because tokens
+    are never negative, a refused call cannot be followed by an admitted one, so
+    summing all earlier calls equals summing the admitted ones.
     """
+    if month is None:
+        month = F.date_trunc("month", "created_at")
     keys = ["tenant_id", "month", "slot"]
     timed = calls.withColumns(
-        {"month": F.date_trunc("month", "created_at"), "slot": F.date_trunc(slot, "created_at")}
+        {"month": month, "slot": F.date_trunc(slot, "created_at")}
     )
     per_slot = timed.groupBy(*keys).agg(F.sum("total_tokens").alias("slot_tokens"))
     over_slots = Window.partitionBy("tenant_id", "month").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -129,17 +129,14 @@ def schema_keys(
         source = own.filter(F.col("id") == template_id).select(F.col("field_mappings").alias("config"))
     elif document_type is not None:
         typed = types.filter(F.col("name") == document_type)
-        promoted = (
-            own.filter("status = 'promoted'")
-            .join(typed.select(F.col("id").alias("document_type_id")), "document_type_id", "left_semi")
-            .agg(F.min_by("field_mappings", "id").alias("config"), F.count("*").alias("n"))
+        promoted = own.filter("status = 'promoted'").join(
+            typed.select(F.col("id").alias("document_type_id")), "document_type_id", "left_semi"
         )
         visible = typed.filter((F.col("tenant_id") == tenant) | F.col("tenant_id").isNull())
-        fallback = visible.agg(F.min_by("json_schema", "id").alias("type_config"))
-        # Two one-row results side by side.
-        source = promoted.join(fallback, F.lit(True)).select(
-            F.when(F.col("n") > 0, F.col("config")).otherwise(F.col("type_config")).alias("config")
+        ranked = promoted.select(F.lit(0).alias("step"), "id", F.col("field_mappings").alias("config")).unionByName(
+            visible.select(F.lit(1).alias("step"), "id", F.col("json_schema").alias("config"))
         )
+        source = ranked.agg(F.min_by("config", F.struct("step", "id")).alias("config"))
     else:
         source = own.filter(F.lit(False)).select(F.col("field_mappings").alias("config"))
     return split_config(source, "config").select(F.explode(F.map_keys("clean_schema")).alias("raw"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("listing", "lookups", "sheets")
+MODULES = ("listing", "lookups", "sheets", "extraction")
 
 
 def load_all() -> None:

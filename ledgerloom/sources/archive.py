@@ -7,6 +7,8 @@ The text is plain SQL that both Spark and the checking database accept, with
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TENANT = "concat('t', CAST({key} % 25 AS STRING))"
@@ -45,6 +47,14 @@ _EXTRACTED = f"""CASE
         '","products":[1,{{{{"item_description":"Gear","parent_quantity":3,"parent_total_amount":"9.99"}}}},{{{{}}}}]}}}}')
     END"""
 
+_MONTH_NAME = "CASE month(o_orderdate) " + " ".join(
+    f"WHEN {i} THEN '{m}'"
+    for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), start=1)
+) + " END"
+_ISO_DATE = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+_DUE_DATE = "CAST(CAST(o_orderdate + INTERVAL '30' DAY AS DATE) AS STRING)"
+_KEY = "CAST(o_orderkey AS STRING)"
+
 # {name} is a parquet table; {{ }} are literal braces.
 TABLES: dict[str, str] = {
     "archive": f"""
@@ -179,6 +189,48 @@ FROM {events}""",
 SELECT event_id AS id, event_id % 7000 AS document_id, ts AS created_at,
   CAST(event_id % 45 - 5 AS INT) AS requested_days
 FROM {events}""",
+    "invoice_lines": """
+SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS items_total,
+  listagg(concat('Part ', CAST(l_partkey AS STRING), ' ', CAST(CAST(l_quantity AS INT) AS STRING), ' ',
+    CAST(CAST(floor(l_extendedprice / l_quantity) AS BIGINT) AS STRING), '.00 ',
+    CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING)), chr(10))
+  WITHIN GROUP (ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS body
+FROM {lineitem} GROUP BY l_orderkey""",
+    # Invoice, receipt and other texts written out from orders and their lines.
+    "rendered": f"""
+SELECT o_orderkey AS id, o_custkey, o_orderdate, items_total, CASE o_orderkey % 8
+  WHEN 0 THEN concat('Acme Trading ', CAST(o_custkey % 50 AS STRING), chr(10), 'TAX INVOICE', chr(10), 'Invoice No: INV-', {_KEY}, chr(10),
+    'Invoice Date: ', {_ISO_DATE}, chr(10), 'Due Date: ', {_DUE_DATE}, chr(10), body, chr(10),
+    'Subtotal: 1.00', chr(10), 'GRAND TOTAL: USD ', CAST(items_total AS STRING))
+  WHEN 1 THEN concat('OFFICIAL RECEIPT', chr(10), 'Order by:', chr(10), 'Kedai ', CAST(o_custkey % 50 AS STRING), chr(10), 'Receipt # R', {_KEY}, chr(13), chr(10),
+    'Date: ', CAST(month(o_orderdate) AS STRING), '/', CAST(day(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING), chr(10),
+    body, chr(10), 'Total RM ', CAST(items_total AS STRING))
+  WHEN 2 THEN concat('QUOTE', chr(10), 'Quote number: ', {_KEY}, chr(10), 'Quote total: $500.00', chr(10), body)
+  WHEN 3 THEN concat('INVOICE', chr(10), '12-34', chr(10), 'Globex', chr(10), 'INVOICE #', chr(10), {_KEY}, 'X', chr(10), 'Due Date: ', {_ISO_DATE}, chr(10),
+    'Date: ', {_DUE_DATE}, chr(10), body, chr(10), 'Sub total 12.00', chr(10), 'Balance Due: ', CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING), chr(10), 'EUR only')
+  WHEN 4 THEN concat('INVOICE', chr(10), 'TERMS & CONDITIONS', chr(10), body)
+  WHEN 5 THEN concat('Bill To: Client', chr(10), 'Umbrella Services', chr(10), 'Inv No. ', 'Scott', chr(10), 'Consulting services ', CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING),
+    chr(10), 'Sales tax 3.00', chr(10), 'Total Amount - $', CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING))
+  WHEN 6 THEN concat('Initech', chr(10), 'Invoice number: ', {_KEY}, '-A', chr(10), 'Date:', {_MONTH_NAME}, CAST(day(o_orderdate) AS STRING), ',', CAST(year(o_orderdate) AS STRING), chr(10),
+    'DueDate: ', CAST(day(o_orderdate) AS STRING), ' ', {_MONTH_NAME}, ' ', CAST(year(o_orderdate) + 1 AS STRING), chr(10), 'Amount due 1,', CAST(100 + o_orderkey % 900 AS STRING), '.25')
+  ELSE '   ' END AS text
+FROM {{orders}} JOIN ({{invoice_lines}}) ON l_orderkey = o_orderkey""",
+    # Extraction input: the rendered texts and the plain documents together.
+    "corpus": """
+SELECT id, concat('t', CAST(abs(id) % 25 AS STRING)) AS tenant_id,
+  CASE abs(id) % 7 WHEN 3 THEN 'application/xml' WHEN 4 THEN 'text/plain' WHEN 5 THEN 'image/png' ELSE 'application/pdf' END AS mime_type,
+  abs(id) % 2 = 0 AS has_text_layer, CASE WHEN abs(id) % 2 = 1 THEN CAST(50 + abs(id) % 50 AS DOUBLE) / 100 END AS ocr_confidence,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * CAST(abs(id) % 2500000 AS INT) AS uploaded_at,
+  concat('upload ', CAST(id AS STRING)) AS title, text
+FROM (SELECT id, text FROM ({rendered}) r UNION ALL SELECT -1 - doc_id, text FROM {documents}) u""",
+    # Answers of the model by document: type, confidence, fields and tokens.
+    "model_results": """
+SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'receipt' ELSE 'other' END AS model_type,
+  CAST(o_orderkey % 101 AS DOUBLE) / 100 AS model_confidence,
+  CASE WHEN o_orderkey % 9 = 4 THEN NULL ELSE concat('{{"vendor":"Model ', CAST(o_custkey % 50 AS STRING), '","invoice_number":"M-', CAST(o_orderkey AS STRING),
+    '","grand_total":', CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING), ',"currency":"SGD"}}') END AS model_fields,
+  CAST(100 + o_orderkey % 4000 AS BIGINT) AS total_tokens
+FROM {orders}""",
     "texts": """
 SELECT doc_id AS id, concat('t', CAST(doc_id % 25 AS STRING)) AS tenant_id,
   CASE WHEN doc_id % 6 = 0 THEN NULL ELSE concat('Memo ', CAST(doc_id AS STRING), ' ', source) END AS title,
@@ -197,6 +249,13 @@ PARQUET = (
 ).split()
 
 
+def _expand(name: str) -> str:
+    text = TABLES[name]
+    while inner := re.search(r"\{(rendered|invoice_lines)\}", text):
+        text = text.replace(inner.group(0), TABLES[inner.group(1)])
+    return text
+
+
 class Archive:
     """Lazy access to the archive tables of one scale-factor folder."""
 
@@ -208,14 +267,15 @@ class Archive:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
-        text = TABLES[name]
+        text = _expand(name)
         used = {p: self.parquet(p) for p in PARQUET if "{" + p + "}" in text}
         return self.spark.sql(text, **used)
 
 
 def duckdb_view(name: str) -> str:
     """The same table as SQL text over the registered parquet views."""
-    return TABLES[name].format(**{p: p for p in PARQUET})
+    text = _expand(name).format(**{p: p for p in PARQUET})
+    return re.sub(r"listagg\((.*?)\)\s+WITHIN GROUP \((ORDER BY .*?)\)", r"string_agg(\1 \2)", text, flags=re.DOTALL)
 
 
 def duckdb_with(names: list[str], body: str) -> str:
