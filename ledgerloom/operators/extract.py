@@ -174,26 +174,26 @@ def extract_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """Candidate fields for every non-blank text; non-candidates have NULL fields.
 
     Fields are computed only after the keyword gate, so ordinary documents cost
-    one case-folded scan of their text.
+    one case-folded scan of their text.  They come out of a one-row generator:
+    later filters on a field then read the finished value, where a projection
+    would copy the field's whole expression into every filter above it.
     """
     body = F.col(text)
+
+    def fields_of(lines: Column) -> Column:
+        return F.struct(
+            vendor(lines).alias("vendor"),
+            invoice_number(body).alias("invoice_number"),
+            invoice_date(body).alias("invoice_date"),
+            due_date(body).alias("due_date"),
+            total_amount(body).alias("total_amount"),
+            currency(body).alias("currency"),
+            line_items(lines).alias("line_items"),
+        )
+
     typed = df.withColumn("document_type", candidate_type(body))
-    on = F.col("document_type").isNotNull()
-
-    def gated(column: Column) -> Column:
-        return F.when(on, column)
-
-    return typed.withColumn("_lines", gated(text_lines(body))).withColumns(
-        {
-            "vendor": gated(vendor(F.col("_lines"))),
-            "invoice_number": gated(invoice_number(body)),
-            "invoice_date": gated(invoice_date(body)),
-            "due_date": gated(due_date(body)),
-            "total_amount": gated(total_amount(body)),
-            "currency": gated(currency(body)),
-            "line_items": gated(line_items(F.col("_lines"))),
-        }
-    ).drop("_lines")
+    found = F.transform(F.array(text_lines(body)), fields_of)
+    return typed.select("*", F.inline_outer(F.when(F.col("document_type").isNotNull(), found)))
 
 
 def candidate_json(prefix: str = "") -> Column:

@@ -55,13 +55,13 @@ def items_total() -> Column:
     )
 
 
-def math_audit() -> Column:
+def math_audit(items_sum: Column) -> Column:
     """1.0 when items and total agree or there is nothing to audit."""
     nothing = (
-        F.col("line_items").isNull() | (F.size("line_items") == 0) | F.col("total_amount").isNull() | (items_total() == 0)
+        F.col("line_items").isNull() | (F.size("line_items") == 0) | F.col("total_amount").isNull() | (items_sum == 0)
     )
     tolerance = F.greatest(F.lit(ABS_TOLERANCE), F.col("total_amount") * REL_TOLERANCE)
-    agrees = F.abs(items_total() - F.col("total_amount")) <= tolerance
+    agrees = F.abs(items_sum - F.col("total_amount")) <= tolerance
     return F.when(nothing | agrees, 1.0).otherwise(MISMATCH_SCORE)
 
 
@@ -83,19 +83,28 @@ def score_candidates(df: DataFrame) -> DataFrame:
 
     The decision uses the unrounded score.  Non-candidates get NULLs.
     """
-    on = F.col("document_type").isNotNull()
-    signals = df.withColumns(
-        {
-            "completeness": F.when(on, completeness()),
-            "format_validity": F.when(on, format_validity()),
-            "ocr_score": F.when(on, ocr_score()),
-            "math_audit": F.when(on, math_audit()),
-        }
-    )
-    raw = (
-        F.col("completeness") * WEIGHTS["completeness"]
-        + F.col("format_validity") * WEIGHTS["format_validity"]
-        + F.col("ocr_score") * WEIGHTS["ocr"]
-        + F.col("math_audit") * WEIGHTS["math_audit"]
+    signals = F.transform(
+        F.array(items_total()),
+        lambda items_sum: F.struct(
+            completeness().alias("completeness"),
+            format_validity().alias("format_validity"),
+            ocr_score().alias("ocr_score"),
+            math_audit(items_sum).alias("math_audit"),
+        ),
     )
-    return signals.withColumns({"gate_score": F.round(raw, 4), "gate_passed": raw >= PASS_MARK})
+
+    def scored(s: Column) -> Column:
+        raw = (
+            s["completeness"] * WEIGHTS["completeness"]
+            + s["format_validity"] * WEIGHTS["format_validity"]
+            + s["ocr_score"] * WEIGHTS["ocr"]
+            + s["math_audit"] * WEIGHTS["math_audit"]
+        )
+        return F.struct(
+            *[s[n].alias(n) for n in ("completeness", "format_validity", "ocr_score", "math_audit")],
+            F.round(raw, 4).alias("gate_score"),
+            (raw >= PASS_MARK).alias("gate_passed"),
+        )
+
+    result = F.transform(signals, scored)
+    return df.select("*", F.inline_outer(F.when(F.col("document_type").isNotNull(), result)))

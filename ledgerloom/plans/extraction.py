@@ -10,6 +10,7 @@ from ..operators import aggregates as agg
 from ..operators import extract as ex
 from ..operators import gate as gt
 from ..operators import routing as rt
+from ..session import materialise
 from ..sources.archive import Archive
 from .registry import query
 
@@ -200,7 +201,8 @@ SELECT id, tenant_id, CASE WHEN attempted AND NOT by_rules AND NOT by_model THEN
 
 
 def _routed(a: Archive):
-    scored = _scored(a)
+    # Used for the queue and for the decision: extract once, keep the small result.
+    scored = materialise(a.spark, _scored(a).drop("text"), "scored")
     return rt.route(scored, a.table("model_results"), _admitted(a, scored)).drop("extracted_data")
 
 
