@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("listing", "lookups", "sheets", "extraction")
+MODULES = ("listing", "lookups", "sheets", "extraction", "upkeep")
 
 
 def load_all() -> None:

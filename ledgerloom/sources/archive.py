@@ -223,6 +223,19 @@ SELECT id, concat('t', CAST(abs(id) % 25 AS STRING)) AS tenant_id,
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * CAST(abs(id) % 2500000 AS INT) AS uploaded_at,
   concat('upload ', CAST(id AS STRING)) AS title, text
 FROM (SELECT id, text FROM ({rendered}) r UNION ALL SELECT -1 - doc_id, text FROM {documents}) u""",
+    # Email texts: known and new senders in several written forms.
+    "mails": """
+SELECT o_orderkey AS id, concat('t', CAST(o_custkey % 25 AS STRING)) AS tenant_id, 'message/rfc822' AS mime_type,
+  CAST(NULL AS BIGINT) AS correspondent_id, CAST(NULL AS STRING) AS title, CAST(NULL AS STRING) AS vendor,
+  CASE o_orderkey % 7
+    WHEN 0 THEN concat('From: "Desk ', CAST(o_custkey % 25 AS STRING), '" <Billing', CAST(o_custkey % 25 AS STRING), '@Example.org>', chr(10), 'Subject: hello')
+    WHEN 1 THEN concat('From: Supplier#', lpad(CAST(o_custkey % 25 AS STRING), 9, '0'), ' <fresh', CAST(o_custkey % 75 AS STRING), '@example.org>', chr(10), chr(10), 'hi')
+    WHEN 2 THEN concat('Subject: x', chr(10), 'From: new', CAST(o_custkey % 300 AS STRING), '@example.net')
+    WHEN 3 THEN concat('From: sales', CAST(o_custkey % 40 AS STRING), '@example.com (Sales Team)')
+    WHEN 4 THEN concat('From: Sales Team <team', CAST(o_orderkey % 90 AS STRING), '@example.com>')
+    WHEN 5 THEN 'Subject: no sender here'
+    ELSE concat('From: Someone Else', chr(10), 'the end') END AS text
+FROM {orders} WHERE o_orderpriority = '1-URGENT'""",
     # Answers of the model by document: type, confidence, fields and tokens.
     "model_results": """
 SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'receipt' ELSE 'other' END AS model_type,
