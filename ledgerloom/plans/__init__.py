@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("listing", "lookups", "sheets", "extraction", "upkeep")
+MODULES = ("listing", "lookups", "sheets", "extraction", "upkeep", "answers")
 
 
 def load_all() -> None:
