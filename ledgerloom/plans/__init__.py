@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("listing", "lookups", "sheets", "extraction", "upkeep", "answers")
+MODULES = ("listing", "lookups", "sheets", "extraction", "upkeep", "answers", "searching", "intake")
 
 
 def load_all() -> None:

@@ -223,6 +223,21 @@ SELECT id, concat('t', CAST(abs(id) % 25 AS STRING)) AS tenant_id,
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * CAST(abs(id) % 2500000 AS INT) AS uploaded_at,
   concat('upload ', CAST(id AS STRING)) AS title, text
 FROM (SELECT id, text FROM ({rendered}) r UNION ALL SELECT -1 - doc_id, text FROM {documents}) u""",
+    # UBL invoice XML written out from orders and their lines.
+    "ubl": """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN concat('<!DOCTYPE x>', body) WHEN o_orderkey % 11 = 1 THEN concat(body, '<open>')
+  WHEN o_orderkey % 11 = 2 THEN replace(body, 'Invoice-2"', 'Order-2"') ELSE body END AS xml
+FROM (SELECT o_orderkey, concat('<?xml version="1.0"?>', chr(10), '<Invoice xmlns="urn:oasis:names:specification:ubl:schema:xsd:Invoice-2" xmlns:cac="urn:cac" xmlns:cbc="urn:cbc">',
+    '<cbc:ID> INV-', CAST(o_orderkey AS STRING), ' </cbc:ID><cbc:IssueDate>', CAST(CAST(o_orderdate AS DATE) AS STRING), '</cbc:IssueDate>',
+    CASE WHEN o_orderkey % 3 = 0 THEN '<cbc:DueDate>soon</cbc:DueDate>' ELSE concat('<cbc:DueDate>', CAST(CAST(o_orderdate + INTERVAL '30' DAY AS DATE) AS STRING), '</cbc:DueDate>') END,
+    '<cbc:DocumentCurrencyCode>MYR</cbc:DocumentCurrencyCode><cac:AccountingSupplierParty><cac:Party>',
+    CASE WHEN o_orderkey % 2 = 0 THEN concat('<cac:PartyLegalEntity><cbc:RegistrationName>Legal ', CAST(o_custkey AS STRING), '</cbc:RegistrationName></cac:PartyLegalEntity>') ELSE '' END,
+    '<cac:PartyName><cbc:Name>Trade ', CAST(o_custkey AS STRING), '</cbc:Name></cac:PartyName></cac:Party></cac:AccountingSupplierParty>', lines,
+    '<cac:LegalMonetaryTotal><cbc:PayableAmount currencyID="MYR">', CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING), '</cbc:PayableAmount></cac:LegalMonetaryTotal></Invoice>') AS body
+  FROM {orders} JOIN (SELECT l_orderkey, listagg(concat('<cac:InvoiceLine><cbc:InvoicedQuantity>', CAST(CAST(l_quantity AS INT) AS STRING), '</cbc:InvoicedQuantity>',
+    CASE WHEN l_returnflag = 'R' THEN '' ELSE concat('<cbc:LineExtensionAmount>', CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING), '</cbc:LineExtensionAmount>') END,
+    '<cac:Item><cbc:Name>Part ', CAST(l_partkey AS STRING), '</cbc:Name></cac:Item></cac:InvoiceLine>'), '')
+    WITHIN GROUP (ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS lines FROM {lineitem} GROUP BY l_orderkey) l ON l_orderkey = o_orderkey) x""",
     # Email texts: known and new senders in several written forms.
     "mails": """
 SELECT o_orderkey AS id, concat('t', CAST(o_custkey % 25 AS STRING)) AS tenant_id, 'message/rfc822' AS mime_type,
