@@ -226,6 +226,11 @@ def _safe_xml(text: Column) -> Column:
     return F.when(~head.contains("<!DOCTYPE") & ~head.contains("<!ENTITY"), text)
 
 
+_MISC = r"(?:\s|<\?.*?\?>|<!--.*?-->)*"
+# One root element with nothing but comments around it.
+_ONE_ROOT = rf"(?s)^\x{{FEFF}}?{_MISC}<([A-Za-z_][\w.:-]*)(?:\s[^>]*)?(?:/>|>.*</\1\s*>){_MISC}$"
+
+
 def _filled(c: Column) -> Column:
     t = F.btrim(c, F.lit(" \t\r\n"))
     return F.when(t != "", t)
@@ -248,13 +253,13 @@ def read_ubl_invoices(df: DataFrame, text: str = "xml") -> DataFrame:
     Element prefixes are removed first, so any prefix may be used.
     """
     safe = _safe_xml(F.col(text))
-    root = F.regexp_extract(safe, r"^(?s)(?:\x{FEFF}|\s|<\?.*?\?>|<!--.*?-->)*(<[^>]*>)", 1)
+    root = F.regexp_extract(safe, rf"(?s)^\x{{FEFF}}?{_MISC}(<[^>]*>)", 1)
     prefix = F.regexp_extract(root, r"^<([A-Za-z_][\w.-]*):Invoice[\s>/]", 1)
     default_ns = root.rlike(rf"^<Invoice\s[^>]*\bxmlns\s*=\s*[\"']{INVOICE_NAMESPACE}[\"']")
     prefixed_ns = (prefix != "") & F.contains(
         F.regexp_replace(root, r"\s*=\s*[\"']", "="), F.concat(F.lit("xmlns:"), prefix, F.lit(f"={INVOICE_NAMESPACE}"))
     )
-    is_invoice = F.coalesce(default_ns | prefixed_ns, F.lit(False))
+    is_invoice = F.coalesce((default_ns | prefixed_ns) & safe.rlike(_ONE_ROOT), F.lit(False))
     bare = F.regexp_replace(F.when(is_invoice, safe), r"<(/?)[A-Za-z_][\w.-]*:", "<$1")
     parsed = F.from_xml(bare, _INVOICE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     # A one-row generator: the document is parsed once, whatever reads the fields.
@@ -283,13 +288,40 @@ def read_ubl_invoices(df: DataFrame, text: str = "xml") -> DataFrame:
     )
 
 
+_XML_TOKEN = r"""(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<\?.*?\?>|<(?:[^>"']|"[^"]*"|'[^']*')*+>|[^<]+"""
+_NUMERIC_REF = r"&#(?:x[0-9A-Fa-f]+|[0-9]+);"
+# The five named entities of XML, the ampersand last.
+_XML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def _unescape(text: Column) -> Column:
+    def code(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"([0-9A-Fa-f]+);", 1)
+        number = F.when(ref.startswith("&#x"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
+        return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMERIC_REF), 0))
+    out = F.aggregate(refs, text, lambda t, ref: F.replace(t, ref, code(ref)))
+    for name, char in _XML_ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
 def flatten_xml_text(df: DataFrame, text: str = "xml") -> DataFrame:
     """Add ``xml_text``: all text nodes, trimmed and joined by blanks ('' if unreadable)."""
     safe = _safe_xml(F.col(text))
     check = F.from_xml(safe, "_broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    # Checked first: the text-node query fails the job on malformed XML.
-    ok = check.isNotNull() & check["_broken"].isNull()
-    staged = df.select("*", F.explode(F.array(F.when(ok, safe))).alias("_ok"))
-    nodes = F.transform(F.xpath("_ok", F.lit("//text()")), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
+    ok = check.isNotNull() & check["_broken"].isNull() & safe.rlike(_ONE_ROOT)
+    # Tags separate text nodes; comments and instructions leave no trace.
+    pieces = F.transform(
+        F.regexp_extract_all(F.when(ok, safe), F.lit(_XML_TOKEN), 0),
+        lambda t: F.when(t.startswith("<![CDATA["), F.regexp_replace(t, r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"))
+        .when(t.startswith("<!--") | t.startswith("<?"), "")
+        .when(t.startswith("<"), "\u0001")
+        .otherwise(_unescape(t)),
+    )
+    nodes = F.transform(
+        F.split(F.array_join(pieces, ""), "\u0001"), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    )
     joined = F.array_join(F.filter(nodes, lambda t: t != ""), " ")
-    return staged.withColumn("xml_text", F.coalesce(F.when(F.col("_ok").isNotNull(), joined), F.lit(""))).drop("_ok")
+    return df.withColumn("xml_text", F.coalesce(joined, F.lit("")))
