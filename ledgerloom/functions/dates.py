@@ -5,36 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month names by number.
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+from .binding import bind
+
+# Month names; the first three letters are kept.
 _MONTH = (
-    "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|"
-    "oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+    "(?:(jan)(?:uary)?|(feb)(?:ruary)?|(mar)(?:ch)?|(apr)(?:il)?|(may)|(jun)e?|(jul)y?|(aug)(?:ust)?|(sep)t?(?:ember)?|"
+    "(oct)(?:ober)?|(nov)(?:ember)?|(dec)(?:ember)?)"
 )
+# The groups of a month name: only one of them is filled.
+_NAME_GROUPS = 12
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 _NUM_END = r"(?!\d)"
 
 # Supported forms: year first; numeric with the month first; day month year; month day year.
 ISO = rf"(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_NUM_END}"
 NUMERIC = rf"(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){_NUM_END}"
-DAY_FIRST = rf"{_DAY}[ ,-]*({_MONTH})\.?[ ,-]*(\d{{4}}){_NUM_END}"
-MONTH_FIRST = rf"({_MONTH})\.?[ -]*{_DAY}[ ,-]+(\d{{4}}){_NUM_END}"
+DAY_FIRST = rf"{_DAY}[ ,-]*{_MONTH}\.?[ ,-]*(\d{{4}}){_NUM_END}"
+MONTH_FIRST = rf"{_MONTH}\.?[ -]*{_DAY}[ ,-]+(\d{{4}}){_NUM_END}"
 
 ANY_DATE = rf"(?i)(?<![\dA-Za-z])(?:{ISO}|{NUMERIC}|{DAY_FIRST}|{MONTH_FIRST})"
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date")
-
+def _groups(first: int) -> str:
+    return "".join(f"${i}" for i in range(first, first + _NAME_GROUPS))
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, rf"(?i)^{pattern}", group)
 
+def _read(token: Column, pattern: str, parts: str, form: str) -> Column:
+    """Rewrite a token of one form as ``=year-month-day`` and read that.
 
-def _month_number(name: Column) -> Column:
-    short = F.lower(F.substring(name, 1, 3))
-    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), short)
-    return F.when(number > 0, number).cast("string")
+    The leading mark keeps tokens of other forms from being read by accident.
+    """
+    return F.try_to_date(F.regexp_replace(token, "(?i)^" + pattern, f"={parts}"), f"'='yyyy-{form}-d")
 
 
 def parse_date(token: Column, whole: bool = True) -> Column:
@@ -43,22 +44,18 @@ def parse_date(token: Column, whole: bool = True) -> Column:
     Ambiguous numeric dates are month-first; a first number over 12 is the day.
     With ``whole`` the token must hold nothing but the date.
     """
-    end = r"\s*$" if whole else ""
-    first, second = _part(token, NUMERIC + end, 1), _part(token, NUMERIC + end, 2)
-    numeric_year = _part(token, NUMERIC + end, 3)
-    return F.coalesce(
-        _date(_part(token, ISO + end, 1), _part(token, ISO + end, 2), _part(token, ISO + end, 3)),
-        _date(numeric_year, first, second),
-        _date(numeric_year, second, first),
-        _date(
-            _part(token, DAY_FIRST + end, 3), _month_number(_part(token, DAY_FIRST + end, 2)), _part(token, DAY_FIRST + end, 1)
-        ),
-        _date(
-            _part(token, MONTH_FIRST + end, 3),
-            _month_number(_part(token, MONTH_FIRST + end, 1)),
-            _part(token, MONTH_FIRST + end, 2),
-        ),
-    )
+    end = r"\s*$" if whole else ".*$"
+
+    def read(t: Column) -> Column:
+        return F.coalesce(
+            _read(t, ISO + end, "$1-$2-$3", "M"),
+            _read(t, NUMERIC + end, "$3-$1-$2", "M"),
+            _read(t, NUMERIC + end, "$3-$2-$1", "M"),
+            _read(t, DAY_FIRST + end, f"${2 + _NAME_GROUPS}-{_groups(2)}-$1", "MMM"),
+            _read(t, MONTH_FIRST + end, f"${2 + _NAME_GROUPS}-{_groups(1)}-${1 + _NAME_GROUPS}", "MMM"),
+        )
+
+    return bind(token, read)
 
 
 def first_date(text: Column) -> Column:

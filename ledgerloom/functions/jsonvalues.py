@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 OBJECT = "map<string,variant>"
 LIST = "array<variant>"
 # Characters that Python-style stripping removes.
@@ -68,20 +70,25 @@ def members(value: Column) -> Column:
 
 def present(value: Column) -> Column:
     """False for a missing value, null, 0, false and anything empty."""
-    text = F.to_json(value)
-    empty = text.isin("null", '""', "false", "[]", "{}") | (is_number(value) & (number_of(value) == 0))
-    return F.coalesce(~empty, F.lit(False))
+
+    def check(v: Column) -> Column:
+        text = F.to_json(v)
+        return ~(text.isin("null", '""', "false", "[]", "{}") | (is_number(v) & (number_of(v) == 0)))
+
+    return F.coalesce(bind(value, check), F.lit(False))
 
 
 def first_present(*values: Column) -> Column:
     """First value that is present; when none is, the last one as it stands."""
-    out = values[-1]
-    for value in reversed(values[:-1]):
-        out = F.when(present(value), value).otherwise(out)
-    return out
+
+    def pick(listed: Column) -> Column:
+        return F.coalesce(F.get(F.filter(listed, present), 0), F.get(listed, len(values) - 1))
+
+    return bind(F.array(*values), pick)
 
 
 def filled_text(value: Column) -> Column:
     """The value if it is a string with a non-blank character, else NULL."""
-    text = text_of(value)
-    return F.when(is_string(value) & (F.btrim(text, F.lit(BLANKS)) != ""), text)
+    return bind(
+        value, lambda v: F.when(is_string(v) & (F.btrim(text_of(v), F.lit(BLANKS)) != ""), text_of(v))
+    )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jsonvalues as jv
+from ..functions.binding import bind
 from ..functions.dates import first_date, parse_date
 
 ITEM_TYPE = "struct<description:string,quantity:double,unit_price:double,amount:double>"
@@ -47,23 +47,26 @@ _SEP = "\u0001"
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     """Captured group of the first match, NULL when there is none."""
-    value = F.regexp_extract(text, "(?i)" + pattern, group)
-    return F.when(value != "", value)
+    return bind(F.regexp_extract(text, "(?i)" + pattern, group), lambda v: F.when(v != "", v))
 
 
 def _any_word(text: Column, words: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | low.contains(word)
-    return hit
+    def any_of(low: Column) -> Column:
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | low.contains(word)
+        return hit
+
+    return bind(F.lower(text), any_of)
 
 
 def candidate_type(text: Column) -> Column:
     """invoice, receipt or NULL; invoice wins when both kinds of words occur."""
-    return (
-        F.when(_any_word(text, ("invoice", "bill to")), "invoice")
-        .when(_any_word(text, ("receipt", "payment received")), "receipt")
+    return bind(
+        F.lower(text),
+        lambda low: F.when(low.contains("invoice") | low.contains("bill to"), "invoice").when(
+            low.contains("receipt") | low.contains("payment received"), "receipt"
+        ),
     )
 
 
@@ -73,7 +76,7 @@ def invoice_number(text: Column) -> Column:
 
 def amount_after(text: Column, label: str) -> Column:
     symbol = "|".join((*CURRENCY_CODES, r"\$", "RM"))
-    value = _found(text, rf"{label}{_GAP}(?:{symbol})?{_SP}*({_AMOUNT})")
+    value = F.regexp_extract(text, rf"(?i){label}{_GAP}(?:{symbol})?{_SP}*({_AMOUNT})", 1)
     return F.replace(value, F.lit(","), F.lit("")).try_cast("double")
 
 
@@ -82,7 +85,7 @@ def total_amount(text: Column) -> Column:
 
 
 def date_after(text: Column, label: str) -> Column:
-    return parse_date(F.btrim(_found(text, rf"{label}{_GAP}{_SNIPPET}")))
+    return parse_date(F.btrim(F.regexp_extract(text, rf"(?i){label}{_GAP}{_SNIPPET}", 1)))
 
 
 def due_date(text: Column) -> Column:
@@ -96,20 +99,19 @@ def invoice_date(text: Column) -> Column:
 
 
 def currency(text: Column) -> Column:
-    upper = F.upper(text)
-    out: Column | None = None
+    def choose(upper: Column) -> Column:
+        def word(code: str) -> Column:
+            # Contains first: the boundary check runs only where the letters occur.
+            return upper.contains(code) & upper.rlike(rf"(?<![\p{{L}}\p{{N}}_]){code}(?![\p{{L}}\p{{N}}_])")
 
-    def word(code: str) -> Column:
-        # Contains first: the boundary check runs only where the letters occur.
-        return upper.contains(code) & upper.rlike(rf"(?<![\p{{L}}\p{{N}}_]){code}(?![\p{{L}}\p{{N}}_])")
+        tests = [(word(c), c) for c in CURRENCY_CODES] + [(word("RM"), "MYR")]
+        tests += [(text.contains(s), c) for s, c in CURRENCY_SYMBOLS]
+        out = F.when(*tests[0])
+        for test, code in tests[1:]:
+            out = out.when(test, code)
+        return out
 
-    for test, code in (
-        *[(word(c), c) for c in CURRENCY_CODES],
-        (word("RM"), "MYR"),
-        *[(text.contains(s), c) for s, c in CURRENCY_SYMBOLS],
-    ):
-        out = F.when(test, code) if out is None else out.when(test, code)
-    return out
+    return bind(F.upper(text), choose)
 
 
 def text_lines(text: Column) -> Column:
@@ -140,23 +142,27 @@ def _amount_text(value: Column) -> Column:
 def _item_of(line: Column) -> Column:
     """Item of a line or NULL: description, quantity, price and amount, else
     description and amount.  One pattern pass splits a line into its parts."""
-    full = F.split(F.regexp_replace(line, _FULL_ITEM, f"$1{_SEP}$2{_SEP}$3{_SEP}$4"), _SEP)
-    short = F.split(F.regexp_replace(line, _SHORT_ITEM, f"$1{_SEP}$2"), _SEP)
-    short_amount = _amount_text(F.get(short, 1))
-    four = F.struct(
-        F.btrim(F.get(full, 0)).alias("description"),
-        F.get(full, 1).try_cast("double").alias("quantity"),
-        _amount_text(F.get(full, 2)).alias("unit_price"),
-        _amount_text(F.get(full, 3)).alias("amount"),
-    )
-    two = F.struct(
-        F.btrim(F.get(short, 0)).alias("description"),
-        F.lit(1.0).alias("quantity"),
-        short_amount.alias("unit_price"),
-        short_amount.alias("amount"),
-    )
-    is_short = (F.size(short) == 2) & ~_any_word(F.get(short, 0), ITEM_STOP_WORDS)
-    return F.when(F.size(full) == 4, four).when(is_short, two)
+    def short_item(short: Column) -> Column:
+        amount = _amount_text(F.get(short, 1))
+        item = F.struct(
+            F.btrim(F.get(short, 0)).alias("description"),
+            F.lit(1.0).alias("quantity"),
+            amount.alias("unit_price"),
+            amount.alias("amount"),
+        )
+        return F.when((F.size(short) == 2) & ~_any_word(F.get(short, 0), ITEM_STOP_WORDS), item)
+
+    def full_item(full: Column) -> Column:
+        item = F.struct(
+            F.btrim(F.get(full, 0)).alias("description"),
+            F.get(full, 1).try_cast("double").alias("quantity"),
+            _amount_text(F.get(full, 2)).alias("unit_price"),
+            _amount_text(F.get(full, 3)).alias("amount"),
+        )
+        short = F.split(F.regexp_replace(line, _SHORT_ITEM, f"$1{_SEP}$2"), _SEP)
+        return F.when(F.size(full) == 4, item).otherwise(bind(short, short_item))
+
+    return bind(F.split(F.regexp_replace(line, _FULL_ITEM, f"$1{_SEP}$2{_SEP}$3{_SEP}$4"), _SEP), full_item)
 
 
 def line_items(lines: Column) -> Column:

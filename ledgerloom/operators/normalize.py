@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonvalues as jv
+from ..functions.binding import bind
 
 # Raw key -> canonical key.
 KEY_ALIASES = {
@@ -84,10 +85,15 @@ def winning_keys(obj: Column) -> Column:
             lambda k: F.struct(F.length(k).alias("size"), k.alias("raw"), canonical_key(k).alias("canonical")),
         )
     )
-    return F.filter(
-        ranked,
-        lambda e, i: F.array_position(F.transform(ranked, lambda r: r["canonical"]), e["canonical"]) == i + 1,
-    )
+
+    def winners(listed: Column) -> Column:
+        names = F.transform(listed, lambda r: r["canonical"])
+        return bind(
+            names,
+            lambda seen: F.filter(listed, lambda e, i: F.array_position(seen, e["canonical"]) == i + 1),
+        )
+
+    return bind(ranked, winners)
 
 
 def alias_keys(df: DataFrame, column: str = "extracted_data") -> DataFrame:
@@ -115,10 +121,11 @@ def parse_amount_text(text: Column) -> Column:
 
 def parse_amount(value: Column) -> Column:
     """Amount of a JSON value: numbers as they are, text through its digits."""
-    return (
-        F.when(jv.is_number(value), jv.number_of(value))
-        .when(jv.is_boolean(value), jv.text_of(value).try_cast("boolean").cast("double"))
-        .when(jv.is_string(value), parse_amount_text(jv.text_of(value)))
+    return bind(
+        value,
+        lambda v: F.when(jv.is_number(v), jv.number_of(v))
+        .when(jv.is_boolean(v), jv.text_of(v).try_cast("boolean").cast("double"))
+        .when(jv.is_string(v), parse_amount_text(jv.text_of(v))),
     )
 
 
@@ -128,14 +135,15 @@ NUMBER_TEXT = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 def coerce_amount_text(text: Column) -> Column:
     """Drop commas and outer blanks, then require a plain signed number."""
     cleaned = F.btrim(F.replace(text, F.lit(","), F.lit("")), F.lit(jv.BLANKS))
-    return F.when(cleaned.rlike(NUMBER_TEXT), cleaned.try_cast("double"))
+    return bind(cleaned, lambda c: F.when(c.rlike(NUMBER_TEXT), c.try_cast("double")))
 
 
 def coerce_amount(value: Column) -> Column:
-    return (
-        F.when(jv.is_number(value), jv.number_of(value))
-        .when(jv.is_boolean(value), jv.text_of(value).try_cast("boolean").cast("double"))
-        .when(jv.is_string(value), coerce_amount_text(jv.text_of(value)))
+    return bind(
+        value,
+        lambda v: F.when(jv.is_number(v), jv.number_of(v))
+        .when(jv.is_boolean(v), jv.text_of(v).try_cast("boolean").cast("double"))
+        .when(jv.is_string(v), coerce_amount_text(jv.text_of(v))),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonvalues as jv
+from ..functions.binding import bind
 from .normalize import LIST_KEYS, alias_keys, canonical_key, parse_amount, split_config
 
 META = ("filename", "documentType", "status", "uploadedAt", "documentDate")
@@ -34,7 +35,8 @@ def _items(df: DataFrame) -> DataFrame:
     """Add ``_items``: the line items, NULL when the value is set but no list."""
     value = jv.key(F.col("fields"), "lineItems")
     empty = F.array().cast(jv.LIST)
-    return df.withColumn("_items", F.when(jv.present(value), jv.elements(value)).otherwise(empty))
+    listed = bind(value, lambda v: F.when(jv.present(v), jv.elements(v)).otherwise(empty))
+    return df.withColumn("_items", listed)
 
 
 def summary_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -70,8 +72,9 @@ def _item_rows(item: Column) -> Column:
         _field(item, "amount", "parent_total_amount", "total_amount", "totalAmount"),
     )
     subs = jv.elements(_field(item, "sub_items", "subItems"))
+    blank = F.array().cast(jv.LIST)
     numbered = F.filter(
-        F.transform(subs, lambda s, j: F.struct(j.alias("j"), s.alias("s"))), lambda e: jv.is_object(e["s"])
+        F.transform(F.coalesce(subs, blank), lambda s, j: F.struct(j.alias("j"), s.alias("s"))), lambda e: jv.is_object(e["s"])
     )
     children = F.transform(
         numbered,
@@ -84,7 +87,7 @@ def _item_rows(item: Column) -> Column:
             _field(e["s"], "sub_total_amount", "amount"),
         ),
     )
-    return F.when(children.isNull(), F.array(parent)).otherwise(F.concat(F.array(parent), children))
+    return F.concat(F.array(parent), children)
 
 
 def expanded_rows(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -39,7 +39,7 @@ def _answers(a: Archive):
         .when(F.col("event_id") % 7 == 5, F.concat(head, F.lit(',"fields":{"grand_total":'), number, F.lit(',"due')))
         .otherwise("Sorry, I cannot extract data.")
     )
-    return a.parquet("events").select("event_id", F.col("user_id").alias("document_id"), F.col("event_id").alias("chunk_no"), raw.alias("raw"))
+    return a.wide("events").select("event_id", F.col("user_id").alias("document_id"), F.col("event_id").alias("chunk_no"), raw.alias("raw"))
 
 
 _PARSED = f"""{_RAW}, parsed AS (SELECT event_id, document_id, event_id AS chunk_no, form,
@@ -150,7 +150,7 @@ FROM (SELECT * FROM archive WHERE extracted_data IS NOT NULL), s GROUP BY 1""",
 
 
 def _structured(a: Archive):
-    docs = a.table("archive").filter("extracted_data IS NOT NULL")
+    docs = a.table("archive", heavy=True).filter("extracted_data IS NOT NULL")
     full = docs.select("id", "extracted_data", mo.ensure_structure(F.col("extracted_data"), F.lit(SCHEMA)).alias("full"))
     names = ["vendor", "total_amount", "vat_registered", "line_items", "client", "requires_human_review", "validation_errors"]
     # "null" shows a member that is there with a JSON null.
@@ -179,7 +179,7 @@ for _name, _remote in (("h16_validate_extraction", False), ("h16_validate_remote
         f"{_NESTED} SELECT id, len(issues) > 0 AS requires_human_review, array_to_string(issues, '|') AS validation_errors FROM i",
     )(
         lambda a, r=_remote: mo.validate_extraction(
-            a.table("archive").filter("extracted_data IS NOT NULL"), "extracted_data", remote=r
+            a.table("archive", heavy=True).filter("extracted_data IS NOT NULL"), "extracted_data", remote=r
         ).select("id", "requires_human_review", F.array_join("validation_errors", "|").alias("validation_errors"))
     )
 
@@ -189,7 +189,7 @@ query(
     """SELECT page_id, trim(regexp_replace(regexp_replace('| Url | Id |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || url || ' | ' || page_id || ' |' || chr(10) || chr(10) || html, '<img[^>]*>', '', 'g'),
   '\\n\\s*\\n', chr(10) || chr(10), 'g'), E' \\n\\t\\r') AS cleaned FROM pages""",
 )(
-    lambda a: a.parquet("pages").select(
+    lambda a: a.wide("pages").select(
         "page_id",
         mo.clean_html_text(
             F.concat(
@@ -206,7 +206,7 @@ query(
     """SELECT id, array_to_string(list_concat(list_filter(['grand_total', 'totalAmount', 'vendor', 'line_items'], lambda k: list_contains(json_keys(extracted_data), k)),
   list_filter(json_keys(extracted_data), lambda k: k NOT IN ('grand_total', 'totalAmount', 'vendor', 'line_items'))), ',') AS keys FROM archive WHERE extracted_data IS NOT NULL""",
 )(
-    lambda a: a.table("archive")
+    lambda a: a.table("archive", heavy=True)
     .filter("extracted_data IS NOT NULL")
     .select(
         "id",

@@ -88,15 +88,15 @@ scored AS (SELECT *, round(raw, 4) AS gate_score, raw >= 0.75::DOUBLE AS gate_pa
 
 
 def _candidates(a: Archive):
-    return ex.extract_candidates(a.table("corpus")).filter("document_type IS NOT NULL")
+    return ex.extract_candidates(a.table("corpus", heavy=True)).filter("document_type IS NOT NULL")
 
 
 def _scored(a: Archive):
-    return gt.score_candidates(ex.extract_candidates(a.table("corpus")))
+    return gt.score_candidates(ex.extract_candidates(a.table("corpus", heavy=True)))
 
 
 query("j01_candidate_type", "corpus", f"{_CAND} SELECT id, document_type FROM typed")(
-    lambda a: a.table("corpus").select("id", ex.candidate_type(F.col("text")).alias("document_type"))
+    lambda a: a.table("corpus", heavy=True).select("id", ex.candidate_type(F.col("text")).alias("document_type"))
 )
 
 for _name, _column in (
@@ -241,7 +241,7 @@ pieces AS (SELECT doc_id AS id, w.chunk_no, string_agg(l.line, '' ORDER BY l.n)
 _CHUNKS_SQL = f"WITH RECURSIVE {_CHUNKED.lstrip(', ')}"
 
 query("h18_chunk_text", "", f"{_CHUNKS_SQL} SELECT id, chunk_no, chunk FROM pieces")(
-    lambda a: ex.chunk_table(a.parquet("documents").select(F.col("doc_id").alias("id"), "text"), max_chunks=None)
+    lambda a: ex.chunk_table(a.wide("documents").select(F.col("doc_id").alias("id"), "text"), max_chunks=None)
 )
 
 query(
@@ -253,7 +253,7 @@ UNION ALL SELECT id, 'text', chunk_no, 'header' FROM pieces JOIN t USING (id) WH
 UNION ALL SELECT id, 'text', chunk_no, 'items' FROM pieces JOIN t USING (id) WHERE is_text""",
 )(
     lambda a: ex.model_work_list(
-        a.parquet("documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 3 != 0).alias("has_text_layer")),
+        a.wide("documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 3 != 0).alias("has_text_layer")),
         max_calls=None,
     ).drop("chunk")
 )
@@ -263,7 +263,7 @@ query(
     "",
     """SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) >= greatest(16, 8 * greatest(doc_id % 900, 1)) AS usable FROM documents""",
 )(
-    lambda a: a.parquet("documents").select(
+    lambda a: a.wide("documents").select(
         "doc_id", ex.usable_text(F.col("text"), F.col("doc_id") % 900).alias("usable")
     )
 )
@@ -276,7 +276,7 @@ query(
   ELSE CAST(try_strptime(t, ['%m/%d/%Y', '%d/%m/%Y', '%d %b %Y', '%b%d,%Y']) AS DATE) END AS d FROM (
   SELECT id, regexp_extract(text, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|\\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|\\b[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}|[A-Z][a-z]{2}[0-9]{1,2},[0-9]{4}') AS t FROM corpus))""",
 )(
-    lambda a: a.table("corpus").select(
+    lambda a: a.table("corpus", heavy=True).select(
         "id", ex.document_date(F.col("text"), datetime.date(2002, 12, 28), char_cap=None).alias("document_date")
     )
 )

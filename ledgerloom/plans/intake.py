@@ -44,7 +44,7 @@ def _upload(a: Archive):
         .otherwise(text)
     )
     ext = F.when(turn == 10, ".CSV").when(turn == 11, ".md").otherwise(".bin")
-    return a.parquet("documents").select(
+    return a.wide("documents").select(
         "doc_id",
         (F.col("doc_id") % 37).alias("batch_id"),
         F.concat(F.col("doc_id"), ext).alias("filename"),
@@ -88,7 +88,7 @@ AND NOT (tenant_id = 't1') UNION ALL SELECT id FROM archive WHERE tenant_id = 't
 )
 
 query("a06_read_plain_text", "", "SELECT doc_id, regexp_replace(text, '[^\\x00-\\xff]', '?', 'g') AS decoded FROM documents")(
-    lambda a: a.parquet("documents").select(
+    lambda a: a.wide("documents").select(
         "doc_id",
         fl.decode_text(F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1")).alias("decoded"),
     )
@@ -113,7 +113,7 @@ def _ubl(a: Archive):
         lambda s, x: (s + x).cast("decimal(24,2)"),
     )
     some = F.exists("line_items", lambda i: i["amount"].isNotNull())
-    return fl.read_ubl_invoices(a.table("ubl")).select(
+    return fl.read_ubl_invoices(a.table("ubl", heavy=True)).select(
         "id", "vendor", "invoice_number", "invoice_date", "due_date", "total_amount", "currency",
         F.size("line_items").cast("bigint").alias("n_items"),
         F.when(some, total("amount").cast("double")).alias("items_total"),
@@ -126,7 +126,7 @@ query(
     "a08_flatten_xml_text",
     "ubl",
     """SELECT id, CASE WHEN id % 11 IN (0, 1) THEN '' ELSE trim(regexp_replace(regexp_replace(regexp_replace(xml, '<\\?[^>]*>', ''), '\\s*<[^>]*>\\s*', '  ', 'g'), '\\s\\s+', ' ', 'g')) END AS xml_text FROM ubl""",
-)(lambda a: fl.flatten_xml_text(a.table("ubl")).select("id", "xml_text"))
+)(lambda a: fl.flatten_xml_text(a.table("ubl", heavy=True)).select("id", "xml_text"))
 
 # -- exports --------------------------------------------------------------------------
 

@@ -20,7 +20,7 @@ tok AS (SELECT id, unnest(regexp_extract_all(lower(st), '[\\p{L}\\p{N}]+')) AS w
 
 
 def _index(a: Archive, english: bool = False):
-    return se.lexeme_table(a.table("texts"), english)
+    return se.lexeme_table(a.table("texts", heavy=True), english)
 
 
 query(
@@ -28,7 +28,7 @@ query(
     "texts",
     "SELECT id, concat_ws(' ', nullif(title, ''), nullif(original_filename, ''), nullif(text, '')) AS search_text FROM texts",
 )(
-    lambda a: a.table("texts").select(
+    lambda a: a.table("texts", heavy=True).select(
         "id", se.search_text(F.col("title"), F.col("original_filename"), F.col("text")).alias("search_text")
     )
 )
@@ -60,7 +60,7 @@ query(
 )(lambda a: se.content_flags(_index(a), PREFIX, english=False).filter("by_prefix").select("id"))
 
 query("i05_content_match", "texts", f"{_MATCH} SELECT id, by_words OR by_prefix AS content_match FROM flag")(
-    lambda a: se.content_match(a.table("texts").select("id"), _index(a), QUERY, english=False)
+    lambda a: se.content_match(a.table("texts", heavy=True).select("id"), _index(a), QUERY, english=False)
 )
 
 
@@ -79,7 +79,7 @@ query(
     "texts",
     f"{_similarity_sql(NAME)} SELECT t.id, round(coalesce(s, 0), 9) AS similarity, coalesce(s, 0) >= 0.2 AS matches FROM texts t LEFT JOIN sim USING (id)",
 )(
-    lambda a: a.table("texts")
+    lambda a: a.table("texts", heavy=True)
     .select("id", F.explode(F.array(se.name_similarity(NAME))).alias("s"))
     .select("id", F.round("s", 9).alias("similarity"), (F.col("s") >= se.NAME_THRESHOLD).alias("matches"))
 )
@@ -98,7 +98,7 @@ query("i08_snippet")(lambda a: _snippets(a))
 
 
 def _snippets(a: Archive):
-    docs = a.table("texts")
+    docs = a.table("texts", heavy=True)
     flagged = se.content_match(docs.select("id", "text"), _index(a, True), RANKED)
     return flagged.filter("content_match").select("id", se.snippet(RANKED, F.col("text"), F.col("content_match")).alias("snippet"))
 
@@ -112,7 +112,7 @@ shown AS (SELECT *, array_to_string(list_filter([CASE WHEN c THEN 'content' END,
 def _hits(a: Archive):
     # The index is read three times: write it once, as intake would.
     index = materialise(a.spark, _index(a), "lexemes")
-    return se.search_hits(a.table("texts").drop("text"), index, RANKED, english=False)
+    return se.search_hits(a.table("texts", heavy=True).drop("text"), index, RANKED, english=False)
 
 
 query(
@@ -135,7 +135,7 @@ ORDER BY score DESC, uploaded_at DESC, id LIMIT 20""",
 
 def _search_page(a: Archive):
     index = materialise(a.spark, _index(a), "lexemes")
-    found = se.search(a.table("texts"), index, RANKED, document_type="report", english=False)
+    found = se.search(a.table("texts", heavy=True), index, RANKED, document_type="report", english=False)
     return found.select(
         "id",
         F.round("score", 6).alias("score"),
@@ -150,7 +150,7 @@ query(
     f"{_HITS} SELECT id FROM shown WHERE status = 'completed'",
 )(
     lambda a: se.search_hits(
-        a.table("texts").filter("status = 'completed'").drop("text"), materialise(a.spark, _index(a), "lexemes"), RANKED, english=False
+        a.table("texts", heavy=True).filter("status = 'completed'").drop("text"), materialise(a.spark, _index(a), "lexemes"), RANKED, english=False
     ).select("id")
 )
 

@@ -27,7 +27,7 @@ val AS (SELECT id, canonical, raw, json_extract(extracted_data, '$."' || raw ||
 FROM archive a WHERE a.extracted_data IS NOT NULL""",
 )
 def h05(a: Archive):
-    rows = nz.alias_keys(a.table("archive").filter("extracted_data IS NOT NULL"))
+    rows = nz.alias_keys(a.table("archive", heavy=True).filter("extracted_data IS NOT NULL"))
     labels = F.array_sort(F.transform("_won", lambda e: F.concat(e["canonical"], F.lit("<"), e["raw"])))
     return rows.select("id", F.array_join(labels, "|").alias("keys"), jv.text_of(jv.key(F.col("fields"), "vendor")).alias("vendor"))
 
@@ -61,7 +61,7 @@ def h07(a: Archive):
         .when(which == 3, F.concat(size, F.lit("d")))
         .otherwise("")
     )
-    return a.table("archive").select("id", nz.coerce_amount_text(text).alias("amount"))
+    return a.table("archive", heavy=True).select("id", nz.coerce_amount_text(text).alias("amount"))
 
 
 _TYPED = """, t AS (SELECT *, extracted_data::JSON AS j FROM archive),
@@ -74,7 +74,7 @@ query(
     "h08_typed_fields",
     "archive",
     f"{_TYPED} SELECT id, v AS vendor, n AS invoice_no, amt AS total_amount, c AS currency FROM typed",
-)(lambda a: nz.typed_fields(a.table("archive").select("id", "extracted_data")).select("id", "typed.*"))
+)(lambda a: nz.typed_fields(a.table("archive", heavy=True).select("id", "extracted_data")).select("id", "typed.*"))
 
 query(
     "h09_backfill_typed_columns",
@@ -83,13 +83,13 @@ query(
   CASE WHEN u THEN CAST(amt AS DECIMAL(12,2)) ELSE total_amount END AS total_amount, CASE WHEN u THEN c ELSE currency END AS currency
 FROM (SELECT *, coalesce(v, n, c, amt::VARCHAR) IS NOT NULL AS u FROM typed)""",
 )(
-    lambda a: nz.backfill_typed_columns(a.table("archive")).select(
+    lambda a: nz.backfill_typed_columns(a.table("archive", heavy=True)).select(
         "id", "vendor", "invoice_no", "total_amount", "currency"
     )
 )
 
 query("h10_backfill_title", "archive", "SELECT id, coalesce(title, original_filename) AS title FROM archive")(
-    lambda a: nz.backfill_title(a.table("archive")).select("id", "title")
+    lambda a: nz.backfill_title(a.table("archive", heavy=True)).select("id", "title")
 )
 
 COLUMNS = ["vendor", "invoiceNumber", "totalAmount", "tax", "po_ref", "status"]
@@ -109,7 +109,7 @@ query(
   coalesce((SELECT CASE WHEN json_type(j) = 'ARRAY' THEN json_array_length(j) END FROM val v WHERE v.id = a.id AND canonical = 'lineItems'),
     CASE WHEN NOT EXISTS (SELECT 1 FROM val v WHERE v.id = a.id AND canonical = 'lineItems') THEN 0 END) AS "itemCount"
 FROM archive a WHERE deleted_at IS NULL AND extracted_data IS NOT NULL""",
-)(lambda a: sh.summary_rows(flt.apply_filter(a.table("archive"), _SPEC), COLUMNS))
+)(lambda a: sh.summary_rows(flt.apply_filter(a.table("archive", heavy=True), _SPEC), COLUMNS))
 
 _AMT = "try_cast(nullif(regexp_replace({}, '[^0-9.]', '', 'g'), '') AS DOUBLE)"
 query(
@@ -130,7 +130,7 @@ UNION ALL SELECT id, filename, vendor, item_no, 0, -1, coalesce(e ->> '$.descrip
   {_AMT.format("coalesce(e ->> '$.amount', e ->> '$.parent_total_amount')")} FROM ob
 UNION ALL SELECT id, filename, vendor, item_no, 1, sub_no, s ->> '$.description', s ->> '$.quantity', {_AMT.format("s ->> '$.unit_price'")}, {_AMT.format("s ->> '$.amount'")} FROM sub""",
 )(
-    lambda a: sh.expanded_rows(flt.apply_filter(a.table("archive"), _SPEC), ["vendor"]).drop(
+    lambda a: sh.expanded_rows(flt.apply_filter(a.table("archive", heavy=True), _SPEC), ["vendor"]).drop(
         "documentType", "status", "uploadedAt", "documentDate"
     )
 )
@@ -143,7 +143,7 @@ query(
 FROM archive a WHERE deleted_at IS NULL AND extracted_data IS NOT NULL ORDER BY strftime(uploaded_at, '%Y-%m-%d') DESC, a.id LIMIT 50""",
 )(
     lambda a: sh.preview(
-        sh.summary_rows(flt.apply_filter(a.table("archive"), _SPEC), ["vendor"]), [F.desc("uploadedAt"), F.asc("id")]
+        sh.summary_rows(flt.apply_filter(a.table("archive", heavy=True), _SPEC), ["vendor"]), [F.desc("uploadedAt"), F.asc("id")]
     ).select("id", "filename", "vendor")
 )
 
@@ -155,7 +155,7 @@ WHERE coalesce(a.canonical, r.raw) NOT IN ('lineItems', 'line_items', 'items', '
 
 
 def _tenant_docs(a: Archive):
-    return flt.apply_filter(flt.tenant_scope(a.table("archive"), "t9"), _SPEC)
+    return flt.apply_filter(flt.tenant_scope(a.table("archive", heavy=True), "t9"), _SPEC)
 
 
 query("d09_discover_fields", "archive", f"{_KEYS} {_FIELDS.format(raws='SELECT raw FROM observed')}")(
@@ -189,10 +189,10 @@ query(
     """SELECT id, vendor, NULL AS currency FROM archive WHERE status = 'failed'
 UNION ALL SELECT id, NULL, currency FROM archive WHERE status = 'queued'""",
 )(
-    lambda a: a.table("archive")
+    lambda a: a.table("archive", heavy=True)
     .filter("status = 'failed'")
     .select("id", "vendor")
-    .unionByName(a.table("archive").filter("status = 'queued'").select("id", "currency"), allowMissingColumns=True)
+    .unionByName(a.table("archive", heavy=True).filter("status = 'queued'").select("id", "currency"), allowMissingColumns=True)
 )
 
 query(
@@ -207,7 +207,7 @@ def _merged(a: Archive):
     patch = F.concat(
         F.lit('{"vendor":"Fixed '), F.col("id"), F.lit('","reviewed_by":"'), F.col("uploaded_by"), F.lit('"}')
     )
-    merged = a.table("archive").select("id", nz.shallow_merge(F.col("extracted_data"), patch).alias("m"))
+    merged = a.table("archive", heavy=True).select("id", nz.shallow_merge(F.col("extracted_data"), patch).alias("m"))
     return merged.select(
         "id",
         F.array_join(F.array_sort(F.json_object_keys("m")), ",").alias("keys"),
@@ -239,4 +239,4 @@ query(
     "h23_auto_title",
     "archive",
     "SELECT id, CASE WHEN vendor <> '' AND invoice_no <> '' THEN vendor || ' — ' || invoice_no END AS auto_title FROM archive",
-)(lambda a: a.table("archive").select("id", nz.auto_title(F.col("vendor"), F.col("invoice_no")).alias("auto_title")))
+)(lambda a: a.table("archive", heavy=True).select("id", nz.auto_title(F.col("vendor"), F.col("invoice_no")).alias("auto_title")))

@@ -41,7 +41,7 @@ def _texts(a: Archive):
     vendor = F.when(
         F.col("id") % 3 == 0, F.concat(F.lit(" SUPPLIER#"), F.lpad((F.col("id") % 25).cast("string"), 9, "0"), F.lit(" "))
     ).when(F.col("id") % 3 == 1, F.concat(F.lit("vendor "), (F.col("id") % 50).cast("string")))
-    return a.table("texts").filter("deleted_at IS NULL").withColumn("vendor", vendor)
+    return a.table("texts", heavy=True).filter("deleted_at IS NULL").withColumn("vendor", vendor)
 
 
 query(
@@ -67,7 +67,7 @@ parsed AS (SELECT *, nullif(CASE WHEN contains(l, '<') THEN trim(replace(regexp_
   WHEN contains(l, '(') THEN regexp_extract(l, '\\((.*)\\)', 1) END, '') AS sname,
   lower(nullif(CASE WHEN contains(l, '<') THEN regexp_extract(l, '<(.*)>', 1) ELSE regexp_extract(l, '^([^\\s]+)', 1) END, '')) AS semail FROM line)"""
 query("h03_parse_sender", "mails", f"{_SENDER} SELECT id, sname AS name, semail AS email FROM parsed")(
-    lambda a: a.table("mails").select("id", ru.parse_sender(F.col("text")).alias("s")).select("id", "s.name", "s.email")
+    lambda a: a.table("mails", heavy=True).select("id", ru.parse_sender(F.col("text")).alias("s")).select("id", "s.name", "s.email")
 )
 
 query(
@@ -112,7 +112,7 @@ links AS (SELECT k.id, k.tenant_id, k.email, CASE WHEN k.email_id IS NOT NULL TH
 
 
 def _links(a: Archive):
-    parsed = a.table("mails").select("id", "tenant_id", ru.parse_sender(F.col("text")).alias("s"))
+    parsed = a.table("mails", heavy=True).select("id", "tenant_id", ru.parse_sender(F.col("text")).alias("s"))
     senders = parsed.select("id", "tenant_id", "s.name", "s.email").filter("email IS NOT NULL")
     return ru.link_senders(senders, a.table("correspondents"))
 
@@ -136,7 +136,7 @@ def _assignable(a: Archive):
         (-1 - F.col("id")).alias("id"), "tenant_id", F.lit("text/plain").alias("mime_type"),
         F.when(F.col("id") % 5 == 0, F.lit(1)).cast("bigint").alias("correspondent_id"), "title", "vendor", "text",
     )
-    return plain.unionByName(a.table("mails"))
+    return plain.unionByName(a.table("mails", heavy=True))
 
 
 query(

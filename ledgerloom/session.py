@@ -60,3 +60,17 @@ def materialise(spark: SparkSession, df, purpose: str):
     path = shared_folder(spark, purpose)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Give every core a share of an input too small to fill the cluster.
+
+    A table that the scan already splits into enough tasks is left as it is, so
+    large inputs are not shuffled for this.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    known = int(split) if split.isdigit() else 128 * 1024 * 1024
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(slots) if size < slots * known else df

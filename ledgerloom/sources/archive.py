@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 TENANT = "concat('t', CAST({key} % 25 AS STRING))"
 
 
@@ -294,9 +296,14 @@ class Archive:
     def parquet(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def table(self, name: str) -> DataFrame:
+    def wide(self, name: str) -> DataFrame:
+        """A parquet table for work that is heavy per row (see ``spread``)."""
+        return spread(self.parquet(name))
+
+    def table(self, name: str, heavy: bool = False) -> DataFrame:
         text = _expand(name)
-        used = {p: self.parquet(p) for p in PARQUET if "{" + p + "}" in text}
+        read = self.wide if heavy else self.parquet
+        used = {p: read(p) for p in PARQUET if "{" + p + "}" in text}
         return self.spark.sql(text, **used)
 
 
