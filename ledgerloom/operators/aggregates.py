@@ -96,7 +96,7 @@ def storage_release(tenants: DataFrame, removed: DataFrame) -> DataFrame:
     """Tenant storage after removing documents, never below zero."""
     freed = removed.groupBy("tenant_id").agg(F.sum("size_bytes").alias("freed_bytes"))
     left_over = F.col("storage_used_bytes") - F.coalesce("freed_bytes", F.lit(0))
-    return tenants.join(freed, "tenant_id", "left").select(
+    return tenants.select("tenant_id", "storage_used_bytes").join(freed, "tenant_id", "left").select(
         "tenant_id",
         F.coalesce("freed_bytes", F.lit(0)).alias("freed_bytes"),
         F.greatest(left_over, F.lit(0)).alias("storage_used_bytes"),

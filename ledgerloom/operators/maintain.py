@@ -113,7 +113,7 @@ def purge_expired(docs: DataFrame, tenants: DataFrame, as_of: datetime.datetime)
     due = last.isNull() | (last <= F.lit(as_of - datetime.timedelta(hours=24)).cast("timestamp_ntz"))
     freed = storage_release(tenants, purged)
     after = (
-        tenants.drop("storage_used_bytes")
+        tenants.drop("storage_used_bytes", "freed_bytes")
         .join(freed, "tenant_id")
         .withColumn("trash_last_purged_at", F.when(due, _at(as_of)).otherwise(last))
     )
