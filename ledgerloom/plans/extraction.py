@@ -145,7 +145,7 @@ query(
     "d13_line_item_audit",
     "archive",
     """SELECT a.id, CAST(s AS DOUBLE) AS items_total, n AS n_items, CASE WHEN n IS NULL OR a.total_amount IS NULL OR s = 0
-  OR abs(s::DOUBLE - a.total_amount::DOUBLE) <= greatest(1.0, a.total_amount::DOUBLE * 0.02) THEN 1.0 ELSE 0.3 END AS math_audit
+  OR abs(s::DOUBLE - a.total_amount::DOUBLE) <= greatest(1.0, a.total_amount::DOUBLE * 0.02) THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS math_audit
 FROM archive a LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS s, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = a.id""",
 )(
     lambda a: gt.line_item_audit(

@@ -107,7 +107,7 @@ query(
     "archive",
     f"""{_WON} SELECT {_HEAD},
   coalesce((SELECT CASE WHEN json_type(j) = 'ARRAY' THEN json_array_length(j) END FROM val v WHERE v.id = a.id AND canonical = 'lineItems'),
-    CASE WHEN NOT EXISTS (SELECT 1 FROM val v WHERE v.id = a.id AND canonical = 'lineItems') THEN 0 END) AS "itemCount"
+    CASE WHEN NOT EXISTS (SELECT 1 FROM val v WHERE v.id = a.id AND canonical = 'lineItems') THEN 0 END)::INT AS "itemCount"
 FROM archive a WHERE deleted_at IS NULL AND extracted_data IS NOT NULL""",
 )(lambda a: sh.summary_rows(flt.apply_filter(a.table("archive", heavy=True), _SPEC), COLUMNS))
 
