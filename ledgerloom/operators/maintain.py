@@ -191,12 +191,16 @@ def patch_documents(docs: DataFrame, patches: DataFrame) -> DataFrame:
 def upsert_field_values(existing: DataFrame, updates: DataFrame, deletes: DataFrame | None = None) -> DataFrame:
     """Last write per document and field wins; deletes clear the value.
 
-    existing(document_id, field_id, value), updates(… , seq) with growing seq.
+    existing(document_id, field_id, value), updates(… , seq); ``seq`` is anything
+    that orders the writes of a field (a number, a time or a struct).
     """
-    both = existing.select("document_id", "field_id", "value", F.lit(-1).cast("bigint").alias("seq")).unionByName(
-        updates.select("document_id", "field_id", "value", F.col("seq").cast("bigint"))
+    kind = updates.schema["seq"].dataType
+    none = F.lit(None).cast(kind)
+    both = existing.select("document_id", "field_id", "value", F.struct(F.lit(0).alias("new"), none.alias("seq")).alias("at")).unionByName(
+        updates.select("document_id", "field_id", "value", F.struct(F.lit(1).alias("new"), F.col("seq")).alias("at"))
     )
-    latest = both.groupBy("document_id", "field_id").agg(F.max_by("value", "seq").alias("value"))
+    # A partial aggregate: a field written very often shrinks in each task.
+    latest = both.groupBy("document_id", "field_id").agg(F.max_by("value", "at").alias("value"))
     return latest if deletes is None else latest.join(deletes, ["document_id", "field_id"], "left_anti")
 
 

@@ -137,7 +137,12 @@ def content_flags(index: DataFrame, q: str, english: bool = True) -> DataFrame:
         wanted = wanted | F.col("lexeme").isin(*exact)
     for prefix in prefixes:
         wanted = wanted | F.col("lexeme").startswith(prefix)
-    columns = [F.max(F.when(F.col("lexeme") == w, F.col("positions"))).alias(f"p{i}") for i, w in enumerate(exact)]
+    # Positions are carried only for words of a phrase; a flag is enough for others.
+    in_phrase = {w for g in groups for t in g if len(t.lexemes) > 1 for w in t.lexemes}
+    columns = [
+        F.max(F.when(F.col("lexeme") == w, F.col("positions") if w in in_phrase else F.lit(True))).alias(f"p{i}")
+        for i, w in enumerate(exact)
+    ]
     starts = [F.max(F.col("lexeme").startswith(p)).alias(f"s{i}") for i, p in enumerate(prefixes)]
     if not columns and not starts:
         return index.filter(F.lit(False)).select("id", F.lit(False).alias("by_words"), F.lit(False).alias("by_prefix"))

@@ -10,14 +10,15 @@ from ..sources.archive import Archive
 from .registry import query
 
 # Answers as a model writes them: plain, fenced, in prose, flat, cut off, hopeless.
-_RAW = """, raw AS (SELECT event_id, user_id AS document_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) - 1 AS chunk_no,
-  event_id % 7 AS form, CASE event_type WHEN 'view' THEN 'invoice' WHEN 'click' THEN 'Receipt' WHEN 'error' THEN 'fax' ELSE 'other' END AS ty,
+_RAW = """, raw AS (SELECT event_id, event_id // 7 AS document_id,
+  (event_id + event_id // 7) % 7 AS form, CASE event_type WHEN 'view' THEN 'invoice' WHEN 'click' THEN 'Receipt' WHEN 'error' THEN 'fax' ELSE 'other' END AS ty,
   CAST(CAST(json_extract_string(props, '$.k') AS INT) AS DOUBLE) / 50 AS conf, event_id AS e FROM events)"""
 
 
 def _answers(a: Archive):
-    """One answer per event; a document's chunks are numbered by event id."""
+    """One answer per event; seven in a row are the chunks of a document."""
     k = F.get_json_object("props", "$.k").cast("int")
+    form = (F.col("event_id") + F.floor(F.col("event_id") / 7)) % 7
     kind = (
         F.when(F.col("event_type") == "view", "invoice")
         .when(F.col("event_type") == "click", "Receipt")
@@ -31,18 +32,23 @@ def _answers(a: Archive):
         head, F.lit(',"fields":{"vendor":"V'), number, F.lit('","total":'), number, F.lit(',"note":"","line_items":[{"d":"'), number, F.lit('"}]}}')
     )
     raw = (
-        F.when(F.col("event_id") % 7 == 0, whole)
-        .when(F.col("event_id") % 7 == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
-        .when(F.col("event_id") % 7 == 2, F.concat(F.lit("Here you go: "), whole, F.lit(" done!")))
-        .when(F.col("event_id") % 7 == 3, F.concat(head.substr(F.lit(1), F.length(head)), F.lit(',"buyer":"B'), number, F.lit('","line_items":[]}')))
-        .when(F.col("event_id") % 7 == 4, F.concat(head, F.lit(',"fields":{"vendor":"V'), number, F.lit('","line_items":[{"d":"'), number, F.lit('"},{"d":"cut')))
-        .when(F.col("event_id") % 7 == 5, F.concat(head, F.lit(',"fields":{"grand_total":'), number, F.lit(',"due')))
+        F.when(form == 0, whole)
+        .when(form == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
+        .when(form == 2, F.concat(F.lit("Here you go: "), whole, F.lit(" done!")))
+        .when(form == 3, F.concat(head.substr(F.lit(1), F.length(head)), F.lit(',"buyer":"B'), number, F.lit('","line_items":[]}')))
+        .when(form == 4, F.concat(head, F.lit(',"fields":{"vendor":"V'), number, F.lit('","line_items":[{"d":"'), number, F.lit('"},{"d":"cut')))
+        .when(form == 5, F.concat(head, F.lit(',"fields":{"grand_total":'), number, F.lit(',"due')))
         .otherwise("Sorry, I cannot extract data.")
     )
-    return a.wide("events").select("event_id", F.col("user_id").alias("document_id"), F.col("event_id").alias("chunk_no"), raw.alias("raw"))
+    return a.wide("events").select(
+        "event_id",
+        F.floor(F.col("event_id") / 7).cast("bigint").alias("document_id"),
+        (F.col("event_id") % 7).alias("chunk_no"),
+        raw.alias("raw"),
+    )
 
 
-_PARSED = f"""{_RAW}, parsed AS (SELECT event_id, document_id, event_id AS chunk_no, form,
+_PARSED = f"""{_RAW}, parsed AS (SELECT event_id, document_id, event_id % 7 AS chunk_no, form,
   CASE lower(ty) WHEN 'invoice' THEN 'invoice' WHEN 'receipt' THEN 'receipt' ELSE 'other' END AS model_type, greatest(0.0::DOUBLE, least(1.0::DOUBLE, conf)) AS confidence,
   CASE WHEN form IN (0, 1, 2, 4) THEN 'V' || e END AS vendor, CASE WHEN form = 3 THEN 'B' || e END AS buyer,
   CASE WHEN form IN (0, 1, 2) THEN e END AS total, CASE WHEN form = 5 THEN e END AS grand_total,

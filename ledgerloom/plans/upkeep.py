@@ -309,13 +309,8 @@ FROM archive a LEFT JOIN customer ON c_custkey = a.id""",
 
 
 def _value_updates(a: Archive):
-    order = F.struct("set_at", "source_id", "line_no", "value")
-    rows = a.table("field_values")
-    # The order of writes as one number per (document, field): rank by time.
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("document_id", "field_id").orderBy(order)
-    return rows.select("document_id", "field_id", "value", F.row_number().over(w).alias("seq"))
+    order = F.struct("set_at", "source_id", "line_no", F.col("value").alias("tie"))
+    return a.table("field_values").select("document_id", "field_id", "value", order.alias("seq"))
 
 
 query(
