@@ -247,6 +247,26 @@ def name_similarity(q: str) -> Column:
     return F.greatest(word_similarity(q, title), word_similarity(q, F.col("original_filename")))
 
 
+def trigram_table(docs: DataFrame) -> DataFrame:
+    """(id, trigram) of the titles and file names, written once like the word index."""
+    both = F.concat(
+        trigram_column(F.coalesce("title", "original_filename")), trigram_column(F.col("original_filename"))
+    )
+    return docs.select("id", F.explode(F.array_distinct(both)).alias("trigram"))
+
+
+def name_candidates(name_index: DataFrame, q: str) -> DataFrame:
+    """Ids whose names can reach the threshold.
+
+    A similarity of t needs at least t times the query's trigrams to be shared, so
+    leaving out names that share fewer loses no match.
+    """
+    wanted = sorted(set(trigrams(q)))
+    shared = name_index.filter(F.col("trigram").isin(*wanted) if wanted else F.lit(False))
+    enough = F.col("n") >= NAME_THRESHOLD * len(wanted) - 1e-9
+    return shared.groupBy("id").agg(F.count("*").alias("n")).filter(enough).select("id")
+
+
 # -- ranking ------------------------------------------------------------------------------
 
 
@@ -350,11 +370,15 @@ def snippet(q: str, text: Column, matched: Column, english: bool = True) -> Colu
 # -- search ------------------------------------------------------------------------------------
 
 
-def search_hits(docs: DataFrame, index: DataFrame, q: str, english: bool = True) -> DataFrame:
+def search_hits(
+    docs: DataFrame, index: DataFrame, q: str, english: bool = True, name_index: DataFrame | None = None
+) -> DataFrame:
     """Live documents that match by content or by name, with flags and score.
 
     docs: id, title, original_filename, uploaded_at, deleted_at and others.  A
-    blank query matches nothing.
+    blank query matches nothing.  With ``name_index`` (see ``trigram_table``) only
+    documents that the two indexes point to are looked at; without it every name
+    is compared.
     """
     term = (q or "").strip()
     if not term:
@@ -362,7 +386,13 @@ def search_hits(docs: DataFrame, index: DataFrame, q: str, english: bool = True)
         return empty.withColumns(
             {"content_match": F.lit(False), "name_score": F.lit(0.0), "score": F.lit(0.0), "matched_fields": F.array().cast("array<string>")}
         )
-    flagged = content_match(live(docs), index, term, english)
+    if name_index is None or matches_without_words(term, english):
+        flagged = content_match(live(docs), index, term, english)
+    else:
+        flags = content_flags(index, term, english).filter("by_words OR by_prefix")
+        found = flags.select("id", F.lit(True).alias("content_match"))
+        either = found.join(name_candidates(name_index, term), "id", "full_outer")
+        flagged = live(docs).join(either, "id").withColumn("content_match", F.coalesce("content_match", F.lit(False)))
     # A one-row generator: the similarity is computed once per document.
     scored = flagged.select("*", F.explode(F.array(name_similarity(term))).alias("name_score"))
     by_name = F.col("name_score") >= NAME_THRESHOLD
@@ -387,6 +417,7 @@ def search(
     size: int = PAGE_SIZE,
     as_of: datetime.datetime | None = None,
     english: bool = True,
+    name_index: DataFrame | None = None,
 ) -> DataFrame:
     """One page of results, best first, with snippets.
 
@@ -399,7 +430,7 @@ def search(
     if window:
         docs = relative_date(docs, window, as_of or datetime.datetime.now(datetime.UTC).replace(tzinfo=None))
     text = docs.select("id", "text")
-    hits = search_hits(docs.drop("text"), index, q, english)
+    hits = search_hits(docs.drop("text"), index, q, english, name_index)
     top = page(hits, sort_columns(None, ranked=True), number, size)
     shown = top.join(text, "id")
     return (

@@ -125,24 +125,25 @@ query(
     )
 )
 
-query(
-    "i09_search",
-    "texts",
-    f"""{_HITS} SELECT id, round(score, 6) AS score, matched_fields, c AS has_snippet FROM shown WHERE document_type = 'report'
-ORDER BY score DESC, uploaded_at DESC, id LIMIT 20""",
-)(lambda a: _search_page(a))
+_PAGE = f"""{_HITS} SELECT id, round(score, 6) AS score, matched_fields, c AS has_snippet FROM shown WHERE document_type = 'report'
+ORDER BY score DESC, uploaded_at DESC, id LIMIT 20"""
 
 
-def _search_page(a: Archive):
-    index = materialise(a.spark, _index(a), "lexemes")
-    found = se.search(a.table("texts", heavy=True), index, RANKED, document_type="report", english=False)
+def _search_page(a: Archive, with_names: bool):
+    docs = a.table("texts", heavy=True)
+    index = materialise(a.spark, se.lexeme_table(docs, english=False), "lexemes")
+    names = se.trigram_table(docs) if with_names else None
+    found = se.search(docs, index, RANKED, document_type="report", english=False, name_index=names)
     return found.select(
         "id",
         F.round("score", 6).alias("score"),
         F.array_join("matched_fields", ",").alias("matched_fields"),
-        F.col("snippet").contains("<mark>").alias("has_snippet"),
-    ).withColumn("has_snippet", F.coalesce("has_snippet", F.lit(False)))
+        F.coalesce(F.col("snippet").contains("<mark>"), F.lit(False)).alias("has_snippet"),
+    )
+
 
+query("i09_search", "texts", _PAGE)(lambda a: _search_page(a, with_names=False))
+query("i09_search_by_indexes", "texts", _PAGE)(lambda a: _search_page(a, with_names=True))
 
 query(
     "b12_text_search_filter",

@@ -57,6 +57,14 @@ def test_search_ranking_filter_and_prefix(library):
     assert [r.id for r in hits(library, '"final schedule"')][0] == "A"
 
 
+@pytest.mark.parametrize("q", ["electricity consumption", "quartrly", "Bluefox Import", "schedule", "-schedule", "zxqwvnomatchxyz", "Renamed", "ren bud"])
+def test_name_index_loses_nothing(library, q):
+    docs, index = library
+    plain = se.search_hits(docs, index, q).select("id", "score").collect()
+    indexed = se.search_hits(docs, index, q, name_index=se.trigram_table(docs)).select("id", "score").collect()
+    assert sorted(plain) == sorted(indexed)
+
+
 def test_snippet_is_escaped(library):
     (d,) = [r for r in hits(library, "widget total") if r.id == "D"]
     assert "&lt;img" in d.snippet and "<img" not in d.snippet and "<mark>widget</mark>" in d.snippet
