@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import anomaly, exact_dedup, language, quality, toxicity
+from . import anomaly, exact_dedup, language, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def _query(name: str, sql: str | None = None):
     return wrap
 
 
+@_query("op2_packing")
+def op2(spark, folder):
+    return packing.pack(_table(spark, folder, "documents"))
+
+
 @_query("op3_toxicity")
 def op3(spark, folder):
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
