@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
-from . import anomaly, exact_dedup, language, packing, quality, toxicity
+from . import anomaly, bwt_dedup, exact_dedup, language, packing, quality, relative_parse, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,50 @@ def op6(spark, folder):
 @_query("op7_quality_rules")
 def op7(spark, folder):
     return anomaly.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query(
+    "op8_relative_parse",
+    r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+     s AS (SELECT doc_id, pos, md5(array_to_string(ws[pos:pos + 34], ' ')) AS h
+           FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS pos FROM w WHERE len(ws) >= 35)),
+     r AS (SELECT doc_id, pos FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+     g AS (SELECT u.doc_id, u.pos, u.word,
+                  count(r.pos) OVER (PARTITION BY u.doc_id ORDER BY u.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone
+           FROM u LEFT JOIN r USING (doc_id, pos)),
+     k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept
+           FROM g GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""",
+)
+def op8(spark, folder):
+    parsed = relative_parse.factor(_table(spark, folder, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query(
+    "op10_suffix_array",
+    r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+     c AS (SELECT doc_id, len(x) // 2 AS n, q, substr(x, 2000 * q + 1, 2198) AS z
+           FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2000 + 1)) AS q FROM b)),
+     u AS (SELECT doc_id, n, 1000 * q + j AS pos, substr(z, 2 * j - 1, 2) AS y, substr(z, 2 * j - 1, 200) AS v
+           FROM (SELECT *, unnest(range(1, least(1000, n - 1000 * q) + 1)) AS j FROM c)),
+     s AS (SELECT doc_id, pos, md5(v) AS h FROM u WHERE pos + 99 <= n),
+     r AS (SELECT doc_id, pos FROM s QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) > 1),
+     g AS (SELECT u.doc_id, u.pos, u.y,
+                  count(r.pos) OVER (PARTITION BY u.doc_id ORDER BY u.pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 0 AS gone
+           FROM u LEFT JOIN r USING (doc_id, pos)),
+     e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM g),
+     k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+                  string_agg(y, '' ORDER BY pos) FILTER (WHERE NOT gone) AS kept
+           FROM e GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)""",
+)
+def op10(spark, folder):
+    found = bwt_dedup.suffix_dedup(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -119,11 +119,14 @@ def owners(first: np.ndarray) -> np.ndarray:
 
 
 def window_argmin(keys: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost least key in every run of ``width`` neighbours."""
+    """Position of the leftmost least key in every run of ``width`` neighbours.
+
+    Keys are compared by their upper 32 bits, so that equal runs give equal places wherever they are.
+    """
     n = len(keys) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
+    low = np.uint64((1 << 32) - 1)
     best = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
     reach = 1
     while 2 * reach <= width:
