@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import anomaly, bwt_dedup, exact_dedup, language, packing, quality, relative_parse, toxicity
+from . import anomaly, bwt_dedup, exact_dedup, language, ngram_join, packing, quality, relative_parse, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,26 @@ def _query(name: str, sql: str | None = None):
     return wrap
 
 
+@_query(
+    "op1_ngram_join",
+    r"""
+WITH RECURSIVE
+     w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+           FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+     l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id)::BIGINT AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n""",
+)
+def op1(spark, folder):
+    return ngram_join.near_duplicates(_table(spark, folder, "documents"))
+
+
 @_query("op2_packing")
 def op2(spark, folder):
     return packing.pack(_table(spark, folder, "documents"))
