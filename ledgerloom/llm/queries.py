@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import anomaly, bwt_dedup, exact_dedup, language, ngram_join, packing, quality, relative_parse, toxicity
+from . import anomaly, bwt_dedup, exact_dedup, language, ngram_join, packing, quality, relative_parse, sampling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +106,16 @@ def op8(spark, folder):
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@_query("op9_sentencepiece_sampling")
+def op9(spark, folder):
+    turns = _table(spark, folder, "conversations")
+    drawn = sampling.encode(turns, ["conv_id", "turn"])
+    return drawn.select(
+        "conv_id", "turn", "rank", F.size("ids").alias("n_pieces"), F.md5(F.concat_ws(",", "ids")).alias("ids_md5"),
+        "log_prob", "perturbed", "inclusion", F.sha2(sampling.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 @_query(
     "op10_suffix_array",
     r"""
