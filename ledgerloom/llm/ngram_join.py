@@ -7,11 +7,11 @@ Two documents link when the Jaccard similarity of their sets of ``words``-word s
 2. Shared shingles are counted per class, exactly: a class of n shingles can only link if at least
    ``percent`` of them occur in another class.  Shingles travel as packed 32-bit marks, dealt by
    hash; each task sends a shingle once, however many of its documents have it.
-3. The classes left are put in a global order of shingles; classes that share one of the first
-   ``n - ceil(t n) + 1`` (the prefix) may link.  They are joined to the least class with that
-   shingle only, never to each other, and the connected candidates form a group.
+3. The shingles of the classes left are put in a global order, rarest first; classes that share one
+   of the first ``n - ceil(t n) + 1`` (the prefix) may link.  They are joined to the least class with
+   that shingle only, never to each other, and the connected candidates form a group.
 4. Groups are compared in tiles of at most two blocks of ``BLOCK`` classes.  Inside a tile a pair is a
-   candidate if it shares a prefix shingle under *every one* of ``ORDERS`` different global orders;
+   candidate if it shares a prefix shingle under *every one* of ``ORDERS`` more global orders;
    candidates are verified by counting.  A tile returns each class's links and a spanning forest.
 5. The components of the forests are the result.
 
@@ -175,22 +175,24 @@ def _ranked(key: np.ndarray, row: np.ndarray, first: np.ndarray, order: int) ->
 
 
 def groups(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, component): classes that prefixes under the first order connect."""
+    """(node, component): classes that prefixes under the rarest-first order connect."""
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, off in slices(batch.column(1)):
-                key, first = raw.view(np.uint64) if raw.ctypes.data % 8 == 0 else np.frombuffer(raw.tobytes(), np.uint64), off // 8
-                row, n = owners(first), np.diff(first)
-                at = _ranked(key, row, first, 0)
-                taken = np.arange(len(key)) - first[:-1][row] < prefix_length(n, percent)[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at][taken].view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(row[taken]))], ["token", "node"]
-                )
-
-    entries = nodes.select("node", "tokens").mapInArrow(prefixes, "token long, node long")
-    lists = entries.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("token", "pivot")
-    return connected_components(entries.join(lists, "token").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+                node = batch.column(0).slice(lo, hi - lo).take(pa.array(owners(off // 8)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), node], ["token", "node"])
+
+    entries = nodes.select("node", "tokens").mapInArrow(spread, "token long, node long")
+    common = entries.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    met = entries.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("met"))
+    # Shingles of one class come first in the order and fill the prefix without meeting anything.
+    size = nodes.select("node", (F.octet_length("tokens") / 8).cast("int").alias("n"))
+    left = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1 - (F.col("n") - F.size("met"))
+    prefix = met.join(size, "node").select("node", F.explode(F.slice("met", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))["token"]).alias("token"))
+    prefix = materialise(nodes.sparkSession, prefix, "prefixes")
+    lists = prefix.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("token", "pivot")
+    return connected_components(prefix.join(lists, "token").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
 
 
 def _shared(member: np.ndarray, row: np.ndarray, column: np.ndarray, rows: int) -> np.ndarray:
