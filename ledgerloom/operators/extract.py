@@ -237,7 +237,7 @@ def usable_text(text: Column, pages: Column) -> Column:
     return visible >= F.greatest(F.lit(16), F.lit(8) * F.greatest(pages, F.lit(1)))
 
 
-def document_date(text: Column, as_of, char_cap: int | None = 2000) -> Column:
+def document_date(text: Column, as_of, char_cap: int | None = None) -> Column:
     """First date-like token of the text, unless it is implausible.
 
     More than three days ahead or over fifty calendar years old gives NULL.
@@ -252,13 +252,12 @@ def document_date(text: Column, as_of, char_cap: int | None = 2000) -> Column:
 
 # Model window, output reserve, prompt overhead, margin, characters per token.
 MODEL_WINDOW, OUTPUT_RESERVE, OVERHEAD, MARGIN, CHARS_PER_TOKEN = 2048, 768, 200, 50, 1.35
-MAX_MODEL_CALLS = 6
 CHUNK_CHARS = int(max(256, MODEL_WINDOW - OUTPUT_RESERVE - OVERHEAD - MARGIN) * CHARS_PER_TOKEN)
 
 _LINE_WITH_END = rf"[^{_BREAKS}]*(?:\r\n|[{_BREAKS}])|[^{_BREAKS}]+"
 
 
-def chunks(text: Column, budget: int = CHUNK_CHARS, max_chunks: int | None = MAX_MODEL_CALLS) -> Column:
+def chunks(text: Column, budget: int = CHUNK_CHARS, max_chunks: int | None = None) -> Column:
     """Line-aligned pieces of at most ``budget`` characters, filled greedily.
 
     A longer single line stays whole.  ``max_chunks`` bounds the model calls;
@@ -280,7 +279,7 @@ def chunks(text: Column, budget: int = CHUNK_CHARS, max_chunks: int | None = MAX
     return pieces if max_chunks is None else F.slice(pieces, 1, max_chunks)
 
 
-def chunk_table(df: DataFrame, budget: int = CHUNK_CHARS, max_chunks: int | None = MAX_MODEL_CALLS) -> DataFrame:
+def chunk_table(df: DataFrame, budget: int = CHUNK_CHARS, max_chunks: int | None = None) -> DataFrame:
     """One row per document and chunk."""
     return df.select("id", F.posexplode(chunks(F.col("text"), budget, max_chunks)).alias("chunk_no", "chunk"))
 
@@ -288,11 +287,11 @@ def chunk_table(df: DataFrame, budget: int = CHUNK_CHARS, max_chunks: int | None
 MIN_MODEL_TEXT = 8
 
 
-def model_work_list(df: DataFrame, max_calls: int | None = MAX_MODEL_CALLS) -> DataFrame:
+def model_work_list(df: DataFrame, max_calls: int | None = None) -> DataFrame:
     """Model calls for routed documents: mode, pass and chunk.
 
     Text mode: one header call on the first chunk, then one item call per chunk
-    with one call less than the maximum.  Documents without usable text become a
+    (with ``max_calls``, one call less than that).  Documents without usable text become a
     single vision row.  Input: id, text, has_text_layer.
     """
     trimmed = F.regexp_replace(F.coalesce("text", F.lit("")), rf"^{_SP}+|{_SP}+$", "")

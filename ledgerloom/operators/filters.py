@@ -151,13 +151,13 @@ def relative_date(df: DataFrame, window: str | None, as_of: datetime.datetime) -
     return df if start is None else df.filter(F.col("uploaded_at") >= F.lit(start).cast("timestamp_ntz"))
 
 
-def missing_extractions(df: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Finished or reviewed PDFs and images that hold no extracted data."""
+def missing_extractions(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Finished or reviewed PDFs and images that hold no extracted data, all or the ``limit`` oldest."""
     eligible = F.col("mime_type").isin("application/pdf", "image/png", "image/jpeg", "image/webp", "image/tiff")
     out = df.filter(
         F.col("status").isin("completed", "needs_review") & F.col("extracted_data").isNull() & eligible
     )
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy("uploaded_at", "id").limit(limit)
 
 
 def document_by_id(df: DataFrame, doc_id) -> DataFrame:

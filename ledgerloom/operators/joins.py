@@ -327,10 +327,13 @@ def disambiguate_filenames(df: DataFrame) -> DataFrame:
 
     Numbers follow id order.  Rows of one name are numbered in two levels (blocks
     of ids, then inside a block), so a very common name is not ordered in one task.
+    Numeric ids are blocked by range, others by their first characters; both keep the order.
     """
     name = F.coalesce(F.when(F.col("original_filename") != "", F.col("original_filename")), F.col("id").cast("string"))
     block_size = 100_000
-    base = df.select("id", name.alias("name")).withColumn("block", F.floor(F.col("id") / block_size))
+    numeric = dict(df.dtypes)["id"] not in ("string", "binary")
+    block = F.floor(F.col("id") / block_size) if numeric else F.substring("id", 1, 3)
+    base = df.select("id", name.alias("name")).withColumn("block", block)
     sizes = base.groupBy("name", "block").agg(F.count("*").alias("size"))
     earlier = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("name", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))

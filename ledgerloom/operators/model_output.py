@@ -32,7 +32,11 @@ def parse_model_output(df: DataFrame, raw: str = "raw") -> DataFrame:
     bare = F.btrim(F.regexp_replace(F.regexp_replace(text, r"^```[A-Za-z0-9]*\s*", ""), r"\s*```$", ""), F.lit(jv.BLANKS))
 
     def readable(c: Column) -> Column:
-        return F.when(F.try_parse_json(c).isNotNull() & (c != ""), c)
+        # The reader stops after one value; inside brackets and inside braces it must be the only thing there.
+        listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+        keyed = F.try_parse_json(F.concat(F.lit('{"w":'), c, F.lit("}")))
+        alone = listed.isNotNull() & keyed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull()
+        return F.when(alone & F.try_parse_json(c).isNotNull() & (c != ""), c)
 
     def first_try(t: Column) -> Column:
         first = F.coalesce(readable(t), readable(F.regexp_extract(t, r"(?s)(\{.*\})", 1)))
@@ -148,7 +152,7 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     keys take the last filled value, others keep the first unless it is empty.
     """
     nodes = pages.select("document_id", "page_no", F.inline(json_nodes(F.col("data"))))
-    rows = nodes.filter("path NOT LIKE '/validation_errors%'")
+    rows = nodes.filter("path <> '/validation_errors' AND NOT startswith(path, '/validation_errors/')")
     grouped = rows.groupBy("document_id", "path", "key").agg(
         F.array_sort(F.collect_list(F.struct("page_no", "kind", "json"))).alias("seen")
     )
@@ -249,7 +253,9 @@ def validate_extraction(df: DataFrame, data: str = "data", schema: str | None =
         return F.get(F.filter(nodes, lambda n: name(n).isin(*keys) & n["number"].isNotNull()), 0)["number"]
 
     def shown(c: Column) -> Column:
-        return c.cast("string")
+        # Plain digits up to 16 places, as the messages are fixed; Spark would change to powers of ten at 10 million.
+        plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"0+$", ""), r"\.$", ".0")
+        return F.when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16), plain).otherwise(c.cast("string"))
 
     sub, tax, total = F.col("_sub"), F.col("_tax"), F.col("_total")
     mismatch = F.when(

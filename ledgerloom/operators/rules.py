@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEXT_CAP = 5000
 
+def fold(text: Column) -> Column:
+    """Case folding: also ``ß`` and ``SS`` are equal."""
+    return F.lower(F.upper(text))
 
-def rule_text(title: Column, text: Column, cap: int | None = TEXT_CAP) -> Column:
-    """Title, a blank and the text; the first ``cap`` characters of the whole."""
+
+def rule_text(title: Column, text: Column, cap: int | None = None) -> Column:
+    """Title, a blank and the text; all of it, or its first ``cap`` characters."""
     joined = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
     return joined if cap is None else F.substring(joined, 1, cap)
 
@@ -29,7 +32,7 @@ def checked_regex(pattern: Column) -> Column:
 def prepare_rules(rules: DataFrame) -> DataFrame:
     """Active rules with folded pattern, its words and a safe regex."""
     active = rules.filter((F.col("matching_algorithm") != "none") & (F.col("match") != ""))
-    folded = F.when(F.col("is_insensitive"), F.lower("match")).otherwise(F.col("match"))
+    folded = F.when(F.col("is_insensitive"), fold(F.col("match"))).otherwise(F.col("match"))
     regex = F.when(
         F.col("matching_algorithm") == "regex",
         checked_regex(F.concat(F.when(F.col("is_insensitive"), "(?iu)").otherwise(""), F.col("match"))),
@@ -59,10 +62,10 @@ def rule_hit(text: Column, folded_text: Column) -> Column:
 
 def _texts(docs: DataFrame, cap: int | None, *extra: str) -> DataFrame:
     body = rule_text(F.col("title"), F.col("text"), cap)
-    return docs.select("id", "tenant_id", *extra, body.alias("rule_text")).withColumn("folded_text", F.lower("rule_text"))
+    return docs.select("id", "tenant_id", *extra, body.alias("rule_text")).withColumn("folded_text", fold(F.col("rule_text")))
 
 
-def match_tags(docs: DataFrame, tags: DataFrame, cap: int | None = TEXT_CAP) -> DataFrame:
+def match_tags(docs: DataFrame, tags: DataFrame, cap: int | None = None) -> DataFrame:
     """(document_id, tag_id) for every tag rule that matches.
 
     Input: docs(id, tenant_id, title, text).  ``cap=None`` reads whole texts.
@@ -76,7 +79,7 @@ def match_tags(docs: DataFrame, tags: DataFrame, cap: int | None = TEXT_CAP) ->
     )
 
 
-def match_correspondents(docs: DataFrame, correspondents: DataFrame, cap: int | None = TEXT_CAP) -> DataFrame:
+def match_correspondents(docs: DataFrame, correspondents: DataFrame, cap: int | None = None) -> DataFrame:
     """First correspondent per document by rule or by equal vendor name.
 
     Input: docs(id, tenant_id, title, text, vendor).  Rules are tried in creation
@@ -84,7 +87,7 @@ def match_correspondents(docs: DataFrame, correspondents: DataFrame, cap: int |
     """
     rules = prepare_rules(correspondents).select(
         F.col("id").alias("correspondent_id"),
-        F.lower("name").alias("rule_name"),
+        fold(F.col("name")).alias("rule_name"),
         F.col("created_at").alias("rule_created"),
         "tenant_id",
         "matching_algorithm",
@@ -94,7 +97,7 @@ def match_correspondents(docs: DataFrame, correspondents: DataFrame, cap: int |
         "rule_regex",
     )
     joined = _texts(docs, cap, "vendor").join(rules, "tenant_id")
-    by_name = F.coalesce(F.lower(F.btrim("vendor")) == F.col("rule_name"), F.lit(False))
+    by_name = F.coalesce(fold(F.btrim("vendor")) == F.col("rule_name"), F.lit(False))
     hits = joined.filter(by_name | rule_hit(F.col("rule_text"), F.col("folded_text")))
     first = F.min_by("correspondent_id", F.struct("rule_created", "correspondent_id"))
     return hits.groupBy("id").agg(first.alias("correspondent_id"))
@@ -174,7 +177,7 @@ def new_correspondents(links: DataFrame) -> DataFrame:
 
 
 def assign_correspondent(
-    docs: DataFrame, correspondents: DataFrame, email_type: str = "message/rfc822", cap: int | None = TEXT_CAP
+    docs: DataFrame, correspondents: DataFrame, email_type: str = "message/rfc822", cap: int | None = None
 ) -> DataFrame:
     """Correspondent for documents that have none.
 
@@ -195,7 +198,7 @@ def assign_correspondent(
 
 
 def apply_rules_to_existing(
-    docs: DataFrame, tags: DataFrame, correspondents: DataFrame, document_tags: DataFrame, cap: int | None = TEXT_CAP
+    docs: DataFrame, tags: DataFrame, correspondents: DataFrame, document_tags: DataFrame, cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Re-run all rules over live documents; running it twice changes nothing more.
 

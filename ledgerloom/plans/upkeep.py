@@ -57,7 +57,7 @@ query(
 )(
     lambda a: a.table("texts").select(
         "id",
-        ru.rule_text(F.col("title"), F.col("text")).alias("rule_text"),
+        ru.rule_text(F.col("title"), F.col("text"), cap=5000).alias("rule_text"),
         F.length(ru.rule_text(F.col("title"), F.col("text"), None)).alias("full_length"),
     )
 )

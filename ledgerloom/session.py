@@ -35,6 +35,10 @@ def local_session(cores: str = "8", app: str = "ledgerloom") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("LEDGERLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+        # Small test tables are split over the cores.
+        .config("spark.sql.files.minPartitionNum", cores if cores.isdigit() else "8")
+        .config("spark.sql.files.openCostInBytes", "65536")
+        .config("spark.sql.files.maxPartitionBytes", "2m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in REQUIRED.items():
@@ -46,10 +50,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for written intermediate tables and stream state.
 
     The cluster names the shared root in ``spark.checkpoint.dir``.  Only where it
-    names none (tests on one machine) a temporary folder is used.
+    names none and the master is local (tests) a temporary folder is used; anywhere
+    else executors would not see each other's files, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -61,16 +68,3 @@ def materialise(spark: SparkSession, df, purpose: str):
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df):
-    """Give every core a share of an input too small to fill the cluster.
-
-    A table that the scan already splits into enough tasks is left as it is, so
-    large inputs are not shuffled for this.
-    """
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
-    known = int(split) if split.isdigit() else 128 * 1024 * 1024
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(slots) if size < slots * known else df

@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
 
 TENANT = "concat('t', CAST({key} % 25 AS STRING))"
 
@@ -297,8 +296,8 @@ class Archive:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def wide(self, name: str) -> DataFrame:
-        """A parquet table for work that is heavy per row (see ``spread``)."""
-        return spread(self.parquet(name))
+        """A parquet table for work that is heavy per row; the session decides its splits."""
+        return self.parquet(name)
 
     def table(self, name: str, heavy: bool = False) -> DataFrame:
         text = _expand(name)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import limit_with_truncation_flag, sort_columns
 
-EXPORT_LIMIT = 5000
 BYTE_ORDER_MARK = "\ufeff"
 # Header of the document export.
 EXPORT_COLUMNS = (
@@ -15,7 +14,7 @@ EXPORT_COLUMNS = (
 )
 
 
-def export_rows(df: DataFrame, limit: int | None = EXPORT_LIMIT) -> DataFrame:
+def export_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Export columns as text, newest first; ``limit=None`` exports every row.
 
     With a limit, the column ``truncated`` tells whether rows were left out.

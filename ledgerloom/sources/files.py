@@ -221,8 +221,9 @@ _INVOICE = (
 
 
 def _safe_xml(text: Column) -> Column:
-    """Text without document type or entity declarations near its start, else NULL."""
-    head = F.substring(text, 1, 4096)
+    """Text without document type or entity declarations before its root element, else NULL."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    head = F.regexp_extract(bare, r"(?s)^(.*?)(?:<[A-Za-z_]|$)", 1)
     return F.when(~head.contains("<!DOCTYPE") & ~head.contains("<!ENTITY"), text)
 
 

@@ -151,7 +151,7 @@ def test_match_rules(spark):
 
 def test_rule_text_cap(spark):
     df = spark.createDataFrame([("ab", "x" * 6000), (None, "y")], "title string, text string")
-    got = [r[0] for r in df.select(ru.rule_text(F.col("title"), F.col("text"))).collect()]
+    got = [r[0] for r in df.select(ru.rule_text(F.col("title"), F.col("text"), 5000)).collect()]
     assert got[0] == "ab " + "x" * 4997 and got[1] == " y"
 
 
