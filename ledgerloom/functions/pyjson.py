@@ -125,6 +125,46 @@ def json_nodes(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if (n := walk(t)) is None else [dict(zip(names, x)) for x in n])
 
 
+def merge_into(held: dict, new: dict, last_wins) -> dict:
+    """Merge ``new`` into ``held``: lists join, objects merge, of anything else the first filled value stays.
+
+    Under keys that ``last_wins`` accepts, the last filled value stays.  Values of different kinds never mix.
+    """
+    for key, value in new.items():
+        old = held.setdefault(key, value)
+        if old is value:
+            continue
+        if isinstance(old, list) and isinstance(value, list):
+            old.extend(value)
+        elif isinstance(old, dict) and isinstance(value, dict):
+            merge_into(old, value, last_wins)
+        elif value not in (None, "") and (old in (None, "") or last_wins(key)):
+            held[key] = value
+    return held
+
+
+def merge_objects(total_keys: tuple[str, ...], leave_out: str):
+    """Column function: one object text from object texts in order; others are skipped, NULL if none is left."""
+
+    def fold(texts):
+        merged = None
+        for text in texts:
+            try:
+                page = json.loads(text or "null")
+            except ValueError:
+                continue
+            if isinstance(page, dict):
+                page.pop(leave_out, None)
+                merged = merge_into({} if merged is None else merged, page, lambda k: any(t in k.lower() for t in total_keys))
+        return None if merged is None else json.dumps(merged, ensure_ascii=False)
+
+    @pandas_udf(T.StringType())
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(fold)
+
+    return run
+
+
 def _nest(paths, values) -> str:
     root: dict = {}
     for path, value in sorted(zip(paths, values), key=lambda p: p[0].count("/")):

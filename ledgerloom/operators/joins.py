@@ -108,14 +108,16 @@ def type_by_name(documents: DataFrame, types: DataFrame) -> DataFrame:
     """(tenant_id, document_type) -> type id: system rows and the tenant's own.
 
     Several rows may share a name; the lowest id wins.  Only the distinct pairs
-    are looked up, not every document.
+    are looked up, not every document, and a name that many tenants own meets
+    each tenant's own row only.
     """
     pairs = documents.select("tenant_id", "document_type").distinct()
-    catalog = types.select(
-        F.col("id").alias("named_type_id"), F.col("tenant_id").alias("owner"), F.col("name").alias("document_type")
-    )
-    hit = pairs.join(catalog, "document_type").filter(F.col("owner").isNull() | (F.col("owner") == F.col("tenant_id")))
-    return hit.groupBy("tenant_id", "document_type").agg(F.min("named_type_id").alias("named_type_id"))
+    catalog = types.select("id", "tenant_id", F.col("name").alias("document_type"))
+    system = catalog.filter("tenant_id IS NULL").groupBy("document_type").agg(F.min("id").alias("system_id"))
+    own = catalog.filter("tenant_id IS NOT NULL").groupBy("tenant_id", "document_type").agg(F.min("id").alias("own_id"))
+    hit = pairs.join(system, "document_type", "left").join(own, ["tenant_id", "document_type"], "left")
+    found = hit.select("tenant_id", "document_type", F.least("system_id", "own_id").alias("named_type_id"))
+    return found.filter("named_type_id IS NOT NULL")
 
 
 def ranked_template(templates: DataFrame, condition: Column, prefix: str) -> DataFrame:
@@ -251,15 +253,18 @@ def templates_with_types(templates: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def predefined_fields(all_types: DataFrame, type_fields: DataFrame, custom_fields: DataFrame) -> DataFrame:
-    """Attached fields per type, ordered by position and name; empty list when none."""
-    catalog = custom_fields.select(F.col("id").alias("field_id"), F.col("name").alias("field_name"), "field_type")
+    """Attached fields per tenant and type, ordered by position and name; empty list when none.
+
+    all_types: tenant_id, document_type.  A field counts only for the tenant that owns it.
+    """
+    catalog = custom_fields.select("tenant_id", F.col("id").alias("field_id"), F.col("name").alias("field_name"), "field_type")
     entry = F.struct("position", "field_name", F.col("id"), "field_id", "field_type", "required")
     lists = (
-        type_fields.join(catalog, "field_id")
-        .groupBy("document_type")
+        type_fields.join(catalog, ["tenant_id", "field_id"])
+        .groupBy("tenant_id", "document_type")
         .agg(F.array_sort(F.collect_list(entry)).alias("fields"))
     )
-    joined = all_types.join(lists, "document_type", "full_outer")
+    joined = all_types.join(lists, ["tenant_id", "document_type"], "full_outer")
     return joined.withColumn("fields", F.coalesce("fields", F.array().cast(lists.schema["fields"].dataType)))
 
 
@@ -271,6 +276,14 @@ def type_counts_with_catalog(df: DataFrame, types: DataFrame, tenant: str) -> Da
     return catalog.join(counts, "name", "full_outer").select("name", F.coalesce("observed", F.lit(0)).alias("n"))
 
 
+def types_outside_catalog(df: DataFrame, types: DataFrame) -> DataFrame:
+    """(tenant_id, name) of document types in use that neither the system nor the tenant has in its catalog."""
+    used = df.select("tenant_id", F.col("document_type").alias("name")).distinct()
+    system = types.filter("tenant_id IS NULL").select("name")
+    own = types.filter("tenant_id IS NOT NULL").select("tenant_id", "name")
+    return used.join(system, "name", "left_anti").join(own, ["tenant_id", "name"], "left_anti")
+
+
 # -- self joins and deduplication ----------------------------------------------
 
 

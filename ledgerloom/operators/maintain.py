@@ -216,17 +216,18 @@ def upload_time_fields(
     docs: id, tenant_id, document_type, and the JSON texts ``field_values``
     (object of field id -> value), ``attach_fields`` (list of fieldId, value) and
     ``new_fields`` (list of name, fieldType, value).  Unparseable texts and bad
-    entries are skipped; they never fail the document.
+    entries are skipped, and so are fields of other tenants; they never fail the document.
     """
     get = lambda v, k, t: F.try_variant_get(v, f"$.{k}", t)
     has = lambda v, k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
-    catalog = custom_fields.select(F.col("id").alias("field_id"))
+    catalog = custom_fields.select("tenant_id", F.col("id").alias("field_id"))
+    own = ["tenant_id", "field_id"]
 
-    attach = docs.select("id", "document_type", F.posexplode(_spec_list(F.col("attach_fields"))).alias("pos", "s"))
+    attach = docs.select("id", "tenant_id", "document_type", F.posexplode(_spec_list(F.col("attach_fields"))).alias("pos", "s"))
     attach = attach.select(
-        "id", "document_type", "pos", get(F.col("s"), "fieldId", "bigint").alias("field_id"),
+        "id", "tenant_id", "document_type", "pos", get(F.col("s"), "fieldId", "bigint").alias("field_id"),
         F.when(has(F.col("s"), "value"), F.to_json(get(F.col("s"), "value", "variant"))).alias("value"),
-    ).join(catalog, "field_id", "left_semi")
+    ).join(catalog, own, "left_semi")
 
     fresh = docs.select("id", "tenant_id", "document_type", F.posexplode(_spec_list(F.col("new_fields"))).alias("pos", "s"))
     fresh = fresh.select(
@@ -246,9 +247,9 @@ def upload_time_fields(
         .withColumn("field_id", F.xxhash64("tenant_id", "name"))
     )
 
-    values = docs.select("id", F.explode(jv.as_object(F.col("field_values"))).alias("key", "v")).select(
-        "id", F.col("key").try_cast("bigint").alias("field_id"), F.to_json("v").alias("value")
-    ).join(catalog, "field_id", "left_semi")
+    values = docs.select("id", "tenant_id", F.explode(jv.as_object(F.col("field_values"))).alias("key", "v")).select(
+        "id", "tenant_id", F.col("key").try_cast("bigint").alias("field_id"), F.to_json("v").alias("value")
+    ).join(catalog, own, "left_semi")
 
     # Later kinds overwrite earlier ones: attached, then new, then plain values.
     writes = (
@@ -256,10 +257,11 @@ def upload_time_fields(
         .unionByName(created.filter(F.col("value").isNotNull()).select("id", "field_id", "value", F.lit(1 << 40).alias("seq")))
         .unionByName(values.select("id", "field_id", "value", F.lit(1 << 41).alias("seq")))
     )
-    links = attach.select("document_type", "field_id").unionByName(created.select("document_type", "field_id")).distinct()
+    key = ["tenant_id", "document_type", "field_id"]
+    links = attach.select(*key).unionByName(created.select(*key)).distinct()
     return {
         "new_fields": created.select("field_id", "tenant_id", "name", "field_type"),
-        "new_type_fields": links.join(type_fields.select("document_type", "field_id"), ["document_type", "field_id"], "left_anti"),
+        "new_type_fields": links.join(type_fields.select(*key), key, "left_anti"),
         "values": writes.groupBy(F.col("id").alias("document_id"), "field_id").agg(F.max_by("value", "seq").alias("value")),
     }
 

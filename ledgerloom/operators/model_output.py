@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonvalues as jv
-from ..functions.pyjson import json_nodes, member, nest_paths, repair_json
+from ..functions.pyjson import json_nodes, member, merge_objects, nest_paths, repair_json
 
 # Document types a model may answer with.
 MODEL_TYPES = ("invoice", "receipt", "contract", "report", "letter", "form", "other")
@@ -147,31 +147,16 @@ def merge_chunk_header(parts: DataFrame) -> DataFrame:
 def merge_pages(pages: DataFrame) -> DataFrame:
     """Merged members per document and path, as JSON text.
 
-    Input: document_id, page_no, data (JSON object text).  Objects merge member by
-    member, so every path is merged on its own: lists are concatenated, total-like
-    keys take the last filled value, others keep the first unless it is empty.
+    Input: document_id, page_no, data (JSON object text).  Pages are merged in
+    order: lists are concatenated, objects merge member by member, total-like keys
+    take the last filled value and others keep the first, whatever its kind.
+    The result is one object per document, so a document's pages meet in one row.
     """
-    nodes = pages.select("document_id", "page_no", F.inline(json_nodes(F.col("data"))))
-    rows = nodes.filter("path <> '/validation_errors' AND NOT startswith(path, '/validation_errors/')")
-    grouped = rows.groupBy("document_id", "path", "key").agg(
-        F.array_sort(F.collect_list(F.struct("page_no", "kind", "json"))).alias("seen")
-    )
-
-    def step(acc: Column, e: Column) -> Column:
-        both_lists = (acc["kind"] == "list") & (e["kind"] == "list")
-        joined = F.to_json(F.concat(jv.elements(F.parse_json(acc["json"])), jv.elements(F.parse_json(e["json"]))))
-        blank = lambda x: x["json"].isin("null", '""')
-        replace = F.when(total_like(F.col("key")), ~blank(e)).otherwise(blank(acc) & ~blank(e))
-        return (
-            F.when(both_lists, F.struct(acc["kind"].alias("kind"), joined.alias("json")))
-            .when(replace & (acc["kind"] != "object"), F.struct(e["kind"].alias("kind"), e["json"].alias("json")))
-            .otherwise(acc)
-        )
-
-    first = F.struct(F.get("seen", 0)["kind"].alias("kind"), F.get("seen", 0)["json"].alias("json"))
-    rest = F.slice("seen", 2, F.greatest(F.size("seen") - 1, F.lit(0)))
-    merged = F.aggregate(rest, first, step)
-    return grouped.select("document_id", "path", merged["json"].alias("value"))
+    seen = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "data"))).alias("seen"))
+    merged = seen.select("document_id", merge_objects(TOTAL_KEYS, "validation_errors")(F.col("seen.data")).alias("data"))
+    nodes = merged.select("document_id", F.inline(json_nodes(F.col("data"))))
+    compact = F.coalesce(F.to_json(F.try_parse_json("json")), "json")
+    return nodes.select("document_id", "path", F.when(F.col("kind") == "list", compact).otherwise(F.col("json")).alias("value"))
 
 
 def page_errors(pages: DataFrame) -> DataFrame:

@@ -308,16 +308,16 @@ def cover_rank(index: DataFrame, q: str, english: bool = True) -> DataFrame:
 # -- snippets -------------------------------------------------------------------------------
 
 MAX_FRAGMENTS, MIN_WORDS, MAX_WORDS = 2, 5, 24
-_MARKS = ("\u0001", "\u0002")
 
 
 def _fragment_text(text: str, hit) -> str | None:
-    """Up to two fragments around matching words, with sentinel marks."""
+    """Up to two fragments around matching words: escaped, the words in mark tags."""
+    shown_as = lambda part: html.escape(part, quote=False)
     tokens = [(m.start(), m.end(), hit(m.group().lower())) for m in re.finditer(r"[^\W_]+", text)]
     hits = [i for i, t in enumerate(tokens) if t[2]]
     if not hits:
         last = min(len(tokens), MIN_WORDS)
-        return text[: tokens[last - 1][1]] if tokens else text
+        return shown_as(text[: tokens[last - 1][1]] if tokens else text)
     fragments: list[tuple[int, int]] = []
     for i in hits:
         if fragments and i <= fragments[-1][1]:
@@ -339,18 +339,13 @@ def _fragment_text(text: str, hit) -> str | None:
     for begin, end in fragments:
         out, at = [], tokens[begin][0]
         for start, stop, is_hit in tokens[begin : end + 1]:
-            out.append(text[at:start])
-            out.append(f"{_MARKS[0]}{text[start:stop]}{_MARKS[1]}" if is_hit else text[start:stop])
+            word = shown_as(text[start:stop])
+            out += [shown_as(text[at:start]), f"<mark>{word}</mark>" if is_hit else word]
             at = stop
         shown.append("".join(out))
     return " ... ".join(shown)
 
 
-def safe_marks(raw: str) -> str:
-    """Escape the quoted text, then turn the sentinels into mark tags."""
-    return html.escape(raw, quote=False).replace(_MARKS[0], "<mark>").replace(_MARKS[1], "</mark>")
-
-
 def snippet(q: str, text: Column, matched: Column, english: bool = True) -> Column:
     """Marked fragments of matching texts; meant for the rows of one page."""
     prefixes = tuple(prefix_query(q, english))
@@ -362,7 +357,7 @@ def snippet(q: str, text: Column, matched: Column, english: bool = True) -> Colu
 
     @pandas_udf(T.StringType())
     def fragments(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else safe_marks(_fragment_text(t, hit)))
+        return texts.map(lambda t: None if t is None else _fragment_text(t, hit))
 
     return fragments(F.when(matched, text))
 

@@ -34,11 +34,11 @@ def _answers(a: Archive):
     raw = (
         F.when(form == 0, whole)
         .when(form == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
-        .when(form == 2, F.concat(F.lit("Here you go: "), whole, F.lit(" done!")))
+        .when(form == 2, F.concat(F.lit("Result: "), whole, F.lit(" (end)")))
         .when(form == 3, F.concat(head.substr(F.lit(1), F.length(head)), F.lit(',"buyer":"B'), number, F.lit('","line_items":[]}')))
         .when(form == 4, F.concat(head, F.lit(',"fields":{"vendor":"V'), number, F.lit('","line_items":[{"d":"'), number, F.lit('"},{"d":"cut')))
         .when(form == 5, F.concat(head, F.lit(',"fields":{"grand_total":'), number, F.lit(',"due')))
-        .otherwise("Sorry, I cannot extract data.")
+        .otherwise("No field could be read.")
     )
     return a.wide("events").select(
         "event_id",

@@ -202,17 +202,19 @@ JOIN document_types y ON y.id = x.document_type_id WHERE x.status = 'promoted'""
 
 query(
     "c11_predefined_fields",
-    "document_types type_fields custom_fields",
-    """, names AS (SELECT DISTINCT name AS document_type FROM document_types)
-SELECT coalesce(n.document_type, l.document_type) AS document_type, coalesce(l.v, '') AS fields FROM names n FULL JOIN (
-SELECT document_type, string_agg(concat_ws(':', l.position, f.name, l.id), '|' ORDER BY l.position, f.name, l.id) AS v
-FROM type_fields l JOIN custom_fields f ON f.id = l.field_id GROUP BY 1) l ON l.document_type = n.document_type""",
+    "archive type_fields custom_fields",
+    """, names AS (SELECT DISTINCT tenant_id, document_type FROM archive)
+SELECT coalesce(n.tenant_id, l.tenant_id) AS tenant_id, coalesce(n.document_type, l.document_type) AS document_type, coalesce(l.v, '') AS fields
+FROM names n FULL JOIN (
+SELECT l.tenant_id, document_type, string_agg(concat_ws(':', l.position, f.name, l.id), '|' ORDER BY l.position, f.name, l.id) AS v
+FROM type_fields l JOIN custom_fields f ON f.id = l.field_id AND f.tenant_id = l.tenant_id GROUP BY 1, 2) l
+ON l.document_type = n.document_type AND l.tenant_id = n.tenant_id""",
 )(
     lambda a: jn.predefined_fields(
-        a.table("document_types").select(F.col("name").alias("document_type")).distinct(),
+        a.table("archive").select("tenant_id", "document_type").distinct(),
         a.table("type_fields"),
         a.table("custom_fields"),
-    ).select("document_type", _flat("fields", "position", "field_name", "id").alias("fields"))
+    ).select("tenant_id", "document_type", _flat("fields", "position", "field_name", "id").alias("fields"))
 )
 
 query(
@@ -314,10 +316,6 @@ query(
 query(
     "g02_observed_minus_catalog",
     "archive document_types",
-    "SELECT DISTINCT document_type AS name FROM archive EXCEPT SELECT name FROM document_types",
-)(
-    lambda a: a.table("archive")
-    .select(F.col("document_type").alias("name"))
-    .distinct()
-    .join(a.table("document_types").select("name"), "name", "left_anti")
-)
+    """SELECT DISTINCT tenant_id, document_type AS name FROM archive a WHERE NOT EXISTS (
+SELECT 1 FROM document_types y WHERE y.name = a.document_type AND (y.tenant_id IS NULL OR y.tenant_id = a.tenant_id))""",
+)(lambda a: jn.types_outside_catalog(a.table("archive"), a.table("document_types")))

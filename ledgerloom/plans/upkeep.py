@@ -353,12 +353,13 @@ def _upload_parts(a: Archive):
 query(
     "k10_upload_time_values",
     "archive custom_fields",
-    """, plain AS (SELECT id AS document_id, id % 60 AS field_id, '"v' || (id % 7) || '"' AS value FROM archive WHERE id % 4 <> 0
-  UNION ALL SELECT id, id % 90 + 60, (id % 11)::VARCHAR FROM archive WHERE id % 4 <> 0),
-attached AS (SELECT id AS document_id, id % 40 AS field_id, 'true' AS value FROM archive WHERE id % 3 <> 0),
+    """, plain AS (SELECT id AS document_id, tenant_id, id % 60 AS field_id, '"v' || (id % 7) || '"' AS value FROM archive WHERE id % 4 <> 0
+  UNION ALL SELECT id, tenant_id, id % 90 + 60, (id % 11)::VARCHAR FROM archive WHERE id % 4 <> 0),
+attached AS (SELECT id AS document_id, tenant_id, id % 40 AS field_id, 'true' AS value FROM archive WHERE id % 3 <> 0),
 merged AS (SELECT * FROM plain UNION ALL SELECT * FROM attached t WHERE NOT EXISTS (SELECT 1 FROM plain p WHERE p.document_id = t.document_id AND p.field_id = t.field_id)),
 made AS (SELECT min(id) AS id FROM archive GROUP BY tenant_id, id % 20)
-SELECT document_id, field_id::VARCHAR AS field, value FROM merged WHERE field_id IN (SELECT id FROM custom_fields)
+SELECT document_id, field_id::VARCHAR AS field, value FROM merged m
+WHERE EXISTS (SELECT 1 FROM custom_fields f WHERE f.id = m.field_id AND f.tenant_id = m.tenant_id)
 UNION ALL SELECT id, 'new', '"n' || (id % 5) || '"' FROM made""",
 )(
     lambda a: _upload_parts(a)["values"].select(

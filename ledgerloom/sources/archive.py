@@ -166,8 +166,9 @@ FROM {lineitem}""",
     "type_fields": """
 SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'invoice' WHEN 1 THEN 'receipt' WHEN 2 THEN 'contract'
     WHEN 3 THEN 'report' ELSE 'letter' END AS document_type,
+  concat('t', CAST((CASE WHEN p_partkey % 9 = 0 THEN p_partkey ELSE p_partkey % 60 END) % 25 AS STRING)) AS tenant_id,
   p_partkey % 60 AS field_id, p_partkey % 2 = 0 AS required, CAST(p_partkey % 4 AS INT) AS position
-FROM {part} WHERE p_type = 'ECONOMY'""",
+FROM {part}""",
     "activity": f"""
 SELECT event_id AS id, {_tenant('user_id')} AS tenant_id,
   CASE event_type WHEN 'view' THEN 'search' WHEN 'signup' THEN 'user_added' WHEN 'error' THEN 'processing_failed'

@@ -23,11 +23,11 @@ from ledgerloom.streaming.intake import batch_writer, stream_ingest
 def library(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [
-        ("A", "Quarterly Revenue Report.pdf", "Quarterly Revenue Report.pdf", "report", "Total electricity consumption rose; final schedule attached."),
-        ("B", "Vendor Contract Agreement.pdf", "Vendor Contract Agreement.pdf", "contract", "The maintenance schedule and the cleaning schedule are reviewed weekly."),
-        ("C", "Bluefox Import 2024.pdf", "Renamed Budget Report.pdf", "report", None),
-        ("D", "Payload Report.pdf", "Payload Report.pdf", "report", "Summary widget <img src=x onerror=alert(document.cookie)> total due."),
-        ("X", "Trashed schedule.pdf", "Trashed schedule.pdf", "report", "schedule schedule schedule"),
+        ("A", "Harbour Ledger Overview.pdf", "Harbour Ledger Overview.pdf", "report", "Dredging of the northern basin has ended; an interim timetable follows."),
+        ("B", "Ferry Operator Charter.pdf", "Ferry Operator Charter.pdf", "contract", "The crew timetable hangs beside the mooring timetable on the pier."),
+        ("C", "Lantern Survey 2024.pdf", "Revised Toll Forecast.pdf", "report", None),
+        ("D", "Crate Inventory.pdf", "Crate Inventory.pdf", "report", "Every gadget <svg onload='steal()'> is in stock & counted."),
+        ("X", "Discarded timetable.pdf", "Discarded timetable.pdf", "report", "timetable timetable timetable"),
     ]
     docs = spark.createDataFrame(
         [(*r, t, t if r[0] == "X" else None) for r in rows],
@@ -41,23 +41,23 @@ def hits(library, q, **options):
 
 
 def test_search_content_and_names(library):
-    first = hits(library, "electricity consumption")
+    first = hits(library, "northern basin")
     assert [r.id for r in first] == ["A"] and first[0].matched_fields == ["content"] and "<mark>" in first[0].snippet
-    typo = hits(library, "quartrly")
+    typo = hits(library, "harbor")
     assert typo[0].id == "A" and typo[0].matched_fields == ["filename"] and typo[0].snippet is None
-    assert hits(library, "Renamed Budget")[0].id == "C"
-    assert hits(library, "Bluefox Import")[0].id == "C"
-    assert hits(library, "zxqwvnomatchxyz") == [] and hits(library, "   ") == []
+    assert hits(library, "Revised Toll")[0].id == "C"
+    assert hits(library, "Lantern Survey")[0].id == "C"
+    assert hits(library, "qjkxvvwz") == [] and hits(library, "   ") == []
 
 
 def test_search_ranking_filter_and_prefix(library):
-    assert [r.id for r in hits(library, "schedule")] == ["B", "A"]
-    assert [r.id for r in hits(library, "schedule", document_type="report")] == ["A"]
-    assert [r.id for r in hits(library, "elec")] == ["A"]
-    assert [r.id for r in hits(library, '"final schedule"')][0] == "A"
+    assert [r.id for r in hits(library, "timetable")] == ["B", "A"]
+    assert [r.id for r in hits(library, "timetable", document_type="report")] == ["A"]
+    assert [r.id for r in hits(library, "north")] == ["A"]
+    assert [r.id for r in hits(library, '"interim timetable"')][0] == "A"
 
 
-@pytest.mark.parametrize("q", ["electricity consumption", "quartrly", "Bluefox Import", "schedule", "-schedule", "zxqwvnomatchxyz", "Renamed", "ren bud"])
+@pytest.mark.parametrize("q", ["northern basin", "harbor", "Lantern Survey", "timetable", "-timetable", "qjkxvvwz", "Revised", "rev tol"])
 def test_name_index_loses_nothing(library, q):
     docs, index = library
     plain = se.search_hits(docs, index, q).select("id", "score").collect()
@@ -66,8 +66,10 @@ def test_name_index_loses_nothing(library, q):
 
 
 def test_snippet_is_escaped(library):
-    (d,) = [r for r in hits(library, "widget total") if r.id == "D"]
-    assert "&lt;img" in d.snippet and "<img" not in d.snippet and "<mark>widget</mark>" in d.snippet
+    (d,) = [r for r in hits(library, "gadget stock") if r.id == "D"]
+    assert "&lt;svg" in d.snippet and "<svg" not in d.snippet and "<mark>gadget</mark>" in d.snippet
+    assert se._fragment_text("a & <b>", lambda w: False) == "a &amp; &lt;b"
+    assert se._fragment_text("a&b <c>", lambda w: w == "b") == "a&amp;<mark>b</mark> &lt;c"
 
 
 def test_query_parsing():
@@ -83,7 +85,7 @@ def test_query_parsing():
 
 def test_exclusion_only_query(library):
     docs, index = library
-    out = se.content_match(docs, index, "-schedule").filter("content_match").select("id").collect()
+    out = se.content_match(docs, index, "-timetable").filter("content_match").select("id").collect()
     # The word beginnings still match where the excluded word occurs.
     assert {"C", "D"} <= {r.id for r in out}
 
@@ -209,12 +211,12 @@ def test_parse_model_output(spark):
     cases = [
         ('{"documentType":"Invoice","confidence":0.92,"fields":{"vendor":"T"}}', ("invoice", 0.92, "T")),
         ('```json\n{"fields":{"vendor":"F"}}\n```', ("other", 0.0, "F")),
-        ('Here: {"documentType":"contract","confidence":1.5,"fields":{"vendor":"P"}} done!', ("contract", 1.0, "P")),
+        ('Result: {"documentType":"contract","confidence":1.5,"fields":{"vendor":"P"}} (end)', ("contract", 1.0, "P")),
         ('{"vendor":"ACME","total_amount":100,"document_type":"fax"}', ("other", 0.0, "ACME")),
         ('{"documentType":"receipt","fields":{"vendor":"Cut","items":[{"x":1},{"x":', ("receipt", 0.0, "Cut")),
         ('{"documentType":5,"fields":{}}', (None, None, None)),
         ("[1,2]", (None, None, None)),
-        ("Sorry, I cannot extract data.", (None, None, None)),
+        ("No field could be read.", (None, None, None)),
         (None, (None, None, None)),
     ]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, raw string")
@@ -254,6 +256,23 @@ def test_merge_pages(spark):
     assert errors.validation_errors == ["Page 3 failed to process: boom", "e"]
 
 
+def test_merge_pages_of_mixed_kinds(spark):
+    import json
+
+    cases = {
+        1: (['{"v":"text"}', '{"v":{"a":1}}'], {"v": "text"}),
+        2: (['{"v":""}', '{"v":{"a":1}}', '{"v":{"b":2}}'], {"v": {"a": 1, "b": 2}}),
+        3: (['{"total":{"net":1}}', '{"total":5}', '{"total":{"net":7}}', '{"total":""}'], {"total": {"net": 7}}),
+        4: (['{"v":[1]}', '{"v":2}', '{"v":[3]}'], {"v": [1, 3]}),
+        5: (['{"validation_errors_count":2,"validation_errors":["e"]}', "broken", "[1]"], {"validation_errors_count": 2}),
+        6: (['{"v":{"w":null}}', '{"v":{"w":{"deep":"x"}}}'], {"v": {"w": {"deep": "x"}}}),
+    }
+    rows = [(d, p, text) for d, (texts, _) in cases.items() for p, text in enumerate(texts)] + [(7, 0, None)]
+    pages = spark.createDataFrame(rows, "document_id int, page_no int, data string")
+    got = {r.document_id: json.loads(r.data) for r in mo.assemble(mo.merge_pages(pages)).collect()}
+    assert got == {d: want for d, (_, want) in cases.items()}
+
+
 def test_validation(spark):
     ok = '{"vendor_details":{"company_name":"A"},"financials":{"subtotal":100.0,"tax_amount":10.0,"total_amount":%s}}'
     rows = [(1, ok % "110.0"), (2, ok % "125.0"), (3, '{"x":1}'), (4, '{"vendor_name":"A","SubTotal":1,"VAT":1,"Total":9,"validation_errors":["old"]}')]
