@@ -20,11 +20,11 @@ a cut); rows with equal keys draw equal numbers; an empty table gives an empty r
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_right
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, inf, log
+from itertools import chain
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -32,146 +32,267 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import mix, ragged, slices
+
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 4
 TEMPERATURE = 1 / 2000
 SEED = 9
 LONGEST = 64
-_CACHED = 100_000
+#: Nodes remembered, and bytes of text searched at once; neither changes a result.
+_REMEMBERED, _SLICE = 300_000, 1 << 18
 _UNUSED = -1e8
-_SPACE = "▁"
+#: Log-probabilities are added as whole numbers of this part, so that sums do not depend on the texts beside them.
+_FIXED = float(1 << 36)
+_STRETCH = re.compile("▁*[^▁]+|▁+")
+_GOLDEN, _ROOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 
 
 class Lattices:
     """Lattices of the stretches between spaces, each built once while it is remembered.
 
-    A stretch is a list of nodes; a node is the list of its edges as (cumulative probability,
-    end node, piece ids, log-probability, probability), the probabilities being those of going on that way.
+    All lattices lie one after the other in flat arrays: node n has the edges ``first[n]`` to ``first[n + 1]``; an
+    edge has the probability of going on that way (as such, summed up, as a fixed-point logarithm, and that of its
+    sisters), its end node (-1: end of the stretch) and its piece.
     """
 
     def __init__(self, path: str, temperature: float):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
-        self.pieces: dict[str, tuple[tuple[int, ...], float]] = {}
-        single: dict[str, tuple[int, ...]] = {}
+        single, scores = {}, []
+        self.pieces: dict[str, int] = {}
         for i in range(self.model.get_piece_size()):
-            score = self.model.get_score(i)
-            if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i)) :
+            scores.append(temperature * self.model.get_score(i))
+            if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i)):
                 piece = self.model.id_to_piece(i)
-                if score > _UNUSED:
-                    self.pieces[piece] = ((i,), temperature * score)
+                if self.model.get_score(i) > _UNUSED:
+                    self.pieces[piece] = i
                 elif len(piece) == 1:
-                    single[piece] = (i,)
-        self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+                    single[piece] = i
         self.longest = max(map(len, self.pieces))
-        self.least = min(w for _, w in self.pieces.values())
+        self.least = min(scores[i] for i in self.pieces.values())
         # A character that the vocabulary holds without a usable score is as likely as the rarest piece.
-        self.pieces |= {c: (ids, self.least) for c, ids in single.items()}
-        self.known: dict[str, list] = {}
-
-    def stretch(self, text: str) -> list:
-        found = self.known.get(text)
-        if found is None:
-            if len(self.known) >= _CACHED:
-                self.known.clear()
-            found = self.known[text] = self._build(text)
-        return found
-
-    def _build(self, text: str) -> list:
-        n = len(text)
-        behind = [0.0] * (n + 1)
-        nodes: list = [None] * n
-        for i in range(n - 1, -1, -1):
-            edges = [(j, *self.pieces[text[i:j]]) for j in range(i + 1, min(n, i + self.longest) + 1) if text[i:j] in self.pieces]
-            if not edges or edges[0][0] > i + 1:
-                edges.append((i + 1, tuple(self.bytes[b] for b in text[i].encode()), 2 * self.least))
-            weight = [w + behind[j] for j, _, w in edges]
-            top = max(weight)
-            behind[i] = top + log(sum(exp(w - top) for w in weight))
-            reached, node = 0.0, []
-            for (j, ids, _), w in zip(edges, weight):
-                reached += exp(w - behind[i])
-                node.append((reached, j, ids, w - behind[i], exp(w - behind[i])))
-            nodes[i] = node
-        return nodes
-
-    def stretches(self, text: str) -> list[list]:
-        """Lattices of a text's stretches, each starting with its spaces."""
-        out, begin = [], 0
-        form = self.model.normalize(text) if text else ""
-        for i in range(1, len(form) + 1):
-            if i == len(form) or i - begin == LONGEST or (form[i] == _SPACE and form[i - 1] != _SPACE):
-                out.append(self.stretch(form[begin:i]))
-                begin = i
+        for piece, i in single.items():
+            self.pieces[piece], scores[i] = i, self.least
+        # Ids and weight of every piece; further characters are added as bytes when they occur.
+        self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.piece_ids, self.piece_weight = [(i,) for i in range(len(scores))], scores
+        self.others: dict[str, int] = {}
+        self._forget()
+
+    def _as_bytes(self, character: str) -> int:
+        piece = self.others.get(character)
+        if piece is None:
+            piece = self.others[character] = len(self.piece_ids)
+            self.piece_ids.append(tuple(self.bytes[b] for b in character.encode()))
+            self.piece_weight.append(2 * self.least)
+        return piece
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.nodes = 0
+        self._ends: list[int] = []
+        self._pieces: list[int] = []
+        self._degrees: list[int] = []
+        self._lengths: list[int] = []
+        self.first = np.zeros(1, np.int64)
+        self.share, self.reached, self.rest = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.step, self.end, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _build(self, text: str) -> int:
+        n, get, ends, pieces = len(text), self.pieces.get, self._ends, self._pieces
+        at, before = self.nodes, len(ends)
+        for i in range(n):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                piece = get(text[i:j])
+                if piece is None:
+                    if j > i + 1:
+                        continue
+                    piece = self._as_bytes(text[i])
+                ends.append(at + j if j < n else -1)
+                pieces.append(piece)
+            self._degrees.append(len(ends) - before)
+            before = len(ends)
+        self._lengths.append(n)
+        self.nodes += n
+        return at
+
+    def _settle(self) -> None:
+        """Work out the lattices built since the last call, and put them behind the others."""
+        if not self._ends:
+            return
+        old, degree, lengths = len(self.first) - 1, np.array(self._degrees), np.array(self._lengths)
+        end, piece = np.array(self._ends), np.array(self._pieces)
+        weight = np.array(self.piece_weight)[piece]
+        begin = np.cumsum(degree) - degree
+        node = np.repeat(np.arange(len(degree)), degree)
+        # The mass behind a node needs that of later nodes only: all nodes with the same way to go at once.
+        to_go = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(degree))
+        behind = np.zeros(len(degree) + 1)
+        after = np.where(end < 0, len(degree), end - old)
+        order = np.argsort(to_go, kind="stable")
+        for same in np.split(order, np.searchsorted(to_go[order], np.arange(2, lengths.max() + 1))):
+            edges = ragged(begin[same], degree[same])
+            heads = np.cumsum(degree[same]) - degree[same]
+            mass = weight[edges] + behind[after[edges]]
+            top = np.maximum.reduceat(mass, heads)
+            behind[same] = top + np.log(np.add.reduceat(np.exp(mass - np.repeat(top, degree[same])), heads))
+        step = weight + behind[after] - behind[node]
+        share = np.exp(step)
+        # What the other edges of the node have; at most one edge has more than half, and there the others are added up.
+        small = np.where(share > 0.5, 0.0, share)
+        rest = np.where(share > 0.5, np.add.reduceat(small, begin)[node], np.maximum(np.add.reduceat(share, begin)[node] - share, 0.0))
+        rest[degree[node] == 1] = 0.0
+        up = np.cumsum(share)
+        up -= np.concatenate(([0.0], up))[begin][node]
+        up = np.minimum(up, 1.0)
+        up[begin + degree - 1] = 1.0
+        # Summed up per node and raised by the node's number, so that one sorted array serves all nodes.
+        self.reached = np.concatenate((self.reached, up + node + old))
+        self.first = np.concatenate((self.first, self.first[-1] + begin + degree))
+        self.end, self.share, self.rest = np.concatenate((self.end, end)), np.concatenate((self.share, share)), np.concatenate((self.rest, rest))
+        self.step = np.concatenate((self.step, np.rint(step * _FIXED).astype(np.int64)))
+        self.piece = np.concatenate((self.piece, piece))
+        self._ends, self._pieces, self._degrees, self._lengths = [], [], [], []
+
+    def stretches(self, text: str) -> list[int]:
+        """First nodes of a text's stretches, each of which starts with its spaces."""
+        out = []
+        for run in _STRETCH.findall(self.model.normalize(text)) if text else ():
+            for part in (run,) if len(run) <= LONGEST else [run[i : i + LONGEST] for i in range(0, len(run), LONGEST)]:
+                node = self.known.get(part)
+                if node is None:
+                    node = self.known[part] = self._build(part)
+                out.append(node)
         return out
 
+    def _walk(self, start: np.ndarray, seed: np.ndarray, fixed: np.ndarray, edge: np.ndarray):
+        """Follow every start node to the end of its stretch; at the walkers ``fixed`` the first edge is given.
+
+        Returns walker, edge and the uniform number for what the edge leaves behind, in the order of the walkers.
+        """
+        active, node, walkers, edges, numbers, t = np.arange(len(start)), start, [], [], [], 0
+        while len(active):
+            drawn = _uniform(seed[active], 2 * t)
+            e = np.searchsorted(self.reached, node + drawn, "right")
+            e = np.minimum(e, self.first[node + 1] - 1)
+            if not t:
+                e[fixed] = edge
+            walkers.append(active)
+            edges.append(e)
+            numbers.append(_uniform(seed[active], 2 * t + 1))
+            on = self.end[e]
+            active, node, t = active[on >= 0], on[on >= 0], t + 1
+        walker = np.concatenate(walkers)
+        order = np.argsort(walker, kind="stable")
+        return walker[order], np.concatenate(edges)[order], np.concatenate(numbers)[order]
+
+    def _reopen(self, node: np.ndarray, shut: np.ndarray, drawn: np.ndarray):
+        """An edge of each node that is not shut, the share of the others that are free, and the bits then shut."""
+        degree = self.first[node + 1] - self.first[node]
+        slot = np.arange(degree.max(initial=1))
+        free = (slot < degree[:, None]) & ((shut[:, None] >> slot.astype(np.uint64)) & np.uint64(1) == 0)
+        share = np.where(free, self.share[np.minimum(self.first[node][:, None] + slot, len(self.share) - 1)], 0.0)
+        reached = np.cumsum(share, axis=1)
+        passed = (reached <= (drawn * reached[:, -1])[:, None]) | ~free
+        chosen = np.where(passed.all(axis=1), degree.max(initial=1) - 1 - free[:, ::-1].argmax(axis=1), (~passed).argmax(axis=1))
+        share[np.arange(len(node)), chosen] = 0.0
+        return self.first[node] + chosen, share.sum(axis=1), shut | (np.uint64(1) << chosen.astype(np.uint64))
+
+    def sample_all(self, texts: list[str], keys: np.ndarray, k: int):
+        """Up to k segmentations of each text: (row, list offsets, piece ids, log-probability, perturbed, inclusion).
+
+        All texts go through the search together, one path a round; a row's numbers come from its key alone.
+        """
+        if self.nodes > _REMEMBERED:
+            self._forget()
+        lists = [self.stretches(t) for t in texts]
+        self._settle()
+        count = np.array([len(x) for x in lists], np.int64)
+        begin = np.cumsum(count) - count
+        starts = np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum()))
+        root = -np.log(-np.log(_uniform(mix(keys ^ _ROOT), 0)))
+        blank = np.flatnonzero(count == 0)
+        found = [(blank, np.zeros(len(blank), np.int64), np.zeros(len(blank), np.int64), np.zeros(len(blank)), root[blank])]
+        rows = np.flatnonzero(count)
+        zero = np.zeros(len(rows), np.int64)
+        # Open nodes: row, priority, stretch, node, fixed-point log-probability so far, shut edges, path so far in ``pool``.
+        now = (rows, root[rows], zero, starts[begin[rows]], zero, zero.astype(np.uint64), zero, zero)
+        kept = tuple(c[:0] for c in now)
+        pool = np.zeros(0, np.int64)
+        for turn in range(k):
+            row, best, s, node, so_far, shut, origin, taken = now
+            if not len(row):
+                break
+            width = count[row] - s
+            head = np.cumsum(width) - width
+            owner = np.repeat(np.arange(len(row)), width)
+            place = ragged(s, width)
+            start = starts[begin[row][owner] + place]
+            start[head] = node
+            with np.errstate(over="ignore"):
+                seed = mix(keys[row][owner] + (place.astype(np.uint64) + np.uint64(turn << 40)) * _GOLDEN)
+            again = np.flatnonzero(shut)
+            edge, left, closed = self._reopen(node[again], shut[again], _uniform(seed[head[again]], 0))
+            walker, e, number = self._walk(start, seed, head[again], edge)
+            item_row = owner[walker]
+            size = np.bincount(item_row, minlength=len(row))
+            top = np.cumsum(size) - size
+            step = self.step[e]
+            up = np.cumsum(step)
+            before = so_far[item_row] + (up - step) - (up - step)[top][item_row]
+            nodes = np.searchsorted(self.first, e, "right") - 1
+            rest, bits = self.rest[e], np.uint64(1) << (e - self.first[nodes]).astype(np.uint64)
+            rest[top[again]], bits[top[again]] = left, closed
+            # The whole path, for the result and for the nodes that branch off from it.
+            length = taken + size
+            at = np.cumsum(length) - length
+            path = np.empty(int(length.sum()), np.int64)
+            path[ragged(at, taken)] = pool[ragged(origin, taken)]
+            path[ragged(at + taken, size)] = e
+            at += len(pool)
+            pool = np.concatenate((pool, path))
+            total = so_far + np.add.reduceat(step, top)
+            found.append((row, at, length, total / _FIXED, best))
+            # What a step leaves behind: a Gumbel at its log-mass, cut off at the node's own maximum.
+            items = np.flatnonzero(rest > 0)
+            r = item_row[items]
+            gumbel = before[items] / _FIXED + np.log(rest[items]) - np.log(-np.log(number[items]))
+            low = np.minimum(gumbel, best[r])
+            cut = low - np.log(np.exp(low - best[r]) + np.exp(low - gumbel))
+            inside = items - top[r]
+            fresh = (row[r], cut, place[walker[items]], nodes[items], before[items], bits[items], at[r], taken[r] + inside)
+            merged = [np.concatenate(pair) for pair in zip(kept, fresh)]
+            order = np.lexsort((-merged[1], merged[0]))
+            heads = merged[0][order]
+            rank = np.arange(len(order)) - np.searchsorted(heads, heads)
+            # Only as many nodes as paths are missing, and the one after them, can ever matter.
+            order, rank = order[rank < k - turn], rank[rank < k - turn]
+            now = tuple(c[order[rank == 0]] for c in merged)
+            kept = tuple(c[order[rank > 0]] for c in merged)
+        kappa = np.full(len(texts), -inf)
+        kappa[now[0]] = now[1]
+        row, at, length, log_p, perturbed = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(row, kind="stable")
+        row, at, length, log_p, perturbed = (c[order] for c in (row, at, length, log_p, perturbed))
+        pieces = self.piece[pool[ragged(at, length)]]
+        size = np.array([len(x) for x in self.piece_ids])
+        many = size[pieces]
+        ids = np.fromiter(chain.from_iterable(self.piece_ids), np.int32)[ragged((np.cumsum(size) - size)[pieces], many)]
+        offsets = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(length)))]
+        return row, offsets, ids, log_p, perturbed, -np.expm1(-np.exp(np.minimum(700.0, log_p - kappa[row])))
+
     def sample(self, text: str, k: int, rng: np.random.Generator) -> list[tuple[list[int], float, float, float]]:
-        """(piece ids, log-probability, perturbed log-probability, inclusion score) of up to k segmentations."""
-        lattice = self.stretches(text)
-        uniform = _Numbers(rng)
-        root = -log(-log(uniform()))
-        # (-priority, tie-break, stretch, place in it, log-probability so far, a path and how much of it, edges not to take)
-        open_nodes = [(-root, 0, 0, 0, 0.0, [], 0, frozenset())]
-        ticket, paths, floor = 1, [], -inf
-        while open_nodes and len(paths) < k:
-            negative, _, s, i, so_far, path, length, shut = heapq.heappop(open_nodes)
-            best, ids = -negative, path[:length]
-            while s < len(lattice):
-                nodes = lattice[s]
-                while i < len(nodes):
-                    edges = nodes[i]
-                    if shut:
-                        free = [e for e in range(len(edges)) if e not in shut]
-                        mass = [edges[e][4] for e in free]
-                        at, total = uniform() * sum(mass), 0.0
-                        for e, m in zip(free, mass):
-                            total += m
-                            if at < total:
-                                break
-                    elif len(edges) > 1:
-                        at = uniform() * edges[-1][0]
-                        e = min(bisect_right(edges, (at,)), len(edges) - 1)
-                    else:
-                        e = 0
-                    if len(edges) - len(shut) > 1:
-                        closed = shut | {e}
-                        rest = 0.0
-                        for o, other in enumerate(edges):
-                            if o not in closed:
-                                rest += other[4]
-                        if rest > 0:
-                            # A Gumbel at the rest's log-mass, cut off at the parent's maximum.
-                            gumbel = so_far + log(rest) - log(-log(uniform()))
-                            low = min(gumbel, best)
-                            if low > floor:
-                                cut = low - log(exp(low - best) + exp(low - gumbel))
-                                heapq.heappush(open_nodes, (-cut, ticket, s, i, so_far, ids, len(ids), closed))
-                                ticket += 1
-                                if len(open_nodes) > k + 1:
-                                    # Only the k best nodes and the one after them can ever be followed.
-                                    open_nodes = heapq.nsmallest(k + 1, open_nodes)
-                                    floor = -open_nodes[-1][0]
-                    shut = frozenset()
-                    _, i, more, step, _ = edges[e]
-                    ids.extend(more)
-                    so_far += step
-                s, i = s + 1, 0
-            paths.append((ids, so_far, best))
-        kappa = -open_nodes[0][0] if open_nodes else -inf
-        return [(ids, p, g, 1.0 if kappa == -inf else -np.expm1(-exp(min(700.0, p - kappa)))) for ids, p, g in paths]
-
-
-class _Numbers:
-    """Uniform numbers, drawn by the hundred."""
-
-    def __init__(self, rng: np.random.Generator):
-        self.rng, self.ready = rng, []
-
-    def __call__(self) -> float:
-        if not self.ready:
-            self.ready = (1 - self.rng.random(128)).tolist()
-        return min(self.ready.pop(), 1 - 1e-16)
+        """(piece ids, log-probability, perturbed log-probability, inclusion score) of up to k segmentations of one text."""
+        _, offsets, ids, *scores = self.sample_all([text], rng.integers(0, 1 << 64, 1, np.uint64), k)
+        return [(ids[a:b].tolist(), *map(float, s)) for a, b, *s in zip(offsets, offsets[1:], *scores)]
+
+
+def _uniform(seed: np.ndarray, turn: int) -> np.ndarray:
+    """A number above 0 and under 1 for each seed."""
+    x = mix(seed + np.uint64((turn + 1) * int(_GOLDEN) & (1 << 64) - 1))
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 @lru_cache(maxsize=2)
@@ -193,18 +314,16 @@ def encode(table: DataFrame, key: list[str], samples: int = SAMPLES, temperature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(_path(model), temperature)
+        salt = np.uint64(seed * int(_GOLDEN) & (1 << 64) - 1)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                row, out = [], []
-                for r, (text, own) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                    drawn = lattices.sample(text or "", samples, np.random.default_rng([seed, own & 0xFFFFFFFFFFFFFFFF]))
-                    row += [r] * len(drawn)
-                    out += [(rank, *d) for rank, d in enumerate(drawn)]
-                columns = list(zip(*out)) if out else [()] * 5
-                kinds = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64())
+            for lo, hi, _, _ in slices(batch.column(0), _SLICE):
+                part = batch.slice(lo, hi - lo)
+                keys = mix(part.column(1).to_numpy().view(np.uint64) ^ salt)
+                row, offsets, ids, *scores = lattices.sample_all([t or "" for t in part.column(0).to_pylist()], keys, samples)
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                drawn = [pa.array(rank, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2 + c).take(pa.array(row, pa.int64())) for c in range(len(key))] + [pa.array(c, t) for c, t in zip(columns, kinds)],
+                    [part.column(2 + c).take(pa.array(row)) for c in range(len(key))] + drawn + [pa.array(x) for x in scores],
                     [*key, "rank", "ids", "log_prob", "perturbed", "inclusion"],
                 )
 
@@ -217,6 +336,6 @@ def decode(ids: Column, model: str | None = None) -> Column:
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
         own = _lattices(_path(model), TEMPERATURE).model
-        return pd.Series([None if x is None else own.decode([int(i) for i in x]) for x in column], dtype=object)
+        return pd.Series([None if x is None else own.decode(x.tolist()) for x in column], dtype=object)
 
     return run(ids)
