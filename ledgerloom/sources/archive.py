@@ -252,7 +252,7 @@ SELECT o_orderkey AS id, concat('t', CAST(o_custkey % 25 AS STRING)) AS tenant_i
     WHEN 4 THEN concat('From: Sales Team <team', CAST(o_orderkey % 90 AS STRING), '@example.com>')
     WHEN 5 THEN 'Subject: no sender here'
     ELSE concat('From: Someone Else', chr(10), 'the end') END AS text
-FROM {orders} WHERE o_orderpriority = '1-URGENT'""",
+FROM {orders}""",
     # Answers of the model by document: type, confidence, fields and tokens.
     "model_results": """
 SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'receipt' ELSE 'other' END AS model_type,
