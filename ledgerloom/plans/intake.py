@@ -18,10 +18,15 @@ STREAM_SECONDS = 1800
 
 # -- files ---------------------------------------------------------------------------
 
-query("a01_ingest_files")(
-    # Reads the folder's own files as binary; Parquet is no accepted type.
-    lambda a: fl.ingest_files(a.spark, a.folder, "t1")["rejected"].select("filename", "size_bytes", "reject_reason")
-)
+query("a01_ingest_files")(lambda a: _ingested(a))
+
+
+def _ingested(a: Archive):
+    """Every document as a file: a row for each accepted and each rejected one."""
+    out = fl.ingest_rows(_upload(a).withColumn("path", F.col("filename")), "t1")
+    fresh = out["documents"].withColumnRenamed("original_filename", "filename")
+    kept = fresh.select("filename", "size_bytes", "id", "mime_type", "checksum", "status", F.lit(None).cast("string").alias("reject_reason"))
+    return kept.unionByName(out["rejected"].select("filename", "size_bytes", "reject_reason"), allowMissingColumns=True)
 
 
 def _upload(a: Archive):

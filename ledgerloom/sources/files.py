@@ -191,7 +191,12 @@ def new_documents(files: DataFrame, tenant: str) -> DataFrame:
 
 def ingest_files(spark: SparkSession, path: str, tenant: str, existing: DataFrame | None = None) -> dict[str, DataFrame]:
     """Read, classify, check, hash and deduplicate one folder of files."""
-    checked = check_files(classify_content(read_files(spark, path)))
+    return ingest_rows(read_files(spark, path), tenant, existing)
+
+
+def ingest_rows(files: DataFrame, tenant: str, existing: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The same for files already read (path, filename, size_bytes, content)."""
+    checked = check_files(classify_content(files))
     accepted, rejected = accept_or_reject(checked)
     docs = new_documents(accepted, tenant).drop("content")
     fresh = docs
