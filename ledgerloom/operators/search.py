@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.stem import STOP_WORDS, stem
+from ..session import materialise
 from .filters import PAGE_SIZE, live, page, relative_date, sort_columns
 
 WORD = r"[\p{L}\p{N}]+"
@@ -446,15 +447,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def similarities(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """Every vector with its cosine."""
+    target = F.array(*[F.lit(float(x)) for x in query])
+    return vectors.select("id", cosine(F.col("embedding"), target).alias("similarity"))
+
+
 def vector_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k nearest vectors by cosine; each task keeps its own k best."""
-    target = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select("id", cosine(F.col("embedding"), target).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), F.asc("id")).limit(k)
+    return similarities(vectors, query).orderBy(F.desc("similarity"), F.asc("id")).limit(k)
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
-    """Fused score of ranked top lists (id, rank_no): the sum of 1 / (k + rank)."""
+    """Fused score of ranked lists (id, rank_no): the sum of 1 / (k + rank)."""
     parts = [r.select("id", (1.0 / (F.lit(k) + F.col("rank_no"))).alias("part")) for r in rankings]
     union = parts[0]
     for p in parts[1:]:
@@ -462,7 +467,18 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     return union.groupBy("id").agg(F.sum("part").alias("rrf_score"))
 
 
-def numbered(top: DataFrame, order: list[Column]) -> DataFrame:
-    """Rank numbers for a bounded top list."""
-    w = Window.partitionBy(F.lit(0)).orderBy(*order)
-    return top.withColumn("rank_no", F.row_number().over(w))
+def numbered(ranking: DataFrame, order: list[Column]) -> DataFrame:
+    """Rank numbers for a list of any length.
+
+    Rows are dealt by range of the order, which must be total, and numbered inside their block; the blocks
+    before it give the offset.  The dealt rows are written once, so that counts and numbers see the same blocks.
+    """
+    dealt = ranking.repartitionByRange(*order).withColumn("_block", F.spark_partition_id())
+    dealt = materialise(ranking.sparkSession, dealt, "ranking")
+    before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_block").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return dealt.withColumn("_inside", inside).join(offsets, "_block").select(
+        *ranking.columns, (F.col("_before") + F.col("_inside")).alias("rank_no")
+    )

@@ -169,9 +169,12 @@ def _probe(a: Archive) -> list[float]:
     return [(0.5, -0.25, 0.125)[i % 3] for i in range(size)]
 
 
+def _vectors(a: Archive):
+    return a.parquet("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
 def _nearest(a: Archive, k: int = 50):
-    vectors = a.parquet("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return se.vector_topk(vectors, _probe(a), k)
+    return se.vector_topk(_vectors(a), _probe(a), k)
 
 
 query(
@@ -189,8 +192,7 @@ SELECT id, round(sum(1.0::DOUBLE / (60 + rank_no)), 9) AS rrf_score FROM (SELECT
 
 
 def _fused(a: Archive):
-    by_vector = se.numbered(_nearest(a), [F.desc("similarity"), F.asc("id")])
-    best = se.cover_rank(_index(a), RANKED, english=False).orderBy(F.desc("rank"), F.asc("id")).limit(50)
-    by_words = se.numbered(best, [F.desc("rank"), F.asc("id")])
+    by_vector = se.numbered(se.similarities(_vectors(a), _probe(a)), [F.desc("similarity"), F.asc("id")])
+    by_words = se.numbered(se.cover_rank(_index(a), RANKED, english=False), [F.desc("rank"), F.asc("id")])
     fused = se.reciprocal_rank_fusion([by_vector, by_words])
     return fused.select("id", F.round("rrf_score", 9).alias("rrf_score"))

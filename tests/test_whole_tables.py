@@ -58,3 +58,13 @@ def test_golden_answers_agree_with_the_checking_sql_over_all_rendered_texts(spar
     assert whole != sql
     df, result = QUERIES[name](spark, FOLDER), connect(FOLDER).execute(whole)
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in result.description], result.fetchall())
+
+
+def test_fusion_ranks_whole_lists(spark):
+    sql = entry_module.oracle_sql()["k05_rrf"]
+    whole = sql.replace(" LIMIT 50", "")
+    assert whole != sql
+    df, result = QUERIES["k05_rrf"](spark, FOLDER), connect(FOLDER).execute(whole)
+    got = df.collect()
+    assert len(got) >= Archive(spark, FOLDER).parquet("embeddings").count()
+    assert rows_of(df.columns, got) == rows_of([d[0] for d in result.description], result.fetchall())
