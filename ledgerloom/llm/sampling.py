@@ -14,8 +14,8 @@ Random numbers are seeded by the row's key, so that a repeated task draws the sa
 
 Defined results: a null or empty text has one segmentation, without pieces; a text with fewer
 segmentations than asked for gives all of them, with inclusion 1; characters outside the vocabulary are
-bytes; stretches of more than ``LONGEST`` characters without a space are cut there (pieces do not cross
-a cut); rows with equal keys draw equal numbers; an empty table gives an empty result.
+bytes; a stretch without a space is one lattice, however long; rows with equal keys draw equal numbers; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ MODEL = "piece_bpe_32k.model"
 SAMPLES = 4
 TEMPERATURE = 1 / 2000
 SEED = 9
-LONGEST = 64
 #: Nodes remembered, and bytes of text searched at once; neither changes a result.
 _REMEMBERED, _SLICE = 300_000, 1 << 18
 _UNUSED = -1e8
@@ -160,11 +159,10 @@ class Lattices:
         """First nodes of a text's stretches, each of which starts with its spaces."""
         out = []
         for run in _STRETCH.findall(self.model.normalize(text)) if text else ():
-            for part in (run,) if len(run) <= LONGEST else [run[i : i + LONGEST] for i in range(0, len(run), LONGEST)]:
-                node = self.known.get(part)
-                if node is None:
-                    node = self.known[part] = self._build(part)
-                out.append(node)
+            node = self.known.get(run)
+            if node is None:
+                node = self.known[run] = self._build(run)
+            out.append(node)
         return out
 
     def _walk(self, start: np.ndarray, seed: np.ndarray, fixed: np.ndarray, edge: np.ndarray):

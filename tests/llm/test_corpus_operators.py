@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerloom.llm import anomaly, bwt_dedup, components, exact_dedup, language, ngram_join, packing, quality, relative_parse, sampling, toxicity
+from ledgerloom.llm import anomaly, bwt_dedup, components, exact_dedup, language, ngram_join, packing, quality, queries, relative_parse, sampling, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length long, spans string"
@@ -399,6 +399,26 @@ def test_samples_follow_the_probabilities():
         assert abs(first[ids] / 4000 - p) < 4 * np.sqrt(p / 4000) + 0.002
 
 
+def test_long_stretches_are_one_lattice():
+    lattices = sampling._lattices(sampling._path(None), sampling.TEMPERATURE)
+    weight = lattices.piece_weight
+    for text in ("theinformation" * 20, "https://example.org/" + "ab12" * 5000):
+        whole = lattices.model.normalize(text)
+        assert "▁" not in whole[1:]
+        mass = [0.0]
+        for j in range(1, len(whole) + 1):
+            pieces = ((i, lattices.pieces.get(whole[i:j])) for i in range(max(0, j - lattices.longest), j))
+            mass.append(np.logaddexp.reduce([mass[i] + weight[p] for i, p in pieces if p is not None]))
+        for ids, log_prob, _, _ in lattices.sample(text, 4, np.random.default_rng([1])):
+            assert abs(log_prob - (sum(weight[p] for p in ids) - mass[-1])) < 1e-6
+
+
+def test_sampling_encodes_every_document(spark):
+    folder = "/root/testdata/sf0.001"
+    keys = {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in queries.QUERIES["op9_sentencepiece_sampling"](spark, folder).select("doc_id").collect()} == keys
+
+
 # -- edges ------------------------------------------------------------------------------
 
 
