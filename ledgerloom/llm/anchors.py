@@ -90,10 +90,12 @@ def variants(stretches: DataFrame) -> DataFrame:
     )
 
 
-def unlike(kinds: DataFrame) -> DataFrame:
-    """Variants whose anchor also has other variants: their windows must be compared one by one."""
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    return kinds.join(several, "anchor", "left_semi")
+def unlike(kinds: DataFrame, least: int = 2, most: int | None = None) -> DataFrame:
+    """Variants whose anchor also has other variants (``least`` to ``most`` in all): their windows must be compared one by one."""
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= least)
+    if most is not None:
+        several = several.where(F.col("kinds") <= most)
+    return kinds.join(several.select("anchor"), "anchor", "left_semi")
 
 
 def by_document(spans: DataFrame, *columns: str) -> DataFrame:

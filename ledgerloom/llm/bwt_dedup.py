@@ -4,8 +4,9 @@ A byte goes if it lies in a 100-byte string that also starts earlier in the coll
 
 Documents of any length would need as many rounds as the longest has bytes, so the collection is cut
 into pieces first: the stretches of windows that share an anchor (``anchors``).  Equal pieces become
-one; a piece whose anchor occurs nowhere else cannot match.  What is left is dealt by anchor, and each
-part's pieces, lined up on their anchors, are indexed column by column from right to left: every round
+one; a piece whose anchor occurs nowhere else cannot match.  An anchor with more than ``MOST`` unlike pieces
+is split (``halved``) until no group is larger.  What is left is dealt by anchor or group, and the pieces of
+some groups at a time, lined up on their anchors, are indexed column by column from right to left: every round
 inserts one symbol of each piece, which sorts the pieces by the text that begins there (the symbols in
 that order are the column's Burrows-Wheeler transform) and updates the common prefix of neighbours.
 Where the common prefix of neighbours reaches 100, their strings are equal, and all but the
@@ -27,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .anchors import Windows, by_document, covered, repeated, unlike, variants
 from .textkit import packed, ragged, slices, texts_of
 
 WINDOW_BYTES = 100
 ANCHOR_BYTES = 20
+#: Unlike pieces of one group, and bytes of pieces (but for one group) indexed at once; neither changes a result.
+MOST, _HELD = 2048, 1 << 26
 
 
 def _windows(window: int) -> Windows:
@@ -86,18 +90,68 @@ def later_strings(group: np.ndarray, rank: np.ndarray, lead: np.ndarray, n: np.n
     return np.concatenate([none, *found_piece]), np.concatenate([none, *found_at])
 
 
+def by_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column as tables of about ``_HELD`` bytes; rows of one group stay together."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size > _HELD:
+            other = np.flatnonzero(batch.column(0).to_numpy() != held[-1].column(0)[-1].as_py())
+            cut = int(other[0]) if len(other) else batch.num_rows
+            if cut:
+                held.append(batch.slice(0, cut))
+            if cut == batch.num_rows:
+                continue
+            yield pa.Table.from_batches(held)
+            held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def halved(pieces: DataFrame, windows: Windows) -> DataFrame:
+    """Each piece as one or two, by how many bytes its windows have before the anchor: ``lo`` .. ``hi`` halved.
+
+    All windows of a half hold ``lo`` bytes before and ``window - gram - hi`` after the anchor.  Equal windows have
+    the same half and the same such bytes, so they still meet under the hash of these; other pieces part.
+    """
+    rest = windows.window - windows.gram
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    ranges = F.array(F.struct("lo", middle.alias("hi")), F.struct((middle + 1).alias("lo"), "hi"))
+    halves = pieces.withColumn("half", F.explode(ranges)).select(
+        "anchor", "doc_id", "start", "n", "lead", "piece", "half.lo", "half.hi",
+        F.least("half.hi", "lead").alias("top"), F.greatest("half.lo", F.col("lead") - F.col("n") + 1).alias("low"),
+    ).where("low <= top")
+    cut = halves.select(
+        "anchor", "doc_id", (F.col("start") + F.col("lead") - F.col("top")).alias("start"), (F.col("top") - F.col("low") + 1).alias("n"),
+        F.col("top").alias("lead"), "lo", "hi",
+        F.substring("piece", F.col("lead") - F.col("top") + 1, F.col("top") - F.col("low") + windows.window).alias("piece"),
+    )
+    around = F.substring("piece", F.col("lead") - F.col("lo") + 1, F.col("lo") + windows.gram + rest - F.col("hi"))
+    return cut.select(
+        F.xxhash64("anchor", "lo", around).alias("anchor"), F.xxhash64("lo", "n", "lead", "piece").alias("whole"),
+        "doc_id", "start", "n", "lead", "lo", "hi", "piece",
+    )
+
+
 def repeated_strings(texts: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
     """Runs of windows that start earlier too: doc_id, start, n (bytes start .. start + n - 1 + window go)."""
     windows = _windows(window)
     stretches = repeated(texts, windows)
     kinds = variants(stretches)
-    whole = (
-        stretches.drop("n", "lead")
-        .join(kinds.where("copies > 1"), ["anchor", "whole"])
-        .where(F.struct("doc_id", "start") > F.col("first"))
-        .select("doc_id", "start", F.col("n").cast("int").alias("n"))
-    )
-    edges = unlike(kinds).select(F.col("first.doc_id").alias("doc_id"), "first.start", F.col("n").cast("int").alias("n"), F.col("lead").cast("int").alias("lead"), "anchor")
+
+    def later(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+        return (
+            rows.select("anchor", "whole", "doc_id", "start")
+            .join(kinds.where("copies > 1"), ["anchor", "whole"])
+            .where(F.struct("doc_id", "start") > F.col("first"))
+            .select("doc_id", "start", F.col("n").cast("int").alias("n"))
+        )
+
+    def edges(kinds: DataFrame) -> DataFrame:
+        return kinds.select(F.col("first.doc_id").alias("doc_id"), "first.start", F.col("n").cast("int").alias("n"), F.col("lead").cast("int").alias("lead"), "anchor")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,10 +168,10 @@ def repeated_strings(texts: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
                 )
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
+        for table in by_groups(batches):
+            yield compared(table.combine_chunks())
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
         anchor, doc, start, n, lead = (table[c].to_numpy().astype(np.int64) for c in ("anchor", "doc_id", "start", "n", "lead"))
         by = np.lexsort((start, doc, anchor))
         anchor, doc, start, n, lead = anchor[by], doc[by], start[by], n[by], lead[by]
@@ -138,16 +192,35 @@ def repeated_strings(texts: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
         head = np.ones(len(piece), bool)
         head[1:] = (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)
         heads = np.flatnonzero(head)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(doc[piece[heads]]), pa.array((start[piece[heads]] + at[heads]).astype(np.int32)), pa.array(np.diff(np.append(heads, len(piece))).astype(np.int32))],
             ["doc_id", "start", "n"],
         )
 
-    pieces = texts.join(by_document(edges, "start", "n", "lead", "anchor"), "doc_id").select("doc_id", "text", "spans").mapInArrow(
-        fetch, "anchor long, doc_id long, start int, n int, lead int, piece binary"
-    )
-    found = pieces.repartition("anchor").mapInArrow(index, "doc_id long, start int, n int")
-    return whole.unionByName(found)
+    def fetched(edges: DataFrame) -> DataFrame:
+        return texts.join(by_document(edges, "start", "n", "lead", "anchor"), "doc_id").select("doc_id", "text", "spans").mapInArrow(
+            fetch, "anchor long, doc_id long, start int, n int, lead int, piece binary"
+        )
+
+    def found(pieces: DataFrame) -> DataFrame:
+        return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, "doc_id long, start int, n int")
+
+    runs = later(stretches, kinds).unionByName(found(fetched(edges(unlike(kinds, most=MOST)))))
+    hot = materialise(texts.sparkSession, edges(unlike(kinds, least=MOST + 1)), "hot-anchors")
+    large = fetched(hot).withColumns({"lo": F.lit(0), "hi": F.lit(window - windows.gram)})
+    span = window - windows.gram + 1
+    # At one window a piece the group holds equal windows only, and those are one piece.
+    while span > 1 and not hot.isEmpty():
+        rows = materialise(texts.sparkSession, halved(large, windows), "halved")
+        own = F.struct("doc_id", "start", "lo", "hi", "piece")
+        kinds = rows.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(own).alias("first"), F.max("n").alias("n"), F.max("lead").alias("lead"))
+        kinds = materialise(texts.sparkSession, kinds, "halved-kinds")
+        places = kinds.withColumn("first", F.struct("first.doc_id", "first.start"))
+        pieces = ["anchor", "first.doc_id", "first.start", "n", "lead", "first.piece"]
+        runs = runs.unionByName(later(rows, places)).unionByName(found(unlike(kinds, most=MOST).select(*pieces)))
+        large = hot = unlike(kinds, least=MOST + 1).select(*pieces, "first.lo", "first.hi")
+        span = (span + 1) // 2
+    return runs
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:

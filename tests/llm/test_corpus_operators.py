@@ -223,6 +223,30 @@ def test_suffix_dedup(docs, rows, window):
     assert got == brute_bytes(rows, window)
 
 
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line, kept = "== the same line in every text ==", [noise(110) for _ in range(3)]
+    texts = [noise(rng.randint(0, 90)) + rng.choice(kept)[rng.randint(0, 40) :] + line + rng.choice(kept)[: rng.randint(30, 110)] + noise(60) for _ in range(120)]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    docs = make(spark, rows).repartition(3)
+    monkeypatch.setattr(bwt_dedup, "_HELD", 1 << 10)
+    largest, later = [], bwt_dedup.halved
+    monkeypatch.setattr(bwt_dedup, "halved", lambda pieces, windows: largest.append(1) or later(pieces, windows))
+    monkeypatch.setattr(bwt_dedup, "MOST", 4)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in bwt_dedup.suffix_dedup(docs).collect())
+    assert got == brute_bytes(rows, 100) and len(largest) > 1
+
+
+def test_groups_stay_together_in_small_tables(monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "_HELD", 100)
+    keys = np.repeat(np.arange(40), [1 + 7 * (i % 5 == 0) for i in range(40)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 6])], ["anchor"]) for i in range(0, len(keys), 6)]
+    tables = [t.column(0).to_pylist() for t in bwt_dedup.by_groups(iter(batches))]
+    assert sum(tables, []) == keys.tolist() and len(tables) > 2
+    assert all(a[-1] < b[0] for a, b in zip(tables, tables[1:]))
+
+
 # -- packing ----------------------------------------------------------------------------
 
 
