@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import anomaly, bwt_dedup, chat_format, exact_dedup, hard_negatives, language, ngram_join, packing, quality, relative_parse, sampling, toxicity
+from . import alignment, anomaly, bwt_dedup, chat_format, exact_dedup, hard_negatives, language, ngram_join, packing, quality, relative_parse, sampling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,8 @@ def op13(spark, folder):
     rows = _table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
     moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return hard_negatives.mine(spark, moved)
+
+
+@_query("op11_alignment")
+def op11(spark, folder):
+    return alignment.align(_table(spark, folder, "documents"))
