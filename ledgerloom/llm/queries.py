@@ -163,7 +163,8 @@ FROM s GROUP BY conv_id""",
 )
 def op12(spark, folder):
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-1, 0, "user", _PLANTED), (-1, 1, "assistant", _PLANTED)], "conv_id long, turn long, role string, text string")
+    says = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), says.alias("role"), F.lit(_PLANTED).alias("text"))
     return chat_format.digest(chat_format.format_chats(turns.unionByName(planted)))
 
 
