@@ -286,7 +286,7 @@ query(
 _LONG = """, actual AS (SELECT id AS document, unnest(['vendor', 'currency', 'total']) AS field,
   unnest([vendor, currency, CAST(total_amount::DECIMAL(14,2) AS VARCHAR)]) AS value FROM cand),
 golden AS (SELECT o_orderkey AS document, unnest(['vendor', 'currency', 'total']) AS field,
-  unnest([concat('Kedai ', o_custkey % 50), 'MYR', CAST(CAST(items_total AS DECIMAL(14,2)) AS VARCHAR)]) AS value FROM (SELECT *, id AS o_orderkey FROM rendered) WHERE id % 8 < 4)"""
+  unnest([concat('Kedai ', o_custkey % 50), 'MYR', CAST(CAST(items_total AS DECIMAL(14,2)) AS VARCHAR)]) AS value FROM (SELECT *, id AS o_orderkey FROM rendered))"""
 
 
 def _long(df, document: str, **fields):

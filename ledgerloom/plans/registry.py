@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure
+from ..session import WIDE_PARTITIONS, configure
 from ..sources.archive import Archive, duckdb_with
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,8 @@ def query(name: str, views: str = "", sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Archive(configure(spark), folder))
+            parts = spark.conf.get(WIDE_PARTITIONS, None)
+            return fn(Archive(configure(spark), folder, int(parts) if parts else None))
 
         QUERIES[name] = run
         if sql is not None:

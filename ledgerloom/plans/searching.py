@@ -159,9 +159,7 @@ query(
 
 _COS = """, q AS (SELECT list_transform(range(len(embedding)), lambda i: (CASE WHEN i % 3 = 0 THEN 0.5 WHEN i % 3 = 1 THEN -0.25 ELSE 0.125 END)::DOUBLE) AS v FROM embeddings LIMIT 1),
 sims AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], v) AS similarity FROM embeddings, q),
-top AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS rank_no FROM sims ORDER BY similarity DESC, id LIMIT 50)"""
-# The same query vector in both engines.
-_SIZE = "embeddings"
+top AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS rank_no FROM sims)"""
 
 
 def _probe(a: Archive) -> list[float]:
@@ -180,13 +178,13 @@ def _nearest(a: Archive, k: int = 50):
 query(
     "k05_vector_topk",
     "",
-    f"WITH {_COS.lstrip(', ')} SELECT id, round(similarity, 9) AS similarity FROM top",
+    f"WITH {_COS.lstrip(', ')} SELECT id, round(similarity, 9) AS similarity FROM top WHERE rank_no <= 50",
 )(lambda a: _nearest(a).select("id", F.round("similarity", 9).alias("similarity")))
 
 query(
     "k05_rrf",
     "texts",
-    f"""{_RANK}{_COS}, words AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS rank_no FROM rank ORDER BY rank DESC, id LIMIT 50)
+    f"""{_RANK}{_COS}, words AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS rank_no FROM rank)
 SELECT id, round(sum(1.0::DOUBLE / (60 + rank_no)), 9) AS rrf_score FROM (SELECT id, rank_no FROM top UNION ALL SELECT id, rank_no FROM words) GROUP BY 1""",
 )(lambda a: _fused(a))
 

@@ -19,6 +19,13 @@ REQUIRED = {
 }
 
 
+#: Folders of local applications whose session names no shared root.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+#: Parts into which a table is dealt before work that is heavy per row (see ``Archive.wide``).
+WIDE_PARTITIONS = "spark.ledgerloom.widePartitions"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings above to a session made elsewhere."""
     for key, value in REQUIRED.items():
@@ -40,6 +47,8 @@ def local_session(cores: str = "8", app: str = "ledgerloom") -> SparkSession:
         .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.sql.files.maxPartitionBytes", "2m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The test tables are single row groups, which no scan splits.
+        .config(WIDE_PARTITIONS, cores if cores.isdigit() else "8")
     )
     for key, value in REQUIRED.items():
         builder = builder.config(key, value)
@@ -57,8 +66,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # The setting cannot be changed on a running session, so the folder is kept here, one per application.
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="ledgerloom-")
+        root = _LOCAL_ROOTS[application]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -291,16 +291,19 @@ def _expand(name: str) -> str:
 class Archive:
     """Lazy access to the archive tables of one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, partitions: int | None = None):
+        """``partitions``: deal tables for heavy work into so many parts (files of one row group are not split)."""
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.partitions = partitions
 
     def parquet(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def wide(self, name: str) -> DataFrame:
-        """A parquet table for work that is heavy per row; the session decides its splits."""
-        return self.parquet(name)
+        """A parquet table for work that is heavy per row, dealt anew if the caller asked for it."""
+        rows = self.parquet(name)
+        return rows.repartition(self.partitions) if self.partitions else rows
 
     def table(self, name: str, heavy: bool = False) -> DataFrame:
         text = _expand(name)
