@@ -12,11 +12,14 @@ import html
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from ..functions.stem import STOP_WORDS, stem
 from ..session import materialise
@@ -27,10 +30,6 @@ NAME_THRESHOLD = 0.2
 # Weight of an unlabelled word in the cover rank.
 WORD_WEIGHT = 0.1
 
-_LEXEMES = T.ArrayType(
-    T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
-)
-
 
 # -- index ------------------------------------------------------------------------
 
@@ -52,32 +51,33 @@ def normal_form(word: str, english: bool = True) -> str | None:
     return None if word in STOP_WORDS else stem(word)
 
 
-def _grouped(english: bool):
-    @pandas_udf(_LEXEMES)
-    def group_words(lists: pd.Series) -> pd.Series:
-        def one(tokens):
-            if tokens is None:
-                return None
-            seen: dict[str, list[int]] = {}
-            for position, word in enumerate(tokens, start=1):
-                form = normal_form(word, english)
-                if form is not None:
-                    seen.setdefault(form, []).append(position)
-            return [{"lexeme": k, "positions": v} for k, v in seen.items()]
+@arrow_udf(T.ArrayType(T.StringType()))
+def _normal_forms(lists: pa.Array) -> pa.Array:
+    """Index form of every word of the lists; each distinct word of a batch is stemmed once."""
+    coded = pc.dictionary_encode(lists.flatten())
+    forms = pa.array([normal_form(w) for w in coded.dictionary.to_pylist()], pa.string())
+    kept = forms.take(coded.indices)
+    return pa.ListArray.from_arrays(_offsets(lists), kept)
 
-        return lists.map(one)
 
-    return group_words
+def _offsets(lists: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
-def lexeme_table(docs: DataFrame, english: bool = True) -> DataFrame:
-    """(id, lexeme, positions) of docs(id, title, original_filename, text).
+def lexeme_rows(docs: DataFrame, english: bool = True, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, lexeme, position) of every indexed word.
 
-    Stop words count as positions but are not indexed.  No shuffle: the words of
-    a document are grouped where the document is read.
+    Stop words count as positions but are not indexed.
     """
-    text = search_text(F.col("title"), F.col("original_filename"), F.col("text"))
-    return docs.select("id", F.inline(_grouped(english)(words(text))))
+    found = words(search_text(F.col("title"), F.col("original_filename"), F.col("text")))
+    rows = docs.select(*keys, F.posexplode(_normal_forms(found) if english else found).alias("n", "lexeme"))
+    return rows.where(F.col("lexeme").isNotNull()).select(*keys, "lexeme", (F.col("n") + 1).alias("position"))
+
+
+def lexeme_table(docs: DataFrame, english: bool = True, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, lexeme, positions) of docs(id, title, original_filename, text)."""
+    return lexeme_rows(docs, english, keys).groupBy(*keys, "lexeme").agg(F.array_sort(F.collect_list("position")).alias("positions"))
 
 
 # -- queries ------------------------------------------------------------------------
@@ -272,38 +272,38 @@ def name_candidates(name_index: DataFrame, q: str) -> DataFrame:
 
 
 def cover_rank(index: DataFrame, q: str, english: bool = True) -> DataFrame:
-    """Rank per document from the runs of words that cover the query.
+    """Rank per document from the smallest runs of words that satisfy the query.
 
-    Each smallest run that holds all words of an alternative adds its weight,
-    divided by one plus the other words inside it.  Runs are found with running
-    windows over the rows of the query's words, by document.  Words of a phrase
-    count like single words; excluded words do not count.
+    A run satisfies it if all words of one alternative are inside; each smallest run adds its weight, divided
+    by one plus the other words inside it.  One pass over the rows of the query's words, by document and
+    position: the latest run that ends at a row begins at the latest of the alternatives' beginnings, and it is
+    smallest if no earlier row has the same beginning.  Words of a phrase count like single words; excluded
+    words do not count.
     """
     groups = [sorted({w for t in g if not t.negated for w in t.lexemes}) for g in websearch_query(q, english)]
     groups = [g for g in groups if g]
     if not groups:
         return index.filter(F.lit(False)).select("id", F.lit(0.0).alias("rank"))
-    parts = []
-    for number, group in enumerate(groups):
-        rows = index.filter(F.col("lexeme").isin(*group)).select("id", "lexeme", F.explode("positions").alias("pos"))
-        by_doc = Window.partitionBy("id").orderBy("pos")
-        so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
-        numbered = rows.withColumn("n", F.row_number().over(by_doc))
-        latest = [
-            F.max(F.when(F.col("lexeme") == w, F.struct("pos", "n"))).over(so_far).alias(f"l{i}") for i, w in enumerate(group)
-        ]
-        ends = numbered.select("id", "pos", "n", *latest)
-        complete = _all([F.col(f"l{i}").isNotNull() for i in range(len(group))])
-        begin = F.col("l0") if len(group) == 1 else F.least(*[f"l{i}" for i in range(len(group))])
-        runs = ends.filter(complete).groupBy("id", begin.alias("begin")).agg(F.min(F.struct("pos", "n")).alias("end"))
-        inside = F.col("end.n") - F.col("begin.n")
-        gap = F.col("end.pos") - F.col("begin.pos") - inside
-        parts.append(runs.select("id", F.lit(number).alias("g"), (F.lit(WORD_WEIGHT) / (1 + gap)).alias("w")))
-    all_runs = parts[0]
-    for p in parts[1:]:
-        all_runs = all_runs.unionByName(p)
-    # Whole micro-units: the sum does not depend on the order of the additions.
-    return all_runs.groupBy("id").agg((F.sum(F.round(F.col("w") * 1e9).cast("bigint")) / 1e9).alias("rank"))
+    used = sorted({w for g in groups for w in g})
+    rows = index.filter(F.col("lexeme").isin(*used)).select("id", "lexeme", F.explode("positions").alias("pos"))
+    by_doc = Window.partitionBy("id").orderBy("pos")
+    so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("n", F.row_number().over(by_doc))
+    latest = [F.max(F.when(F.col("lexeme") == w, F.struct("pos", "n"))).over(so_far).alias(f"l{i}") for i, w in enumerate(used)]
+    ends = numbered.select("id", "pos", "n", *latest)
+
+    def begin(group: list[str]) -> Column:
+        slots = [F.col(f"l{used.index(w)}") for w in group]
+        return slots[0] if len(slots) == 1 else F.when(_all([c.isNotNull() for c in slots]), F.least(*slots))
+
+    begins = [begin(g) for g in groups]
+    latest_begin = begins[0] if len(begins) == 1 else F.greatest(*begins)
+    runs = ends.withColumn("begin", latest_begin).filter("begin IS NOT NULL").groupBy("id", "begin").agg(F.min(F.struct("pos", "n")).alias("end"))
+    inside = F.col("end.n") - F.col("begin.n")
+    gap = F.col("end.pos") - F.col("begin.pos") - inside
+    # Whole billionths: the sum does not depend on the order of the additions.
+    weight = F.round(F.lit(WORD_WEIGHT) / (1 + gap) * 1e9).cast("bigint")
+    return runs.groupBy("id").agg((F.sum(weight) / 1e9).alias("rank"))
 
 
 # -- snippets -------------------------------------------------------------------------------

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters as flt
+from ..operators import maintain as mt
 from ..operators import search as se
-from ..session import materialise
+from ..operators.search_index import SearchIndex
+from ..session import materialise, shared_folder
 from ..sources.archive import Archive
+from ..sources.catalog import Catalog
 from .registry import query
 
 QUERY = '"of the" thing or nicht -und'
@@ -155,6 +158,65 @@ query(
     ).select("id")
 )
 
+# -- stored index ------------------------------------------------------------------
+
+
+def _stored(a: Archive, docs) -> SearchIndex:
+    # Few spans and slots: 25 tenants share a table of some megabytes.
+    return SearchIndex.build(Catalog(a.spark, shared_folder(a.spark, "index")), docs, english=False, spans=4, slots=4)
+
+
+query(
+    "i09_search_stored_index",
+    "texts",
+    _PAGE.replace("WHERE document_type = 'report'", "WHERE document_type = 'report' AND tenant_id = 't3'").replace("SELECT t.id,", "SELECT t.id, t.tenant_id,"),
+)(lambda a: _stored_page(a))
+
+
+def _stored_page(a: Archive):
+    found = _stored(a, a.table("texts", heavy=True)).search("t3", RANKED, document_type="report")
+    return found.select(
+        "id",
+        F.round("score", 6).alias("score"),
+        F.array_join("matched_fields", ",").alias("matched_fields"),
+        F.coalesce(F.col("snippet").contains("<mark>"), F.lit(False)).alias("has_snippet"),
+    )
+
+
+def _renamed(docs, share: int, title):
+    """Documents of every ``share``-th id under a new title."""
+    patches = docs.where(F.col("id") % share == 0).select(
+        "id", F.array(F.lit("title")).alias("keys"), title.alias("title"), *[F.lit(None).cast(t).alias(c) for c, t in _UNCHANGED.items()]
+    )
+    whole = docs.withColumns({c: F.lit(None).cast(t) for c, t in _UNCHANGED.items() if c not in docs.columns and c != "data_patch"})
+    whole = whole.withColumn("extracted_data", F.lit(None).cast("string"))
+    return mt.patch_documents(whole, patches).where("reindex").select(*docs.columns)
+
+
+_UNCHANGED = {"document_type": "string", "document_date": "date", "correspondent_id": "bigint", "data_patch": "string"}
+
+query(
+    "k08_index_upkeep",
+    "texts",
+    """, now AS (SELECT id, tenant_id, concat_ws(' ', nullif(CASE WHEN id % 5 = 0 THEN 'Again ' || id WHEN id % 3 = 0 THEN 'Renamed ' || id || ' note' ELSE title END, ''),
+  nullif(original_filename, ''), nullif(text, '')) AS st FROM texts WHERE deleted_at IS NULL),
+tok AS (SELECT id, tenant_id, unnest(regexp_extract_all(lower(st), '[\\p{L}\\p{N}]+')) AS w, generate_subscripts(regexp_extract_all(lower(st), '[\\p{L}\\p{N}]+'), 1) AS pos FROM now)
+SELECT tenant_id, id, w AS lexeme, string_agg(pos, ',' ORDER BY pos) AS positions FROM tok WHERE w IN ('again', 'renamed', 'note', 'memo', 'the') GROUP BY ALL""",
+)(lambda a: _upkeep(a))
+
+
+def _upkeep(a: Archive):
+    docs = a.table("texts", heavy=True)
+    index = _stored(a, docs)
+    # Two rounds of edits; the first becomes part of the index, the second and the removals stay beside it.
+    first = _renamed(docs, 3, F.concat(F.lit("Renamed "), F.col("id"), F.lit(" note")))
+    index.apply(1, first)
+    index.merge(1)
+    index.apply(2, _renamed(docs, 5, F.concat(F.lit("Again "), F.col("id"))).where("deleted_at IS NULL"), docs.where("deleted_at IS NOT NULL"))
+    found = index.current_words(F.col("lexeme").isin("again", "renamed", "note", "memo", "the"))
+    return found.select("tenant_id", "id", "lexeme", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
 # -- vectors -----------------------------------------------------------------------
 
 _COS = """, q AS (SELECT list_transform(range(len(embedding)), lambda i: (CASE WHEN i % 3 = 0 THEN 0.5 WHEN i % 3 = 1 THEN -0.25 ELSE 0.125 END)::DOUBLE) AS v FROM embeddings LIMIT 1),
