@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import live
+from .ordered import earlier_total
 
 DEFAULT_MONTHLY_TOKENS = 2_000_000
 
@@ -165,35 +166,19 @@ def evaluation_rates(results: DataFrame) -> DataFrame:
 # -- ordered budgets ---------------------------------------------------------
 
 
-def running_budget(
-    calls: DataFrame, tenants: DataFrame, slot: str = "hour", month: Column | None = None
-) -> DataFrame:
+def running_budget(calls: DataFrame, tenants: DataFrame, month: Column | None = None) -> DataFrame:
     """Admit calls in time order while the month's earlier tokens are below the cap.
 
-    The prefix sum is built in two levels so that no tenant is ordered in one
-    task: totals per time slot are summed over slots (at most 744 hours a month),
-    and only calls inside one slot are ordered against each other.  Because tokens
-    are never negative, a refused call cannot be followed by an admitted one, so
-    summing all earlier calls equals summing the admitted ones.
+    Because tokens are never negative, a refused call cannot be followed by an admitted one, so summing all
+    earlier calls equals summing the admitted ones.  Calls of one moment count in id order.
     """
     if month is None:
         month = F.date_trunc("month", "created_at")
-    keys = ["tenant_id", "month", "slot"]
-    timed = calls.withColumns(
-        {"month": month, "slot": F.date_trunc(slot, "created_at")}
-    )
-    per_slot = timed.groupBy(*keys).agg(F.sum("total_tokens").alias("slot_tokens"))
-    over_slots = Window.partitionBy("tenant_id", "month").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slot.select(*keys, F.coalesce(F.sum("slot_tokens").over(over_slots), F.lit(0)).alias("before_slot"))
-    inside = Window.partitionBy(*keys).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    prior = timed.withColumn("in_slot", F.coalesce(F.sum("total_tokens").over(inside), F.lit(0)))
+    timed = calls.withColumn("month", month)
+    summed = earlier_total(timed, ["tenant_id", "month"], ["created_at", "id"], F.coalesce("total_tokens", F.lit(0)), "used_before")
     caps = tenants.select("tenant_id", token_cap().alias("cap"))
-    used = F.col("before_slot") + F.col("in_slot")
     return (
-        prior.join(offsets, keys)
-        .join(caps, "tenant_id", "left")
-        .withColumn("used_before", used)
+        summed.join(caps, "tenant_id", "left")
         .withColumn("cap", F.coalesce("cap", F.lit(DEFAULT_MONTHLY_TOKENS).cast("bigint")))
         .withColumn("admitted", (F.col("cap") > 0) & (F.col("used_before") < F.col("cap")))
-        .drop("before_slot", "in_slot", "slot")
     )

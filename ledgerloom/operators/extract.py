@@ -287,6 +287,16 @@ def chunk_table(df: DataFrame, budget: int = CHUNK_CHARS, max_chunks: int | None
 MIN_MODEL_TEXT = 8
 
 
+def _model_text() -> Column:
+    return F.regexp_replace(F.coalesce("text", F.lit("")), rf"^{_SP}+|{_SP}+$", "")
+
+
+def model_input_mode() -> Column:
+    """``text`` for a document with a text layer and enough text, else ``vision``."""
+    usable = F.coalesce("has_text_layer", F.lit(False)) & (F.length(_model_text()) >= MIN_MODEL_TEXT)
+    return F.when(usable, "text").otherwise("vision")
+
+
 def model_work_list(df: DataFrame, max_calls: int | None = None) -> DataFrame:
     """Model calls for routed documents: mode, pass and chunk.
 
@@ -294,9 +304,7 @@ def model_work_list(df: DataFrame, max_calls: int | None = None) -> DataFrame:
     (with ``max_calls``, one call less than that).  Documents without usable text become a
     single vision row.  Input: id, text, has_text_layer.
     """
-    trimmed = F.regexp_replace(F.coalesce("text", F.lit("")), rf"^{_SP}+|{_SP}+$", "")
-    mode = F.when(F.coalesce("has_text_layer", F.lit(False)) & (F.length(trimmed) >= MIN_MODEL_TEXT), "text").otherwise("vision")
-    moded = df.select("id", mode.alias("mode"), trimmed.alias("text"))
+    moded = df.select("id", model_input_mode().alias("mode"), _model_text().alias("text"))
     pieces = F.when(F.col("mode") == "text", chunks(F.col("text"), max_chunks=max_calls)).otherwise(
         F.array(F.lit(None).cast("string"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import global_or_mine, live
+from .ordered import earlier_total
 
 DEFAULT_STRATEGY = "cascade"
 
@@ -288,23 +289,34 @@ def types_outside_catalog(df: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def first_in_batch(files: DataFrame, order: str = "idx") -> DataFrame:
-    """First file per tenant and checksum in upload order.
+    """First file per tenant and checksum in upload order (``order`` differs from file to file).
 
-    A partial aggregate keeps one row per key and task, so a checksum shared by
-    a third of all files is reduced before the shuffle.
+    Only keys and places are aggregated and shuffled; the files' other columns stay where they are until
+    the winners are known.
     """
-    others = [c for c in files.columns if c not in ("tenant_id", "checksum")]
-    first = F.min_by(F.struct(*others), order).alias("row")
-    return files.groupBy("tenant_id", "checksum").agg(first).select("tenant_id", "checksum", "row.*")
+    return _at_places(files, _first_places(files, order), order)
+
+
+def _first_places(files: DataFrame, order: str) -> DataFrame:
+    return files.groupBy("tenant_id", "checksum").agg(F.min(order).alias(order))
+
+
+def _at_places(files: DataFrame, places: DataFrame, order: str) -> DataFrame:
+    wanted = places.select(*[F.col(c).alias(f"_{c}") for c in ("tenant_id", "checksum", order)])
+    same = F.col(order) == F.col(f"_{order}")
+    for key in ("tenant_id", "checksum"):
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return files.join(wanted, same, "left_semi")
 
 
 def ingest_dedup(files: DataFrame, existing: DataFrame, order: str = "idx") -> DataFrame:
     """New files: first of their checksum and unknown to the tenant's archive.
 
-    Trashed documents still count as existing.
+    Trashed documents still count as existing.  Which files stay is decided on keys and places alone.
     """
     known = existing.select("tenant_id", "checksum").distinct()
-    return first_in_batch(files, order).join(known, ["tenant_id", "checksum"], "left_anti")
+    fresh = _first_places(files, order).join(known, ["tenant_id", "checksum"], "left_anti")
+    return _at_places(files, fresh, order)
 
 
 def two_earliest_ids(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -338,20 +350,11 @@ def duplicate_invoices(df: DataFrame) -> DataFrame:
 def disambiguate_filenames(df: DataFrame) -> DataFrame:
     """Second and later equal names become ``stem (n).ext``.
 
-    Numbers follow id order.  Rows of one name are numbered in two levels (blocks
-    of ids, then inside a block), so a very common name is not ordered in one task.
-    Numeric ids are blocked by range, others by their first characters; both keep the order.
+    Numbers follow id order, and a very common name is not ordered in one task (see ``ordered``).
     """
     name = F.coalesce(F.when(F.col("original_filename") != "", F.col("original_filename")), F.col("id").cast("string"))
-    block_size = 100_000
-    numeric = dict(df.dtypes)["id"] not in ("string", "binary")
-    block = F.floor(F.col("id") / block_size) if numeric else F.substring("id", 1, 3)
-    base = df.select("id", name.alias("name")).withColumn("block", block)
-    sizes = base.groupBy("name", "block").agg(F.count("*").alias("size"))
-    earlier = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("name", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("name", "block").orderBy("id")
-    n = F.col("offset") + F.col("rn") - 1
+    base = df.select("id", name.alias("name"))
+    n = F.col("n")
     stem = F.regexp_extract("name", r"(?s)^(.*)\.([^.]*)$", 1)
     ext = F.regexp_extract("name", r"(?s)^(.*)\.([^.]*)$", 2)
     has_ext = F.col("name").contains(".")
@@ -363,7 +366,7 @@ def disambiguate_filenames(df: DataFrame) -> DataFrame:
         # without a dot the whole name is taken as the extension and repeated
         .otherwise(F.concat("name", suffix, F.lit("."), "name"))
     )
-    numbered = base.withColumn("rn", F.row_number().over(inside)).join(offsets, ["name", "block"])
+    numbered = earlier_total(base, ["name"], ["id"], F.lit(1), "n")
     return numbered.select("id", "name", F.when(n == 0, F.col("name")).otherwise(renamed).alias("unique_name"))
 
 

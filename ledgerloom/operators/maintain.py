@@ -7,12 +7,14 @@ join key here can be hot.
 from __future__ import annotations
 
 import datetime
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonvalues as jv
 from .aggregates import purge_summary, storage_release
+from .audit import AuditLog
 from .normalize import effective_retention_days, shallow_merge
 
 # Kinds of audit events.
@@ -44,9 +46,9 @@ def activity(
     )
 
 
-def append_activity(events: DataFrame, path: str) -> None:
-    """Append audit rows to the activity table."""
-    events.write.mode("append").parquet(path)
+def append_activity(events: DataFrame, path: str, batch: str) -> None:
+    """Append audit rows to the log; a batch that is written again replaces itself (see ``audit``)."""
+    AuditLog(events.sparkSession, path).append(events, batch)
 
 
 def _mark(docs: DataFrame, ids: DataFrame, eligible: Column) -> DataFrame:
@@ -314,6 +316,76 @@ def cascade_null(children: DataFrame, removed: DataFrame, key: str) -> DataFrame
     return children.join(gone, key, "left").withColumn(key, kept).select(*children.columns)
 
 
+@dataclass(frozen=True)
+class Dependency:
+    """Rows of ``child`` that point to ``parent`` by ``key`` go with it, or lose the reference."""
+
+    parent: str
+    child: str
+    key: str
+    action: str  # delete or null
+
+
+# What depends on what.
+DEPENDENCIES = (
+    Dependency("documents", "document_tags", "document_id", "delete"),
+    Dependency("documents", "field_values", "document_id", "delete"),
+    Dependency("documents", "extractions", "document_id", "delete"),
+    Dependency("documents", "shares", "document_id", "delete"),
+    Dependency("documents", "jobs", "document_id", "delete"),
+    Dependency("documents", "activity", "document_id", "null"),
+    Dependency("documents", "ai_usage", "document_id", "null"),
+    Dependency("documents", "documents", "duplicate_of", "null"),
+    Dependency("documents", "templates", "sample_document_id", "null"),
+    Dependency("tags", "document_tags", "tag_id", "delete"),
+    Dependency("custom_fields", "field_values", "field_id", "delete"),
+    Dependency("custom_fields", "type_fields", "field_id", "delete"),
+    Dependency("correspondents", "documents", "correspondent_id", "null"),
+    Dependency("document_types", "templates", "document_type_id", "delete"),
+    Dependency("document_types", "documents", "document_type_id", "null"),
+    Dependency("templates", "documents", "template_id", "null"),
+    Dependency("templates", "extractions", "template_id", "null"),
+    Dependency("users", "activity", "user_id", "null"),
+    Dependency("users", "shares", "created_by", "null"),
+)
+
+
+def cascade(
+    tables: dict[str, DataFrame], parent: str, removed: DataFrame, dependencies: tuple[Dependency, ...] = DEPENDENCIES
+) -> dict[str, DataFrame]:
+    """The given tables after rows of ``parent`` (``removed``: id) went, with all that depends on them.
+
+    Deletions are followed from table to table, so what depends on a deleted dependent goes or loses its
+    reference too.  Tables that nothing touches come back as they are; a reference column that a table does not
+    have is skipped.
+    """
+    known = [d for d in dependencies if d.child in tables and d.key in tables[d.child].columns]
+    gone = {parent: removed.select("id").distinct()}
+    pending, done = [parent], dict(tables)
+    if parent in done:
+        done[parent] = done[parent].join(gone[parent], "id", "left_anti")
+    while pending:
+        current = pending.pop(0)
+        for d in known:
+            if d.parent != current or d.action != "delete":
+                continue
+            lost = gone[current].select(F.col("id").alias(d.key))
+            if any(other.parent == d.child for other in known):
+                ids = tables[d.child].join(lost, d.key, "left_semi").select("id")
+                gone[d.child] = ids.unionByName(gone[d.child]).distinct() if d.child in gone else ids.distinct()
+                pending.append(d.child)
+            done[d.child] = done[d.child].join(lost, d.key, "left_anti")
+    for d in known:
+        if d.action == "null" and d.parent in gone:
+            done[d.child] = cascade_null(done[d.child], gone[d.parent], d.key)
+    return done
+
+
+def purge_dependents(tables: dict[str, DataFrame], purged: DataFrame) -> dict[str, DataFrame]:
+    """All tables after a purge (``purge_expired``, ``empty_trash`` or ``permanent_delete``)."""
+    return cascade(tables, "documents", purged)
+
+
 def unique_key_check(df: DataFrame, *keys: str, fold: bool = False) -> DataFrame:
     """Key values that occur more than once; NULL keys never collide."""
     columns = [F.lower(k).alias(k) if fold and k != "tenant_id" else F.col(k) for k in keys]

@@ -141,6 +141,22 @@ def merge_chunk_header(parts: DataFrame) -> DataFrame:
     return base.join(winner, "document_id", "left").withColumn("model_type", F.coalesce("model_type", F.lit("other")))
 
 
+def two_phase_parts(parts: DataFrame) -> DataFrame:
+    """Answers of the header call and the item calls, ready to be merged.
+
+    Input: document_id, chunk_no, call (``header``, ``items`` or ``vision``), fields and the like.  The header
+    call comes before all item calls and its line items do not count: the item calls read every chunk, the
+    header's included.
+    """
+    header = F.col("call") == "header"
+    return parts.withColumns(
+        {
+            "fields": F.when(header, F.map_filter("fields", lambda k, v: k != "line_items")).otherwise(F.col("fields")),
+            "chunk_no": F.when(header, F.lit(-1)).otherwise(F.col("chunk_no")),
+        }
+    ).drop("call")
+
+
 # -- merging page objects --------------------------------------------------------------
 
 

@@ -56,6 +56,30 @@ def route(scored: DataFrame, results: DataFrame, admitted: DataFrame) -> DataFra
     model_confidence, model_fields as JSON); ``admitted`` comes from
     ``admit_model_calls``.
     """
+    decided = decide(scored.join(results, "id", "left").join(admitted, "id", "left"))
+    typed = typed_fields(decided)
+    named = auto_title(F.col("typed.vendor"), F.col("typed.invoice_no"))
+    return typed.select(
+        "id",
+        "tenant_id",
+        "status",
+        "extraction_status",
+        "extraction_method",
+        F.col("final_type").alias("document_type"),
+        "extracted_data",
+        F.col("typed.vendor").alias("vendor"),
+        F.col("typed.invoice_no").alias("invoice_no"),
+        F.col("typed.total_amount").try_cast("decimal(12,2)").alias("total_amount"),
+        F.col("typed.currency").alias("currency"),
+        F.when(F.col("accepted"), F.coalesce(named, F.col("title"))).otherwise(F.col("title")).alias("title"),
+    )
+
+
+def decide(joined: DataFrame) -> DataFrame:
+    """Add status, extraction status and method, data and type to scored documents.
+
+    ``joined`` also has model_type, model_confidence, model_fields and admitted.
+    """
     structured = F.col("mime_type").isin(*PAGE_IMAGE_TYPES, XML)
     attempted = structured & F.col("document_type").isNotNull()
     by_rules = attempted & F.coalesce("gate_passed", F.lit(False))
@@ -69,8 +93,7 @@ def route(scored: DataFrame, results: DataFrame, admitted: DataFrame) -> DataFra
         .when(queued & ~called, "skipped_budget")
         .otherwise("low_confidence")
     )
-    joined = scored.join(results, "id", "left").join(admitted, "id", "left")
-    decided = joined.withColumns(
+    return joined.withColumns(
         {
             "extraction_status": extraction,
             "extraction_method": F.when(by_rules | (attempted & ~queued), "deterministic").when(queued, "vlm"),
@@ -78,24 +101,9 @@ def route(scored: DataFrame, results: DataFrame, admitted: DataFrame) -> DataFra
             "extracted_data": F.when(by_rules, candidate_json()).when(answered, F.col("model_fields")),
             "final_type": F.when(by_rules, F.col("document_type")).when(answered, F.col("model_type")),
             "accepted": by_rules | by_model,
+            "queued": queued,
         }
     )
-    typed = typed_fields(decided)
-    named = auto_title(F.col("typed.vendor"), F.col("typed.invoice_no"))
-    return typed.select(
-        "id",
-        "tenant_id",
-        "status",
-        "extraction_status",
-        "extraction_method",
-        F.col("final_type").alias("document_type"),
-        "extracted_data",
-        F.col("typed.vendor").alias("vendor"),
-        F.col("typed.invoice_no").alias("invoice_no"),
-        F.col("typed.total_amount").try_cast("decimal(12,2)").alias("total_amount"),
-        F.col("typed.currency").alias("currency"),
-        F.when(F.col("accepted"), F.coalesce(named, F.col("title"))).otherwise(F.col("title")).alias("title"),
-    )
 
 
 def reextract_route(docs: DataFrame, results: DataFrame, admitted: DataFrame) -> DataFrame:

@@ -76,21 +76,39 @@ def _shown(a: Archive):
     )
 
 
-query(
-    "d11_merge_chunks",
-    "",
-    f"""WITH {_PARSED.lstrip(', ')}
+_MERGED = f"""WITH {_PARSED.lstrip(', ')}
 SELECT document_id, 'vendor' AS key, '"' || min_by(vendor, chunk_no) || '"' AS value FROM parsed WHERE vendor IS NOT NULL GROUP BY 1
 UNION ALL SELECT document_id, 'buyer', '"' || min_by(buyer, chunk_no) || '"' FROM parsed WHERE buyer IS NOT NULL GROUP BY 1
 UNION ALL SELECT document_id, 'total', max_by(total, chunk_no)::VARCHAR FROM parsed WHERE total IS NOT NULL GROUP BY 1
 UNION ALL SELECT document_id, 'grand_total', max_by(grand_total, chunk_no)::VARCHAR FROM parsed WHERE grand_total IS NOT NULL GROUP BY 1
 UNION ALL SELECT document_id, 'line_items', '[' || string_agg(list_aggregate(list_transform(items, lambda d: '{{"d":"' || d || '"}}'), 'string_agg', ','), ',' ORDER BY chunk_no) || ']'
-  FROM parsed WHERE items IS NOT NULL GROUP BY 1""",
-)(
+  FROM parsed WHERE items IS NOT NULL GROUP BY 1"""
+
+query("d11_merge_chunks", "", _MERGED)(
     # "note" is always empty and merges to nothing.
     lambda a: mo.merge_chunk_fields(_parts(a).select("document_id", "chunk_no", "fields"))
 )
 
+
+def _two_phases(a: Archive):
+    """The first answer of a document is the header call's, and every answer is an item call's."""
+    parts = _parts(a).select("document_id", "chunk_no", "fields", "model_type", "confidence")
+    calls = F.when(F.col("chunk_no") == 0, F.array(F.lit("header"), F.lit("items"))).otherwise(F.array(F.lit("items")))
+    return mo.two_phase_parts(parts.withColumn("call", F.explode(calls)))
+
+
+# The header's line items are not merged a second time.
+query("j16_two_phase_fields", "", _MERGED)(lambda a: mo.merge_chunk_fields(_two_phases(a).select("document_id", "chunk_no", "fields")))
+
+query(
+    "j16_two_phase_header",
+    "",
+    f"""WITH {_PARSED.lstrip(', ')}, calls AS (SELECT document_id, chunk_no, model_type, confidence FROM parsed UNION ALL SELECT document_id, -1, model_type, confidence FROM parsed WHERE chunk_no = 0),
+c AS (SELECT document_id, model_type, count(*) AS n, min(chunk_no) AS f FROM calls WHERE model_type <> 'other' GROUP BY 1, 2),
+w AS (SELECT document_id, model_type FROM c QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, f) = 1)
+SELECT document_id, round(avg(confidence::DECIMAL(18,9)), 6) AS confidence, coalesce(any_value(w.model_type), 'other') AS model_type FROM calls LEFT JOIN w USING (document_id) GROUP BY 1""",
+)(lambda a: mo.merge_chunk_header(_two_phases(a)).withColumn("confidence", F.round("confidence", 6)))
+
 query(
     "d11_merge_chunk_header",
     "",

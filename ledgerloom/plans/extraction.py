@@ -73,7 +73,7 @@ cand AS (SELECT *,
         'unit_price': {_num(f"regexp_extract(s, '{_SHORT}', 2)")}, 'amount': {_num(f"regexp_extract(s, '{_SHORT}', 2)")}}} END), lambda i: i IS NOT NULL) AS line_items
   FROM typed WHERE document_type IS NOT NULL)"""
 
-_GATE = f"""{_CAND}, sig AS (SELECT *,
+GATE = f"""{_CAND}, sig AS (SELECT *,
   CASE WHEN vendor <> '' THEN least(1.0::DOUBLE, found + 0.1::DOUBLE) ELSE found END AS completeness,
   CASE WHEN applied = 0 THEN 0.5::DOUBLE ELSE met / applied END AS format_validity,
   coalesce(ocr_confidence, 1.0::DOUBLE) AS ocr_score,
@@ -137,7 +137,7 @@ for _name, _columns in (
     ("j12_math_audit", ["math_audit"]),
     ("j13_gate_score", ["gate_score", "gate_passed"]),
 ):
-    query(_name, "corpus", f"{_GATE} SELECT id, {', '.join(_columns)} FROM scored")(
+    query(_name, "corpus", f"{GATE} SELECT id, {', '.join(_columns)} FROM scored")(
         lambda a, c=_columns: _scored(a).filter("document_type IS NOT NULL").select("id", *c)
     )
 
@@ -158,7 +158,7 @@ FROM archive a LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL
 
 # -- routing --------------------------------------------------------------------
 
-_ROUTE = f"""{_GATE}, used AS (SELECT tenant_id, sum(total_tokens) AS u FROM ai_usage WHERE created_at >= TIMESTAMP '2024-01-01' GROUP BY 1),
+_ROUTE = f"""{GATE}, used AS (SELECT tenant_id, sum(total_tokens) AS u FROM ai_usage WHERE created_at >= TIMESTAMP '2024-01-01' GROUP BY 1),
 queue AS (SELECT s.id, s.tenant_id, s.uploaded_at, coalesce(m.total_tokens, 0) AS tok FROM scored s LEFT JOIN model_results m USING (id)
   WHERE NOT gate_passed AND (mime_type = 'application/pdf' OR mime_type LIKE 'image/%')),
 admitted AS (SELECT q.id, coalesce(t.llm_monthly_token_cap, 2000000) > 0 AND coalesce(u.u, 0) +
@@ -317,7 +317,7 @@ def c18(a: Archive):
 query(
     "d14_evaluation_rates",
     "corpus",
-    f"""{_GATE} SELECT count(*) AS total, count(s.id) AS candidates, count(*) FILTER (gate_passed) AS passed,
+    f"""{GATE} SELECT count(*) AS total, count(s.id) AS candidates, count(*) FILTER (gate_passed) AS passed,
   count(*) FILTER (gate_passed) * 100.0::DOUBLE / count(s.id) AS pass_rate, (count(s.id) - count(*) FILTER (gate_passed)) * 100.0::DOUBLE / count(*) AS model_share
 FROM corpus c LEFT JOIN scored s ON s.id = c.id""",
 )(

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as agg
 from ..operators import filters as flt
+from ..operators import maintain as mt
 from ..operators import spreadsheet as sh
+from ..operators.audit import AuditLog
 from ..session import shared_folder
 from ..sources import exports as xp
 from ..sources import files as fl
 from ..sources.archive import Archive
 from ..streaming.activity import stream_activity
 from ..streaming.intake import stream_ingest
+from .extraction import GATE
 from .registry import query
 
 STREAM_SECONDS = 1800
@@ -173,25 +179,55 @@ def _stream(a: Archive, name: str):
     return source.parquet(a.folder)
 
 
-@query(
-    "k16_stream_ingest",
-    "texts",
-    """SELECT tenant_id, sha256(text) AS checksum, min(id) AS id, any_value(CASE WHEN contains(lower(text), 'invoice') OR contains(lower(text), 'bill to') THEN 'invoice'
-  WHEN contains(lower(text), 'receipt') OR contains(lower(text), 'payment received') THEN 'receipt' END) AS document_type FROM texts GROUP BY 1, 2""",
-)
-def k16(a: Archive):
-    rows = _stream(a, "documents").select(
-        F.col("doc_id").alias("id"),
-        F.concat(F.lit("t"), (F.col("doc_id") % 25).cast("string")).alias("tenant_id"),
-        "text",
-        F.lit(None).cast("double").alias("ocr_confidence"),
-    )
+# Rendered invoices and plain documents arrive as one stream of files.
+_JOB = f"""{GATE}, ok AS (SELECT t.tenant_id, coalesce(t.llm_monthly_token_cap, 2000000) > 0 AND coalesce(u.u, 0) < coalesce(t.llm_monthly_token_cap, 2000000) AS allowed
+  FROM tenants t LEFT JOIN (SELECT tenant_id, sum(total_tokens) AS u FROM ai_usage WHERE created_at >= TIMESTAMP '2024-01-01' GROUP BY 1) u USING (tenant_id)),
+fresh AS (SELECT * FROM corpus QUALIFY row_number() OVER (PARTITION BY tenant_id, sha256(text) ORDER BY id) = 1),
+d AS (SELECT f.*, s.id IS NOT NULL AS is_candidate, t.document_type, s.gate_score, coalesce(s.gate_passed, false) AS passed, coalesce(ok.allowed, false) AS allowed,
+  f.mime_type IN ('application/pdf', 'image/png', 'application/xml') AND s.id IS NOT NULL AS attempted
+  FROM (SELECT *, sha256(text) AS checksum FROM fresh) f LEFT JOIN scored s ON s.id = f.id LEFT JOIN typed t ON t.id = f.id LEFT JOIN ok ON ok.tenant_id = f.tenant_id),
+e AS (SELECT *, attempted AND NOT passed AND mime_type <> 'application/xml' AS queued FROM d),
+docs AS (SELECT tenant_id, id, checksum, document_type, gate_score, text, has_text_layer, queued, allowed, CASE WHEN attempted AND NOT passed THEN 'needs_review' ELSE 'completed' END AS status,
+  CASE WHEN NOT attempted THEN 'none' WHEN passed THEN 'accepted' WHEN queued AND NOT allowed THEN 'skipped_budget' ELSE 'low_confidence' END AS extraction_status,
+  CASE WHEN attempted AND NOT queued THEN 'deterministic' WHEN queued THEN 'vlm' END AS extraction_method FROM e)"""
+
+
+def _run_intake(a: Archive, index=None) -> str:
+    folder = shared_folder(a.spark, "arrivals")
+    a.table("corpus", heavy=True).withColumn("original_filename", F.concat(F.col("title"), F.lit(".txt"))).write.parquet(folder)
+    rows = a.spark.readStream.schema(a.spark.read.parquet(folder).schema).parquet(folder)
+    allowed = agg.budget_allowed(a.table("tenants"), a.table("ai_usage"), datetime.datetime(2024, 1, 31))
     path = shared_folder(a.spark, "intake")
-    run = stream_ingest(rows, path, shared_folder(a.spark, "intake-progress"))
+    run = stream_ingest(rows, path, shared_folder(a.spark, "intake-progress"), allowed=allowed, index=index)
     if not run.awaitTermination(STREAM_SECONDS):
         run.stop()
         raise TimeoutError("the intake stream did not finish")
-    return a.spark.read.parquet(path).select("tenant_id", "checksum", "id", "document_type")
+    return path
+
+
+@query(
+    "k16_stream_ingest",
+    "corpus tenants ai_usage",
+    f"""{_JOB} SELECT tenant_id, checksum, id, document_type, gate_score, status, extraction_status, extraction_method,
+  CASE WHEN queued AND allowed THEN CASE WHEN has_text_layer AND length(trim(text)) >= 8 THEN 'text' ELSE 'vision' END END AS queue_mode FROM docs""",
+)
+def k16(a: Archive):
+    path = _run_intake(a)
+    columns = ["tenant_id", "checksum", "id", "document_type", "gate_score", "status", "extraction_status", "extraction_method"]
+    queue = a.spark.read.parquet(f"{path}.state/queue").select("id", F.col("mode").alias("queue_mode"))
+    return a.spark.read.parquet(path).select(*columns).join(queue, "id", "left").select(*columns, "queue_mode")
+
+
+@query(
+    "k16_stream_audit",
+    "corpus tenants ai_usage",
+    f"""{_JOB} SELECT tenant_id, id AS document_id, 'upload' AS type, NULL AS meta FROM docs
+UNION ALL SELECT tenant_id, id, 'processing_complete', status || '/' || extraction_status FROM docs""",
+)
+def k16_audit(a: Archive):
+    path = _run_intake(a)
+    log = AuditLog(a.spark, f"{path}.state/audit")
+    return log.read(mt.activity(a.table("archive"), "upload", datetime.datetime(2024, 1, 31))).select("tenant_id", "document_id", "type", "meta")
 
 
 @query("k17_stream_activity", "activity", "SELECT id, tenant_id, type, happened_at FROM activity ORDER BY happened_at DESC, id")

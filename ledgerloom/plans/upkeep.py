@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from ..operators import maintain as mt
 from ..operators import normalize as nz
 from ..operators import rules as ru
+from ..operators.audit import AuditLog
+from ..operators.search_index import SearchIndex
+from ..session import shared_folder
 from ..sources.archive import Archive
+from ..sources.catalog import Catalog
 from .registry import query
 
 AS_OF = datetime.datetime(2002, 1, 31, 18, 0)
@@ -422,6 +426,78 @@ query(
     )
 )
 
+# What goes with documents whose time in the trash is over, table by table.
+_GOES = f"{_EXPIRED}, gone AS (SELECT id FROM purged)"
+_CASCADES = {
+    "document_tags": "SELECT document_id, tag_id FROM document_tags WHERE document_id NOT IN (SELECT id FROM gone)",
+    "field_values": "SELECT document_id, field_id, value FROM field_values WHERE document_id NOT IN (SELECT id FROM gone)",
+    "extractions": "SELECT id, document_id FROM extractions WHERE document_id NOT IN (SELECT id FROM gone)",
+    "shares": "SELECT id, document_id FROM shares WHERE document_id NOT IN (SELECT id FROM gone)",
+    "activity": "SELECT id, CASE WHEN document_id NOT IN (SELECT id FROM gone) THEN document_id END AS document_id FROM activity",
+    "ai_usage": "SELECT id, CASE WHEN document_id NOT IN (SELECT id FROM gone) THEN document_id END AS document_id FROM ai_usage",
+}
+
+
+def _purged_tables(a: Archive):
+    return mt.purge_dependents({"documents": a.table("archive"), **{t: a.table(t) for t in _CASCADES}}, _purge(a)["purged"])
+
+
+for _name, _sql in _CASCADES.items():
+    query(f"k13_purge_{_name}", f"archive tenants {_name}", f"{_GOES} {_sql}")(
+        lambda a, t=_name, c=_sql: _purged_tables(a)[t].select(
+            *(["document_id", "tag_id"] if t == "document_tags" else ["document_id", "field_id", "value"] if t == "field_values" else ["id", "document_id"])
+        )
+    )
+
+query(
+    "k13_purge_postings",
+    "archive tenants",
+    f"""{_GOES} SELECT id, lexeme, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', nullif(title, ''), nullif(original_filename, ''))), '[\\p{{L}}\\p{{N}}]+')) AS lexeme
+  FROM archive WHERE id NOT IN (SELECT id FROM gone)) WHERE lexeme IN ('customer', 'pdf') GROUP BY ALL""",
+)(lambda a: _purged_postings(a))
+
+
+def _purged_postings(a: Archive):
+    docs = a.table("archive").select("tenant_id", "id", "title", "original_filename", F.lit(None).cast("string").alias("text"))
+    index = SearchIndex.build(Catalog(a.spark, shared_folder(a.spark, "index")), docs, english=False, spans=2, slots=1)
+    index.apply(1, docs.limit(0), _purge(a)["purged"].select("tenant_id", "id"))
+    index.merge(1)
+    return index.current_words(F.col("lexeme").isin("customer", "pdf")).select("id", "lexeme", F.size("positions").cast("bigint").alias("n"))
+
+
+# Two steps: types take their templates with them, and documents lose both.
+query(
+    "k13_cascade_types",
+    "archive document_types templates",
+    """, gone AS (SELECT id FROM document_types WHERE extraction_method IS NULL), lost AS (SELECT id FROM templates WHERE document_type_id IN (SELECT id FROM gone))
+SELECT id, CASE WHEN document_type_id NOT IN (SELECT id FROM gone) THEN document_type_id END AS document_type_id,
+  CASE WHEN template_id NOT IN (SELECT id FROM lost) THEN template_id END AS template_id FROM archive""",
+)(
+    lambda a: mt.cascade(
+        {"documents": a.table("archive"), "templates": a.table("templates"), "document_types": a.table("document_types")},
+        "document_types",
+        a.table("document_types").where("extraction_method IS NULL"),
+    )["documents"].select("id", "document_type_id", "template_id")
+)
+
+# Two batches, the first written twice; the second reports some events of the first again.
+query(
+    "a12_audit_log",
+    "archive",
+    f"""SELECT tenant_id, 'trash' AS type, id AS document_id FROM archive WHERE deleted_at IS NULL AND id IN {_IDS}
+UNION ALL SELECT tenant_id, 'edit', id FROM archive""",
+)(lambda a: _logged(a))
+
+
+def _logged(a: Archive):
+    trash = mt.activity(mt.split_changed(mt.bulk_trash(a.table("archive"), _ids(a), AS_OF))[1], "trash", AS_OF, 7, "Ana")
+    edits = mt.activity(a.table("archive"), "edit", AS_OF, 7, "Ana")
+    path = shared_folder(a.spark, "audit")
+    for events, batch in ((trash, "1"), (trash, "1"), (edits.unionByName(trash), "2")):
+        mt.append_activity(events, path, batch)
+    return AuditLog(a.spark, path).read(trash).select("tenant_id", "type", "document_id")
+
+
 query(
     "k14_unique_key_check",
     "templates",

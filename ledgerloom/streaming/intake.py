@@ -1,58 +1,121 @@
-"""Continuous intake: new rows are deduplicated, extracted, scored and stored.
+"""Continuous intake: one job per micro-batch, from new rows to documents, queue, audit rows and index.
 
-Each micro-batch writes its own ``batch_id=N`` folder with overwrite, and compares
-only with earlier batches.  A batch that runs again after a lost executor or driver
-therefore replaces its own output and nothing else.  Duplicates are checked
-against all history, so there is no watermark and no growing in-memory state.
+A batch is staged once, so every step sees the same rows.  Its checksums are compared with those of earlier
+batches (only the prefixes that occur in the batch are read); new documents are extracted, scored and routed.
+All tables are written under the batch's number:
+
+* ``path``: documents, ``batch_id=N``;
+* ``path.state/queue``: documents that wait for the model, with the mode of the call;
+* ``path.state/audit``: an upload and a processing event per document;
+* ``path.state/checksums``: by prefix and batch;
+* the search index, if one is given: version N + 1.
+
+Each of them replaces what an earlier run of the same batch has written and nothing else, so a batch that runs
+again after a lost executor or driver leaves the same tables.  There is no watermark and no growing state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.extract import extract_candidates
+from ..operators.audit import AuditLog
+from ..operators.extract import extract_candidates, model_input_mode
 from ..operators.gate import score_candidates
 from ..operators.joins import ingest_dedup
+from ..operators.routing import decide
+from ..operators.search_index import SearchIndex
+from ..sources.checksums import ChecksumStore
 
 OUTPUT = (
-    "tenant_id", "checksum", "id", "document_type", "vendor", "invoice_number", "total_amount", "gate_score", "gate_passed", "status",
-)
+    "tenant_id", "checksum", "id", "mime_type", "document_type", "vendor", "invoice_number", "total_amount", "gate_score", "gate_passed",
+    "status", "extraction_status", "extraction_method",
+)
+
+#: What a source may leave out, and the value it then has.
+DEFAULTS = {
+    "mime_type": "'application/pdf'", "title": "CAST(NULL AS STRING)", "original_filename": "CAST(NULL AS STRING)",
+    "ocr_confidence": "CAST(NULL AS DOUBLE)", "has_text_layer": "true", "uploaded_at": "CAST(NULL AS TIMESTAMP_NTZ)",
+}
+
+
+@dataclass
+class Job:
+    """Where a stream writes, and what its steps need besides the documents."""
 
+    path: str
+    #: (tenant_id, allowed): may the tenant's documents go to the model; without it all may.
+    allowed: DataFrame | None = None
+    index: SearchIndex | None = None
 
-def process_documents(docs: DataFrame) -> DataFrame:
-    """Extract and score new documents (id, tenant_id, text, ocr_confidence)."""
+    @property
+    def state(self) -> str:
+        return f"{self.path.rstrip('/')}.state"
+
+
+def process_documents(docs: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Extract, score and route new documents; answers of the model are not there yet."""
     scored = score_candidates(extract_candidates(docs))
-    failed = F.col("document_type").isNotNull() & ~F.coalesce("gate_passed", F.lit(False))
-    return scored.withColumn("status", F.when(failed, "needs_review").otherwise("completed"))
+    none = {"model_type": "string", "model_confidence": "double", "model_fields": "string"}
+    joined = scored.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    if allowed is None:
+        joined = joined.withColumn("admitted", F.lit(True))
+    else:
+        joined = joined.join(allowed.select("tenant_id", F.col("allowed").alias("admitted")), "tenant_id", "left")
+    return decide(joined)
 
 
-def _history(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Checksums stored by earlier batches; None before the first one."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if before == 0 or not fs.exists(hadoop_path):
-        return None
-    stored = spark.read.option("basePath", path).parquet(path)
-    return stored.filter(F.col("batch_id") < before).select("tenant_id", "checksum")
+def _staged(batch: DataFrame, path: str) -> DataFrame:
+    """The batch as a table of its own, with checksums and a place that differs from row to row."""
+    filled = batch.select("*", *[F.expr(e).alias(c) for c, e in DEFAULTS.items() if c not in batch.columns])
+    filled.withColumn("checksum", F.sha2("text", 256)).write.mode("overwrite").parquet(path)
+    place = F.struct(F.col("id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return batch.sparkSession.read.parquet(path).withColumn("idx", place)
 
 
-def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """The per-batch step; input rows have id, tenant_id, text and ocr_confidence."""
+def batch_writer(path: str, allowed: DataFrame | None = None, index: SearchIndex | None = None) -> Callable[[DataFrame, int], None]:
+    """The per-batch job; input rows have id, tenant_id, text and what of ``DEFAULTS`` the source knows."""
+    job = Job(path, allowed, index)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        files = batch.withColumns({"checksum": F.sha2("text", 256), "idx": F.col("id")})
-        known = _history(spark, path, batch_id)
-        fresh = ingest_dedup(files, known if known is not None else files.filter(F.lit(False)))
-        process_documents(fresh).select(*OUTPUT).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        staged = _staged(batch, f"{job.state}/staged/batch_id={batch_id}")
+        store = ChecksumStore(spark, f"{job.state}/checksums")
+        store.create()
+        fresh = ingest_dedup(staged, store.known(staged, batch_id))
+        done = f"{job.state}/processed/batch_id={batch_id}"
+        process_documents(fresh, job.allowed).drop("idx").write.mode("overwrite").parquet(done)
+        processed = spark.read.parquet(done)
+
+        queue = processed.where("queued AND extraction_status <> 'skipped_budget'")
+        queue.select("id", "tenant_id", model_input_mode().alias("mode")).write.mode("overwrite").parquet(f"{job.state}/queue/batch_id={batch_id}")
+        AuditLog(spark, f"{job.state}/audit").append(_events(processed), f"{batch_id:020d}")
+        if job.index is not None:
+            job.index.apply(batch_id + 1, processed.select("tenant_id", "id", "title", "original_filename", "text"))
+        store.add(processed, batch_id)
+        # The documents come last: a reader that sees a batch sees all of it.
+        processed.select(*OUTPUT).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
 
 
-def stream_ingest(source: DataFrame, path: str, checkpoint: str, once: bool = True):
+def _events(processed: DataFrame) -> DataFrame:
+    """An upload and the end of processing, one row each per document."""
+    def event(kind: str, meta) -> DataFrame:
+        return processed.select(
+            "tenant_id", F.lit(kind).alias("type"), F.col("id").alias("document_id"), F.col("original_filename").alias("document_name"),
+            F.lit(None).cast("bigint").alias("user_id"), F.lit("system").alias("user_name"), F.col("uploaded_at").alias("happened_at"), meta.alias("meta"),
+        )
+
+    return event("upload", F.lit(None).cast("string")).unionByName(event("processing_complete", F.concat_ws("/", "status", "extraction_status")))
+
+
+def stream_ingest(
+    source: DataFrame, path: str, checkpoint: str, once: bool = True, allowed: DataFrame | None = None, index: SearchIndex | None = None
+):
     """Start the intake stream.  ``once`` handles what is there and then stops."""
-    writer = source.writeStream.foreachBatch(batch_writer(path)).option("checkpointLocation", checkpoint)
+    writer = source.writeStream.foreachBatch(batch_writer(path, allowed, index)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
