@@ -1,16 +1,17 @@
 """Match rules: tags and correspondents against document text.
 
-Rules belong to a tenant, so documents and rules meet in an equi-join on the
-tenant with the match as a further condition.  The rule side is prepared once
-(folded words, checked regexes); Spark broadcasts it while it is small and splits
-hot tenants beyond that.
+Rules belong to a tenant.  They are prepared once (folded words, checked regexes) and packed: a document
+meets its tenant's rules as one array, so its text is in the join once, not once per rule, and one pass tells
+all that match.  A pack is bounded; a tenant with more rules has several.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def fold(text: Column) -> Column:
     """Case folding: also ``ß`` and ``SS`` are equal."""
@@ -46,16 +47,28 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def rule_hit(text: Column, folded_text: Column) -> Column:
-    """Does a prepared rule row match the text?  Unknown algorithms never do."""
-    haystack = F.when(F.col("is_insensitive"), folded_text).otherwise(text)
-    words, kind = F.col("rule_words"), F.col("matching_algorithm")
+#: Rules in one array; a text is read again only for every so many rules of its tenant.
+PACK = 1_000
+_RULE = ("matching_algorithm", "is_insensitive", "rule_folded", "rule_words", "rule_regex")
+
+
+def rule_packs(prepared: DataFrame, *columns: str) -> DataFrame:
+    """(tenant_id, rules): the prepared rules of a tenant in arrays of at most ``PACK``."""
+    place = F.row_number().over(Window.partitionBy("tenant_id").orderBy(columns[0]))
+    numbered = prepared.withColumn("_pack", F.floor((place - 1) / PACK))
+    return numbered.groupBy("tenant_id", "_pack").agg(F.collect_list(F.struct(*columns, *_RULE)).alias("rules")).drop("_pack")
+
+
+def rule_hit(rule: Column, text: Column, folded_text: Column) -> Column:
+    """Does a prepared rule match the text?  Unknown algorithms never do."""
+    haystack = F.when(rule["is_insensitive"], folded_text).otherwise(text)
+    words, kind = rule["rule_words"], rule["matching_algorithm"]
     some = F.size(words) > 0
     return F.coalesce(
         F.when(kind == "any", some & F.exists(words, lambda w: F.contains(haystack, w)))
         .when(kind == "all", some & F.forall(words, lambda w: F.contains(haystack, w)))
-        .when(kind == "literal", F.contains(haystack, F.col("rule_folded")))
-        .when(kind == "regex", F.rlike(text, F.col("rule_regex"))),
+        .when(kind == "literal", F.contains(haystack, rule["rule_folded"]))
+        .when(kind == "regex", F.rlike(text, rule["rule_regex"])),
         F.lit(False),
     )
 
@@ -70,13 +83,16 @@ def match_tags(docs: DataFrame, tags: DataFrame, cap: int | None = None) -> Data
 
     Input: docs(id, tenant_id, title, text).  ``cap=None`` reads whole texts.
     """
-    rules = prepare_rules(tags).select(
-        F.col("id").alias("tag_id"), "tenant_id", "matching_algorithm", "is_insensitive", "rule_folded", "rule_words", "rule_regex"
-    )
-    joined = _texts(docs, cap).join(rules, "tenant_id")
-    return joined.filter(rule_hit(F.col("rule_text"), F.col("folded_text"))).select(
-        F.col("id").alias("document_id"), "tag_id"
-    )
+    packs = rule_packs(prepare_rules(tags).withColumnRenamed("id", "tag_id"), "tag_id")
+    joined = _texts(docs, cap).join(packs, "tenant_id")
+    hits = F.filter("rules", lambda r: rule_hit(r, F.col("rule_text"), F.col("folded_text")))
+    return joined.select(F.col("id").alias("document_id"), F.explode(F.transform(hits, lambda r: r["tag_id"])).alias("tag_id"))
+
+
+def vendor_name_hits(docs: DataFrame, correspondents: DataFrame) -> DataFrame:
+    """(id, correspondent_id) where the trimmed vendor is a correspondent's name, whatever the case."""
+    names = correspondents.select("tenant_id", fold(F.col("name")).alias("_name"), F.col("id").alias("correspondent_id"))
+    return docs.select("id", "tenant_id", fold(F.btrim("vendor")).alias("_name")).join(names, ["tenant_id", "_name"]).select("id", "correspondent_id")
 
 
 def match_correspondents(docs: DataFrame, correspondents: DataFrame, cap: int | None = None) -> DataFrame:
@@ -85,22 +101,19 @@ def match_correspondents(docs: DataFrame, correspondents: DataFrame, cap: int |
     Input: docs(id, tenant_id, title, text, vendor).  Rules are tried in creation
     order.
     """
-    rules = prepare_rules(correspondents).select(
-        F.col("id").alias("correspondent_id"),
-        fold(F.col("name")).alias("rule_name"),
-        F.col("created_at").alias("rule_created"),
-        "tenant_id",
-        "matching_algorithm",
-        "is_insensitive",
-        "rule_folded",
-        "rule_words",
-        "rule_regex",
+    prepared = prepare_rules(correspondents).select(
+        F.struct("created_at", "id").alias("place"), fold(F.col("name")).alias("rule_name"), "tenant_id", *_RULE
     )
-    joined = _texts(docs, cap, "vendor").join(rules, "tenant_id")
-    by_name = F.coalesce(fold(F.btrim("vendor")) == F.col("rule_name"), F.lit(False))
-    hits = joined.filter(by_name | rule_hit(F.col("rule_text"), F.col("folded_text")))
-    first = F.min_by("correspondent_id", F.struct("rule_created", "correspondent_id"))
-    return hits.groupBy("id").agg(first.alias("correspondent_id"))
+    joined = _texts(docs, cap, "vendor").join(rule_packs(prepared, "place", "rule_name"), "tenant_id")
+    vendor = fold(F.btrim("vendor"))
+
+    def hit(r: Column) -> Column:
+        return F.coalesce(F.col("folded_vendor") == r["rule_name"], F.lit(False)) | rule_hit(r, F.col("rule_text"), F.col("folded_text"))
+
+    first = F.array_min(F.transform(F.filter("rules", hit), lambda r: r["place"]))
+    found = joined.withColumn("folded_vendor", vendor).select("id", first.alias("place")).filter("place IS NOT NULL")
+    # A tenant with several packs has a first hit in each.
+    return found.groupBy("id").agg(F.min("place").alias("place")).select("id", F.col("place.id").alias("correspondent_id"))
 
 
 # -- email senders ---------------------------------------------------------------
@@ -188,7 +201,8 @@ def assign_correspondent(
     sender = F.when(F.col("mime_type") == email_type, parse_sender(F.col("text")))
     marked = open_docs.withColumn("_sender", sender)
     is_mail = F.coalesce(F.col("_sender.email").isNotNull(), F.lit(False))
-    mails = marked.filter(is_mail).select("id", "tenant_id", "_sender.name", "_sender.email")
+    # Senders meet each other several times: written once, without the texts.
+    mails = materialise(docs.sparkSession, marked.filter(is_mail).select("id", "tenant_id", "_sender.name", "_sender.email"), "senders")
     linked = link_senders(mails, correspondents).select("id", "correspondent_id", "new_name", F.lit("sender").alias("source"))
     others = marked.filter(~is_mail).drop("correspondent_id")
     matched = match_correspondents(others, correspondents, cap).select(

@@ -11,7 +11,7 @@ from ..operators import normalize as nz
 from ..operators import rules as ru
 from ..operators.audit import AuditLog
 from ..operators.search_index import SearchIndex
-from ..session import shared_folder
+from ..session import materialise, shared_folder
 from ..sources.archive import Archive
 from ..sources.catalog import Catalog
 from .registry import query
@@ -79,13 +79,7 @@ query(
     "texts correspondents",
     f"""{_BODY} SELECT d.id, c.id AS correspondent_id FROM d JOIN correspondents c ON lower(trim(d.vendor)) = lower(c.name) AND c.tenant_id = d.tenant_id""",
 )(
-    lambda a: _texts(a)
-    .select("id", "tenant_id", F.lower(F.btrim("vendor")).alias("key"))
-    .join(
-        a.table("correspondents").select("tenant_id", F.lower("name").alias("key"), F.col("id").alias("correspondent_id")),
-        ["tenant_id", "key"],
-    )
-    .select("id", "correspondent_id")
+    lambda a: ru.vendor_name_hits(_texts(a), a.table("correspondents"))
 )
 
 query(
@@ -118,7 +112,7 @@ links AS (SELECT k.id, k.tenant_id, k.email, CASE WHEN k.email_id IS NOT NULL TH
 def _links(a: Archive):
     parsed = a.table("mails", heavy=True).select("id", "tenant_id", ru.parse_sender(F.col("text")).alias("s"))
     senders = parsed.select("id", "tenant_id", "s.name", "s.email").filter("email IS NOT NULL")
-    return ru.link_senders(senders, a.table("correspondents"))
+    return ru.link_senders(materialise(a.spark, senders, "senders"), a.table("correspondents"))
 
 
 query(
