@@ -39,7 +39,9 @@ def _read(token: Column, pattern: str, parts: str, form: str) -> Column:
 
     The leading mark keeps tokens of other forms from being read by accident.
     """
-    return F.try_to_date(F.regexp_replace(token, "(?i)^" + pattern, f"={parts}"), f"'='yyyy-{form}-d")
+    rewritten = F.regexp_replace(token, "(?i)^" + pattern, f"={parts}")
+    # Reading fails slowly: only what was rewritten is read.
+    return bind(rewritten, lambda r: F.when(r.startswith("="), F.try_to_date(r, f"'='yyyy-{form}-d")))
 
 
 def parse_date(token: Column, whole: bool = True) -> Column:
@@ -51,7 +53,7 @@ def parse_date(token: Column, whole: bool = True) -> Column:
     end = _TIME + r"\s*$" if whole else ".*$"
 
     def read(t: Column) -> Column:
-        return F.coalesce(
+        found = F.coalesce(
             _read(t, ISO + end, "$1-$2-$3", "M"),
             _read(t, NUMERIC + end, "$3-$1-$2", "M"),
             _read(t, NUMERIC + end, "$3-$2-$1", "M"),
@@ -63,6 +65,7 @@ def parse_date(token: Column, whole: bool = True) -> Column:
             _read(t, DAY_FIRST + end, f"${2 + _NAME_GROUPS}-{_groups(2)}-$1", "MMM"),
             _read(t, MONTH_FIRST + end, f"${2 + _NAME_GROUPS}-{_groups(1)}-${1 + _NAME_GROUPS}", "MMM"),
         )
+        return F.when(t.rlike(r"\d"), found)
 
     return bind(token, read)
 

@@ -15,6 +15,8 @@ from ..functions.dates import first_date, parse_date
 ITEM_TYPE = "struct<description:string,quantity:double,unit_price:double,amount:double>"
 
 _SP = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f\u0085]"
+# The same characters one by one.
+_BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _BREAKS = r"\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029"
 _GAP = rf"{_SP}*[:\-]?{_SP}*\n?{_SP}*"
 _AMOUNT = r"[0-9][0-9,]*\.[0-9]{2}"
@@ -117,7 +119,7 @@ def currency(text: Column) -> Column:
 def text_lines(text: Column) -> Column:
     """Stripped lines that are not blank."""
     breaks = rf"\r\n|[{_BREAKS}]"
-    stripped = F.transform(F.split(text, breaks), lambda s: F.regexp_replace(s, rf"^{_SP}+|{_SP}+$", ""))
+    stripped = F.transform(F.split(text, breaks), lambda s: F.btrim(s, F.lit(_BLANKS)))
     return F.filter(stripped, lambda s: s != "")
 
 
@@ -167,7 +169,8 @@ def _item_of(line: Column) -> Column:
 
 def line_items(lines: Column) -> Column:
     """Items in line order.  Only lines that end in an amount are looked at closely."""
-    amounts = F.filter(lines, lambda s: s.rlike(rf"{_SP}{_AMOUNT}$"))
+    # The third character from the end tells most other lines apart without a pattern.
+    amounts = F.filter(lines, lambda s: (F.substring(s, -3, 1) == ".") & s.rlike(rf"{_SP}{_AMOUNT}$"))
     return F.filter(F.transform(amounts, _item_of), lambda i: i.isNotNull()).cast(f"array<{ITEM_TYPE}>")
 
 
