@@ -1,13 +1,16 @@
 """Language identification by cross-parsing entropy (operator 4).
 
-For every language a bounded sample of labelled text (at most ``DOCS_PER_LANGUAGE`` documents,
-``SAMPLE_CHARS`` characters) is turned into a suffix automaton.  A text is cut greedily into
+For every language a bounded sample of labelled text (a stretch of each of at most ``DOCS_PER_LANGUAGE``
+documents, ``SAMPLE_CHARS`` characters in all) is turned into a suffix automaton.  A text is cut greedily into
 phrases, each the longest stretch that occurs in that sample; its cost in a language is
-``phrases * log2(sample length) / characters``, and the language with the least cost wins.  All
-texts of a slice walk the automata side by side, in lanes of ``LANE`` characters; phrases end at
-lane ends, for every language alike.
+``phrases * log2(longest sample) / characters``, and the language with the least cost wins.  The price of a
+phrase is the same in all languages: priced by its own sample, a language with hardly any labelled text would
+buy its phrases for next to nothing and win everywhere.  All texts of a slice walk the automata side by side,
+in lanes of ``LANE`` characters; in longer texts phrases end at lane ends, for every language alike.
 
-Letters are compared in lower case and runs of other characters as one space.
+Letters are compared in lower case and runs of other characters as one space.  The ``OWN_CLASSES`` commonest
+letters of the samples stand for themselves, all others share ``SHARED_CLASSES`` by their code point; no letter
+is left out.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if no language was
 learned; equal costs go to the alphabetically first language; null lang values are not learned from;
@@ -30,8 +33,9 @@ from .textkit import crc_share, slices, texts_of
 
 DOCS_PER_LANGUAGE = 64
 SAMPLE_CHARS = 20_000
-LANE = 256
-CLASSES = 64
+LANE = 4096
+OWN_CLASSES, SHARED_CLASSES = 63, 32
+CLASSES = 1 + OWN_CLASSES + SHARED_CLASSES
 HELD_OUT_PARTS, HELD_OUT = 4, 2
 _APART = "﷐"  # a code point that no text may contain; stands between rows
 
@@ -52,20 +56,22 @@ class Automata:
         self.languages = sorted(samples)
         lower = {lang: samples[lang].lower() for lang in self.languages}
         counts = Counter(c for text in lower.values() for c in text if c.isalpha())
-        # 0: anything but letters; 1: a letter outside the alphabet; the rest: the commonest letters.
-        alphabet = sorted(counts, key=lambda c: (-counts[c], c))[: CLASSES - 2]
-        self.classes = np.where(_letters(), 1, 0).astype(np.uint8)
+        # 0: anything but letters; then the commonest letters, then classes that the other letters share.
+        alphabet = sorted(counts, key=lambda c: (-counts[c], c))[:OWN_CLASSES]
+        shared = 1 + OWN_CLASSES + np.arange(0x110000) % SHARED_CLASSES
+        self.classes = np.where(_letters(), shared, 0).astype(np.uint8)
         for k, c in enumerate(alphabet):
-            self.classes[ord(c)] = k + 2
-        tables, self.bits, base = [], [], 0
+            self.classes[ord(c)] = k + 1
+        tables, base, longest = [], 0, 2
         self.roots = np.zeros(max(1, len(self.languages)), np.int64)
         for k, lang in enumerate(self.languages):
             symbols = self.simplify(self.classes[_code_points(lower[lang])])
-            table = _suffix_automaton(symbols[symbols != 1])
+            table = _suffix_automaton(symbols)
             self.roots[k] = base
             tables.append(np.where(table >= 0, table + base, -1))
-            self.bits.append(np.log2(max(2, len(symbols))))
+            longest = max(longest, len(symbols))
             base += len(table)
+        self.bits = np.log2(longest)
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
         # Where a phrase starts anew: the root's own transition, or the root if it has none.
         self.restart = np.zeros((len(self.languages), CLASSES), np.int32)
@@ -140,22 +146,29 @@ def _automata(samples: tuple[tuple[str, str], ...]) -> Automata:
 
 
 def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """A bounded sample of labelled text per language, from documents that are not held out."""
+    """A bounded sample of labelled text per language, from documents that are not held out.
+
+    Every sampled document gives an equal stretch from a place in it that its id decides, so that no single
+    text is the model of a language.
+    """
     known = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang")).where(
         F.col("_lang").isNotNull() & F.col("_id").isNotNull() & (crc_share("_id", HELD_OUT_PARTS) != HELD_OUT)
     )
     # Spark cuts each task's rows to the first of every language before it shuffles.
     by_hash = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     taken = known.withColumn("_nth", F.row_number().over(by_hash)).where(F.col("_nth") <= docs_per_language)
+    share = -(-chars // docs_per_language)
+    start = F.pmod(F.xxhash64("_nth", F.lit("place")), F.greatest(F.length("text") - share + 1, F.lit(1))).cast("int") + 1
     texts = (
         texts_of(docs, F.col("lang").cast("string").alias("lang"))
         # docs_per_language ids of each language.
         .join(F.broadcast(taken), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-        .select("_lang", "_nth", F.substring("text", 1, chars).alias("text"))
+        .select("_lang", "_nth", F.substring("text", start, F.lit(share)).alias("text"))
     )
     samples: dict[str, str] = {}
+    # ``share`` characters of ``docs_per_language`` documents each.
     for r in sorted(texts.collect(), key=lambda r: (r["_lang"], r["_nth"], r["text"])):
-        samples[r["_lang"]] = (samples.get(r["_lang"], "") + " " + r["text"])[:chars]
+        samples[r["_lang"]] = samples.get(r["_lang"], "") + " " + r["text"]
     return samples
 
 
@@ -195,7 +208,7 @@ def _decide(model: Automata, texts: list[str]) -> tuple[list[str], np.ndarray]:
     off = np.concatenate([[0], total[ends]])
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts))
-    cost = model.phrases(symbols[stays], off) * np.array(model.bits)[:, None] / np.maximum(1, np.diff(off))
+    cost = model.phrases(symbols[stays], off) * model.bits / np.maximum(1, np.diff(off))
     best = np.argmin(cost, axis=0)
     least = cost.min(axis=0)
     # How far the winner is ahead: its share of the inverse costs, all languages counted.
