@@ -98,51 +98,58 @@ def _fingerprint_rows(ids, raw, off):
     )
 
 
-def _chunk_rows(batches):
-    """(doc_id, keep_id, text) to one row per chunk of the normalised text."""
+def _chunk_rows(marks_of):
+    """(doc_id, text) to one row per chunk of the normalised text, with what ``marks_of`` tells of the text."""
     from .textkit import slices
 
-    for batch in batches:
-        for lo, hi, raw, off in slices(batch.column(2)):
-            raw, off = normalise(raw, off)
-            chunks = np.maximum(1, -(-np.diff(off) // CHUNK_BYTES))
-            nth = ragged(np.zeros(hi - lo, np.int64), chunks)
-            starts = np.repeat(off[:-1], chunks) + nth * CHUNK_BYTES
-            size = np.minimum(CHUNK_BYTES, np.repeat(off[1:], chunks) - starts)
-            row = np.repeat(np.arange(lo, hi), chunks)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(nth), packed(raw, size)],
-                ["doc_id", "keep_id", "nth", "chunk"],
-            )
+    def run(batches):
+        for batch in batches:
+            for lo, hi, raw, off in slices(batch.column(1)):
+                marks = marks_of(batch.column(0).slice(lo, hi - lo), raw, off)
+                raw, off = normalise(raw, off)
+                chunks = np.maximum(1, -(-np.diff(off) // CHUNK_BYTES))
+                nth = ragged(np.zeros(hi - lo, np.int64), chunks)
+                starts = np.repeat(off[:-1], chunks) + nth * CHUNK_BYTES
+                size = np.minimum(CHUNK_BYTES, np.repeat(off[1:], chunks) - starts)
+                rows = marks.take(pa.array(np.repeat(np.arange(hi - lo), chunks)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(nth), packed(raw, size)], [*rows.schema.names, "nth", "chunk"])
+
+    return run
+
+
+_MARKS = "doc_id long, length long, low long, high long, text_sha256 string"
+_KEY = ["length", "low", "high"]
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every document."""
     spark = docs.sparkSession
     texts = texts_of(docs).where("doc_id IS NOT NULL")
-    marks = "doc_id long, length long, low long, high long, text_sha256 string"
-    prints = materialise(spark, texts.mapInArrow(per_slice(_fingerprint_rows), marks), "fingerprints")
-    key = ["length", "low", "high"]
-    alike = prints.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    pairs = prints.join(alike, key).select("doc_id", "keep_id")
-    rows = texts.join(pairs, "doc_id").select("doc_id", "keep_id", "text").mapInArrow(_chunk_rows, "doc_id long, keep_id long, nth long, chunk binary")
-    whole = rows.where("doc_id = keep_id").select("keep_id", "nth", F.col("chunk").alias("kept_chunk"))
-    other = rows.where("doc_id <> keep_id")
+    prints = materialise(spark, texts.mapInArrow(per_slice(_fingerprint_rows), _MARKS), "fingerprints")
+    alike = prints.groupBy(*_KEY).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1").drop("group_size")
+    ids = prints.join(alike, _KEY, "left_semi").select("doc_id").distinct()
+    # Other rows under one of these ids come too; the join by fingerprint leaves them out again.
+    chunks = texts.join(ids, "doc_id", "left_semi").mapInArrow(_chunk_rows(_fingerprint_rows), f"{_MARKS}, nth long, chunk binary")
+    rows = chunks.join(alike, _KEY)
+    # The text that stays; a row that repeats it is the same text, or is told apart below.
+    whole = rows.where("doc_id = keep_id").groupBy(*_KEY, "nth").agg(F.min("chunk").alias("kept_chunk"))
     differs = (
-        other.join(whole, ["keep_id", "nth"], "left")
+        rows.join(whole, [*_KEY, "nth"], "left")
         .where("NOT (chunk <=> kept_chunk)")
-        .select("doc_id")
+        .select("doc_id", "text_sha256")
         .distinct()
         .withColumn("apart", F.lit(True))
     )
-    # A document found to differ is told apart from its group by its SHA-256.
-    told = prints.join(differs, "doc_id", "left").withColumn("apart", F.when(F.col("apart"), F.col("text_sha256")).otherwise(F.lit("")))
-    key.append("apart")
+    # A text found to differ is told apart from its group by its SHA-256.
+    told = prints.join(differs, ["doc_id", "text_sha256"], "left").withColumn("apart", F.when(F.col("apart"), F.col("text_sha256")).otherwise(F.lit("")))
+    key = [*_KEY, "apart"]
     groups = told.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return told.join(groups, key).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stays = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs["doc_id"].cast("long") == stays["_stays"], "left_semi")
+    stays = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_sha")).distinct()
+    # An id may stay with one of its texts only.
+    text = F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return docs.join(stays, (docs["doc_id"].cast("long") == stays["_stays"]) & (F.sha2(text, 256) == stays["_sha"]), "left_semi")

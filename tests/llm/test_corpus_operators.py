@@ -312,6 +312,15 @@ def test_bins_and_bounds():
         assert packing.lower_bound(lengths, 60) <= best <= len(fill)
 
 
+def test_exact_duplicates_under_repeated_ids(spark):
+    rows = [(1, "a b", "en"), (1, "c d", "en"), (2, "a  b", "en"), (3, "c d", "en"), (0, "e", None), (1, "e", None), (1, "c d", "de"), (None, "a b", "en")]
+    docs = make(spark, rows).repartition(3)
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(docs).collect())
+    assert got == sorted([(1, 1, 2, True), (2, 1, 2, False), (1, 1, 3, True), (1, 1, 3, True), (3, 1, 3, False), (0, 0, 2, True), (1, 0, 2, False)])
+    stays = sorted((r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(docs).collect())
+    assert stays == [(0, "e"), (1, "a b"), (1, "c d"), (1, "c d")]
+
+
 # -- classifiers ------------------------------------------------------------------------
 
 
@@ -331,6 +340,26 @@ def test_language(spark):
     assert 1000 not in {r.doc_id for r in language.keep_identified(make(spark, rows)).collect()}
 
 
+@pytest.mark.parametrize("size", [2, 200, 20_000])
+def test_a_language_with_little_text_wins_nothing_else(size):
+    rng = random.Random(9)
+    syllables = {"aa": ["ba", "ke", "lo", "mi"], "bb": ["sch", "ung", "ein", "zu"], "cc": ["漢", "字", "語", "文"]}
+    text = lambda g, n: " ".join("".join(rng.choice(syllables[g]) for _ in range(3)) for _ in range(n))
+    samples = {"aa": text("aa", 3_000)[:20_000], "bb": text("bb", 3_000)[:size], "cc": text("cc", 5_000)[:20_000]}
+    model = language.Automata(samples)
+    for g in ("aa", "cc"):
+        assert language._decide(model, [text(g, n) for n in (1, 5, 60)])[0] == [g] * 3
+    if size > 2:
+        assert language._decide(model, [text("bb", n) for n in (5, 60)])[0] == ["bb"] * 2
+
+
+def test_one_long_text_is_not_the_sample(spark):
+    rows = [(i, f"{'short words ' * 5}{i}", "aa") for i in range(40)] + [(5_000, "long " * 50_000, "aa")]
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    sample = language.learn(make(spark, rows))["aa"]
+    assert sample.count("short") >= len(kept) - 5 and len(sample) <= 64 * 320
+
+
 def test_phrases_are_longest_matches():
     model = language.Automata({"a": "banana band", "b": "can nab an"})
     for lane_text in ("bandana", "nab", "xyz ban", "a"):
