@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .textkit import Rolling, mix, owners, per_slice, ragged, window_argmin, words
+from .textkit import ROW_KEY, Rolling, mix, owners, per_slice, ragged, window_argmin, words
 
 _WORD, _GRAM, _TEXT = Rolling(801), Rolling(811), Rolling(821)
 
@@ -65,7 +65,7 @@ class Windows:
 
 
 def repeated(texts: DataFrame, windows: Windows) -> DataFrame:
-    """Stretches whose anchor occurs more than once: anchor, whole, doc_id, start, n, lead (a written table)."""
+    """Stretches of ``keyed_texts`` whose anchor occurs more than once: anchor, whole, doc_id, start, n, lead (a written table)."""
 
     def run(ids, raw, off):
         symbols, first = windows.symbols(raw, off)
@@ -76,7 +76,7 @@ def repeated(texts: DataFrame, windows: Windows) -> DataFrame:
             ["anchor", "whole", "doc_id", "start", "n", "lead"],
         )
 
-    schema = "anchor long, whole long, doc_id long, start int, n short, lead short"
+    schema = f"anchor long, whole long, doc_id {ROW_KEY}, start int, n short, lead short"
     stretches = texts.mapInArrow(per_slice(run), schema)
     shared = stretches.groupBy("anchor").count().where("count > 1")
     return materialise(texts.sparkSession, stretches.join(shared, "anchor", "left_semi"), "stretches")

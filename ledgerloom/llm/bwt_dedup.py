@@ -13,8 +13,8 @@ Where the common prefix of neighbours reaches 100, their strings are equal, and
 earliest go.  The columns lie in an external file, which is read once, from its first byte to its last; in
 memory a part holds one column, the order and the common prefixes.
 
-Defined results: a null text is empty; texts under 100 bytes lose nothing; of rows that repeat a doc_id
-none is earlier than the other; rows without doc_id are left out; an empty table gives an empty result;
+Defined results: a null text is empty; texts under 100 bytes lose nothing; of equal rows under one doc_id
+none is earlier than the other, of unlike texts under one doc_id that with the smaller hash is earlier; rows without doc_id are left out; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .anchors import Windows, by_document, covered, repeated, unlike, variants
-from .textkit import packed, ragged, slices, texts_of
+from .textkit import ROW_KEY, keyed_texts, packed, ragged, slices
 
 WINDOW_BYTES = 100
 ANCHOR_BYTES = 20
@@ -172,18 +172,23 @@ def repeated_strings(texts: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
             yield compared(table.combine_chunks())
 
     def compared(table: pa.Table) -> pa.RecordBatch:
-        anchor, doc, start, n, lead = (table[c].to_numpy().astype(np.int64) for c in ("anchor", "doc_id", "start", "n", "lead"))
-        by = np.lexsort((start, doc, anchor))
-        anchor, doc, start, n, lead = anchor[by], doc[by], start[by], n[by], lead[by]
+        anchor, start, n, lead = (table[c].to_numpy().astype(np.int64) for c in ("anchor", "start", "n", "lead"))
+        key = table["doc_id"].combine_chunks()
+        key = key.chunk(0) if isinstance(key, pa.ChunkedArray) else key
+        doc, mark = (key.field(k).to_numpy() for k in (0, 1))
+        by = np.lexsort((start, mark, doc, anchor))
+        anchor, doc, mark, start, n, lead = anchor[by], doc[by], mark[by], start[by], n[by], lead[by]
+        key = key.take(pa.array(by))
         column = table["piece"].combine_chunks().take(pa.array(by))
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         _, offsets, data = column.buffers()
         off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(by) + 1].astype(np.int64)
         text = np.frombuffer(data, np.uint8)
         group = np.cumsum(np.append(0, anchor[1:] != anchor[:-1]))
-        # Earlier: smaller doc_id, then the smaller place of the anchor; equal places share a rank.
+        # Earlier: smaller doc_id (of one doc_id, smaller hash of the text), then the smaller place of the anchor;
+        # equal places share a rank.
         place = start + lead
-        new = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))
+        new = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (place[1:] != place[:-1]))
         rank = np.cumsum(new)
         with tempfile.TemporaryFile() as file:
             piece, at = later_strings(group, rank, lead, n, text, off, window, file)
@@ -193,17 +198,17 @@ def repeated_strings(texts: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
         head[1:] = (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)
         heads = np.flatnonzero(head)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[piece[heads]]), pa.array((start[piece[heads]] + at[heads]).astype(np.int32)), pa.array(np.diff(np.append(heads, len(piece))).astype(np.int32))],
+            [key.take(pa.array(piece[heads])), pa.array((start[piece[heads]] + at[heads]).astype(np.int32)), pa.array(np.diff(np.append(heads, len(piece))).astype(np.int32))],
             ["doc_id", "start", "n"],
         )
 
     def fetched(edges: DataFrame) -> DataFrame:
         return texts.join(by_document(edges, "start", "n", "lead", "anchor"), "doc_id").select("doc_id", "text", "spans").mapInArrow(
-            fetch, "anchor long, doc_id long, start int, n int, lead int, piece binary"
+            fetch, f"anchor long, doc_id {ROW_KEY}, start int, n int, lead int, piece binary"
         )
 
     def found(pieces: DataFrame) -> DataFrame:
-        return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, "doc_id long, start int, n int")
+        return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, f"doc_id {ROW_KEY}, start int, n int")
 
     runs = later(stretches, kinds).unionByName(found(fetched(edges(unlike(kinds, most=MOST)))))
     hot = materialise(texts.sparkSession, edges(unlike(kinds, least=MOST + 1)), "hot-anchors")
@@ -225,7 +230,7 @@ def repeated_strings(texts: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the kept bytes of every document."""
-    texts = texts_of(docs).where("doc_id IS NOT NULL")
+    texts = keyed_texts(docs)
     spans = by_document(repeated_strings(texts, window), "start", "n")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,4 +254,5 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
                 )
 
     joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = joined.mapInArrow(apply, f"doc_id {ROW_KEY}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return cut.withColumn("doc_id", F.col("doc_id.doc_id"))

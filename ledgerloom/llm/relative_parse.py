@@ -13,7 +13,7 @@ passage in a third of all documents stays small; no pairs of documents are made.
 
 Defined results: a null or empty text has no words; texts shorter than a window lose nothing; every
 occurrence of a repeated window goes, the first too; a row that repeats a doc_id is another place of its
-words; rows without doc_id are left out; an empty table gives an empty result; other columns are not read.
+words, with the same text or with another; rows without doc_id are left out; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Windows, by_document, covered, repeated, unlike, variants
-from .textkit import slices, texts_of, words
+from .textkit import ROW_KEY, keyed_texts, slices, words
 
 WINDOW_WORDS = 35
 ANCHOR_WORDS = 8
@@ -37,7 +37,7 @@ def _windows(window: int) -> Windows:
 
 
 def duplicate_blocks(texts: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """Runs of repeated windows with one other place of theirs: doc_id, start, n, ref_doc, ref_start.
+    """Runs of repeated windows of ``keyed_texts`` with one other place of theirs: doc_id, start, n, ref_doc, ref_start.
 
     ``start`` and ``ref_start`` count words; a run covers ``n - 1 + window`` words.
     """
@@ -47,7 +47,7 @@ def duplicate_blocks(texts: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     here = F.struct("doc_id", "start")
     other = F.when(F.col("first") == here, F.col("last")).otherwise(F.col("first"))
     whole = blocks.drop("n", "lead").join(kinds.where("copies > 1"), ["anchor", "whole"]).select(
-        "doc_id", "start", F.col("n").cast("int").alias("n"), other["doc_id"].alias("ref_doc"), other["start"].alias("ref_start")
+        "doc_id", "start", F.col("n").cast("int").alias("n"), other["doc_id"]["doc_id"].alias("ref_doc"), other["start"].alias("ref_start")
     )
     edges = unlike(kinds).select(F.col("first.doc_id").alias("doc_id"), "first.start", F.col("n").cast("int").alias("n"), "anchor")
 
@@ -70,11 +70,11 @@ def duplicate_blocks(texts: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
                 )
 
     single = texts.join(by_document(edges, "start", "n", "anchor"), "doc_id").select("doc_id", "text", "spans").mapInArrow(
-        look_up, "anchor long, window long, doc_id long, start int"
+        look_up, f"anchor long, window long, doc_id {ROW_KEY}, start int"
     )
     met = single.groupBy("anchor", "window").agg(F.count("*").alias("copies"), F.min(here).alias("first"), F.max(here).alias("last")).where("copies > 1")
     found = single.join(met, ["anchor", "window"]).select(
-        "doc_id", "start", F.lit(1).alias("n"), other["doc_id"].alias("ref_doc"), other["start"].alias("ref_start")
+        "doc_id", "start", F.lit(1).alias("n"), other["doc_id"]["doc_id"].alias("ref_doc"), other["start"].alias("ref_start")
     )
     return whole.unionByName(found)
 
@@ -96,7 +96,12 @@ def parse(spans: tuple[np.ndarray, ...], window: int) -> tuple[np.ndarray, ...]:
 
 def factor(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) and the factors of every document."""
-    texts = texts_of(docs).where("doc_id IS NOT NULL")
+    return _factored(docs, window).withColumn("doc_id", F.col("doc_id.doc_id"))
+
+
+def _factored(docs: DataFrame, window: int) -> DataFrame:
+    """``factor`` with the key of the row as doc_id."""
+    texts = keyed_texts(docs)
     spans = by_document(duplicate_blocks(texts, window), "start", "n", "ref_doc", "ref_start")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,14 +129,15 @@ def factor(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
 
     joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(
-        apply, "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start long, length long, ref_doc long, ref_start long>>"
+        apply, f"doc_id {ROW_KEY}, n_words long, n_removed long, kept_text string, factors array<struct<start long, length long, ref_doc long, ref_start long>>"
     )
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut out of the texts; n_chars, if there, follows the text."""
-    cut = factor(docs, window).where("n_removed > 0").groupBy(F.col("doc_id").alias("_cut")).agg(F.first("kept_text").alias("_kept"))
-    out = docs.join(cut, docs["doc_id"].cast("long") == cut["_cut"], "left")
+    cut = _factored(docs, window).where("n_removed > 0").groupBy(F.col("doc_id").alias("_cut")).agg(F.first("kept_text").alias("_kept"))
+    key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("mark"))
+    out = docs.join(cut, key == cut["_cut"], "left")
     text = F.when(F.col("_cut").isNotNull(), F.col("_kept")).otherwise(docs["text"])
     columns = [
         text.alias(c) if c == "text" else F.when(F.col("_cut").isNotNull(), F.length("_kept").cast(t)).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c]

@@ -163,6 +163,20 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+#: Type of a row's key: rows with one doc_id and unlike texts are rows of their own.
+ROW_KEY = "struct<doc_id:bigint,mark:bigint>"
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> F.Column:
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("mark"))
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``texts_of`` with the row's key (see ``row_key``) as doc_id; rows without doc_id are left out."""
+    return texts_of(docs).where("doc_id IS NOT NULL").select(row_key().alias("doc_id"), "text")
+
+
 def per_slice(make: Callable) -> Callable:
     """Turn ``make(ids, raw, off) -> RecordBatch or None`` into a mapInArrow function.
 

@@ -321,6 +321,26 @@ def test_exact_duplicates_under_repeated_ids(spark):
     assert stays == [(0, "e"), (1, "a b"), (1, "c d"), (1, "c d")]
 
 
+def unlike_texts():
+    words = " ".join(f"shared{i}" for i in range(60))
+    return [(1, f"start {words} end", "en"), (1, "another text " + " ".join(f"own{i}" for i in range(80)), "en"), (1, "short", "en"), (2, f"{words} tail", "en"), (None, words, "en")]
+
+
+def test_passages_under_repeated_ids(spark):
+    docs = make(spark, unlike_texts()).repartition(2)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in relative_parse.factor(docs).collect())
+    assert got == [(1, 1, 0), (1, 62, 60), (1, 82, 0), (2, 61, 60)]
+    cut = sorted((r["doc_id"], r["text"]) for r in relative_parse.substring_dedup(docs).where("doc_id IS NOT NULL").collect())
+    assert [(i, len(t.split())) for i, t in cut] == [(1, 82), (1, 1), (1, 2), (2, 1)]
+
+
+def test_strings_under_repeated_ids(spark):
+    rows = unlike_texts()
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in bwt_dedup.suffix_dedup(make(spark, rows).repartition(2)).collect())
+    shared = len(" ".join(f"shared{i}" for i in range(60)))
+    assert got == sorted([(1, len(rows[0][1]), 0, 0), (1, len(rows[1][1]), 0, 0), (1, 5, 0, 0), (2, len(rows[3][1]), shared + 1, 1)])
+
+
 # -- classifiers ------------------------------------------------------------------------
 
 
