@@ -35,7 +35,8 @@ from .textkit import ROW_KEY, keyed_texts, packed, ragged, slices
 WINDOW_BYTES = 100
 ANCHOR_BYTES = 20
 #: Unlike pieces of one group, and bytes of pieces (but for one group) indexed at once; neither changes a result.
-MOST, _HELD = 2048, 1 << 26
+#: A group of so many pieces of up to 180 bytes is at most a fifth of what is indexed at once.
+MOST, _HELD = 1 << 16, 1 << 26
 
 
 def _windows(window: int) -> Windows:
