@@ -8,8 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import anomaly, bwt_dedup, components, exact_dedup, language, ngram_join, packing, quality, queries, relative_parse, sampling, toxicity
 
@@ -443,6 +445,49 @@ def test_forest_isolates_an_outlier():
     assert scores.argmax() == 7 and anomaly.Forest(rows[:0]).score(rows).shape == (500,)
 
 
+def test_every_tree_draws_the_least_of_the_whole_table(spark):
+    frame = pd.DataFrame({"doc_id": np.arange(3000), **{c: np.arange(3000) * (k + 3) % 97 + 1 for k, c in enumerate(anomaly._COUNTS)}})
+    table = spark.createDataFrame(frame).repartition(7)
+    got = anomaly.forest_of(table, 3000, trees=5)
+    keys = {r.doc_id: r.key for r in table.select("doc_id", F.xxhash64("doc_id", *anomaly._COUNTS).alias("key")).collect()}
+    key = np.array([keys[i] for i in range(3000)]).view(np.uint64)
+    trees = []
+    for tree, salt in enumerate(anomaly.numbers(5, anomaly.SEED)):
+        least = np.argsort(anomaly.mix(key ^ salt))[: anomaly.PER_TREE]
+        trees.append(anomaly.grow(anomaly.features(frame.iloc[least]), np.random.default_rng([anomaly.SEED, tree])))
+    want = anomaly.Forest.of(trees, anomaly.PER_TREE)
+    rows = anomaly.features(frame)
+    assert np.array_equal(got.score(rows), want.score(rows))
+
+
+def test_path_lengths_by_walking_each_tree():
+    rows = np.random.default_rng(5).normal(size=(300, 4))
+    forest = anomaly.Forest(rows, trees=9, per_tree=64)
+
+    def walk(node, row):
+        if forest.left[node] < 0:
+            return forest.path[node]
+        return walk((forest.left if row[forest.feature[node]] < forest.value[node] else forest.right)[node], row)
+
+    mean = [np.mean([walk(root, row) for root in forest.roots]) for row in rows]
+    assert np.allclose(forest.score(rows), 2.0 ** (-np.array(mean) / anomaly._mean_path(64)))
+
+
+@pytest.mark.parametrize("scores", [[], [0.4], [0.5] * 40, [0.3, 0.7, 0.7, 0.9], list(np.random.default_rng(3).random(500))])
+def test_cut_is_the_exact_quantile(spark, scores):
+    scores = np.array(scores, float)
+    good = spark.createDataFrame([(int(b),) for b in scores.view(np.int64)], "bits long")
+    for keep in (0.0, 0.5, 0.98, 1.0):
+        assert anomaly.calibrate(good, keep) == (np.quantile(scores, keep, method="higher") if len(scores) else 1.0)
+
+
+def test_rows_without_id_and_repeated_rows_are_drawn_and_judged(spark):
+    rows = [(None, "a b c", None)] * 700 + [(2**60 + 1, "word " * 80, None)] * 2 + [(2**60 + 1, "x y z " * 40, None), (5, None, None)]
+    got = anomaly.quality_rules(make(spark, rows), spark.createDataFrame([(2**60 + 1, 1)], "doc_id long, quality int")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert len({tuple(r) for r in got if r.doc_id is None}) == 1
+
+
 # -- sampled segmentations --------------------------------------------------------------
 
 
