@@ -16,8 +16,9 @@ Two documents link when the Jaccard similarity of their sets of ``words``-word s
 5. The components of the forests are the result.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text with
-fewer than ``words`` words is one shingle; rows that repeat a doc_id count as copies; rows without doc_id
-are left out; an empty table gives an empty result; other columns are not read.
+fewer than ``words`` words is one shingle; rows that repeat a doc_id are documents of their own, copies
+or not as their texts say; rows without doc_id link like others, and a component of such rows alone has
+a null component_id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import connected_components
-from .textkit import LOWER_ASCII, Rolling, mix, numbers, owners, packed, per_slice, ragged, slices, texts_of, words
+from .textkit import LOWER_ASCII, ROW_KEY, Rolling, mix, numbers, owners, packed, per_slice, ragged, row_key, slices, texts_of, words
 
 WORDS, PERCENT = 4, 85
 ORDERS = 3
@@ -74,14 +75,14 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def digests(texts: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and the two class hashes."""
+    """The row's key (``id``), n_shingles and the two class hashes."""
 
     def run(ids, raw, off):
         key, count = shingles(raw, off, n)
         one, two = _class_keys(key, count)
-        return pa.RecordBatch.from_arrays([ids, pa.array(count.astype(np.int64)), pa.array(one), pa.array(two)], ["doc_id", "n_shingles", "one", "two"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(count.astype(np.int64)), pa.array(one), pa.array(two)], ["id", "n_shingles", "one", "two"])
 
-    return texts.mapInArrow(per_slice(run), "doc_id long, n_shingles long, one long, two long")
+    return texts.mapInArrow(per_slice(run), f"id {ROW_KEY}, n_shingles long, one long, two long")
 
 
 def linkable(texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -156,7 +157,7 @@ def linkable(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def sets(texts: DataFrame, n: int) -> DataFrame:
-    """node (doc_id), weight and the sorted shingle hashes, packed."""
+    """node (a class), weight and the sorted shingle hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,30 +266,43 @@ def compare(nodes: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy("component", "low", "high").applyInArrow(tile, "node long, root long, links long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (documents it links with) of every document."""
+def _resolved(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """id (the row's key), n_shingles, keeper (the id that stands for the component) and n_links of every row."""
     spark = docs.sparkSession
-    texts = texts_of(docs).where("doc_id IS NOT NULL")
+    texts = texts_of(docs).select(row_key().alias("id"), "text")
     marked = materialise(spark, digests(texts, words), "shingle-classes")
-    classes = marked.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"))
+    # The least doc_id stands for a class; rows without one come last.
+    first = F.min(F.struct(F.col("id.doc_id").isNull().alias("unnamed"), "id")).alias("first")
+    classes = marked.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(first, F.count("*").alias("weight")).withColumn("node", F.xxhash64("one", "two"))
     lonely = linkable(texts, words, percent)
     able = classes.join(lonely, "one", "left").where(100 * (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))) >= percent * F.col("n_shingles"))
-    able = materialise(spark, able.select("node", "weight"), "linkable-classes")
-    chosen = texts.join(able, F.col("doc_id") == F.col("node")).select("node", "text", "weight")
+    able = materialise(spark, able.select("node", "weight", "first"), "linkable-classes")
+    chosen = texts.join(able.select("node", "weight", F.col("first.id").alias("id")), "id").select("node", "text", "weight")
     nodes = materialise(spark, sets(chosen, words).dropDuplicates(["node"]), "shingle-sets")
     found = materialise(spark, compare(nodes, groups(nodes, percent), percent), "links")
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    keepers = joined.join(able, "node").groupBy("component").agg(F.min("first").alias("keeper"))
+    keeper = joined.join(keepers, "component").select("node", "keeper")
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    resolved = classes.join(joined, "node", "left").join(degree, "node", "left").select(
+    resolved = classes.join(keeper, "node", "left").join(degree, "node", "left").select(
         "one", "two", "n_shingles",
-        F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("others"),
+        F.coalesce("keeper", "first")["id"].alias("keeper"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("others"),
     )
     return marked.join(resolved, ["one", "two", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("others", F.lit(0)).alias("n_links")
+        "id", "n_shingles", F.coalesce("keeper", "id").alias("keeper"), F.coalesce("others", F.lit(0)).alias("n_links")
     )
 
 
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (documents it links with) of every document."""
+    return _resolved(docs, words, percent).select(F.col("id.doc_id").alias("doc_id"), "n_shingles", F.col("keeper.doc_id").alias("component_id"), "n_links")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    gone = near_duplicates(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.where("doc_id IS NOT NULL").join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stay, one of each component, with all their columns.
+
+    Rows that repeat both doc_id and text of the one that stays are the same row to this stage and stay too.
+    """
+    gone = _resolved(docs, words, percent).where("id <> keeper").select(F.col("id").alias("_gone")).distinct()
+    key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("mark"))
+    return docs.join(gone, key == gone["_gone"], "left_anti")

@@ -114,6 +114,20 @@ def test_near_dedup_keeps_one_of_each_group(docs, rows):
     assert {r.doc_id for r in kept.collect()} == set(component.values())
 
 
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join("v%d" % rng.randrange(900) for _ in range(n))
+    a, b, c, d = text(80), text(80), text(60), text(50)
+    rows = [(7, a), (7, b), (9, a + " end"), (3, b + " end"), (None, c), (None, c + " end"), (None, d), (5, d), (None, ""), (None, None), (7, None), (7, a)]
+    rows = [(i, t, None) for i, t in rows]
+    far = 10**9
+    want = Counter((i if i < far else None, n, c if c < far else None, k) for i, n, c, k in brute_components([(far if i is None else i, t, g) for i, t, g in rows], 4, 85))
+    assert Counter(map(tuple, ngram_join.near_duplicates(make(spark, rows)).collect())) == want
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.near_dedup(make(spark, rows)).collect())
+    least_c = c if (None, c) in kept else c + " end"
+    assert kept == Counter([(7, a), (7, a), (3, b + " end"), (None, least_c), (5, d), (None, ""), (None, None), (7, None)])
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (9, 8), (8, 7), (5, 5), (7, 3), (20, 21), (None, 4)] + [(100 + i, 101 + i) for i in range(30)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
