@@ -80,18 +80,29 @@ def duplicate_blocks(texts: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
 
 
 def parse(spans: tuple[np.ndarray, ...], window: int) -> tuple[np.ndarray, ...]:
-    """Greedy factors (start, length, ref_doc, ref_start) of one document from its runs of windows."""
+    """Greedy factors (start, length, ref_doc, ref_start) of one document from its runs of windows.
+
+    Runs that go on in the same reference are one factor.  From left to right a factor is taken if it
+    reaches beyond all before it; of those that start together the longest.
+    """
     start, n, ref_doc, ref_start = spans
-    order = np.lexsort((-n, start))
-    start, n, ref_doc, ref_start = start[order], n[order], ref_doc[order], ref_start[order]
     shift = ref_start - start
-    opens = np.ones(len(start), bool)
-    if len(start):
-        reach = np.maximum.accumulate(start + n)
-        opens[1:] = (ref_doc[1:] != ref_doc[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > reach[:-1])
-    heads = np.flatnonzero(opens)
-    ends = np.maximum.reduceat(start + n, heads) if len(heads) else np.zeros(0, np.int64)
-    return start[heads], ends - start[heads] + window - 1, ref_doc[heads], ref_start[heads]
+    order = np.lexsort((start, shift, ref_doc))
+    start, n, ref_doc, shift = start[order], n[order], ref_doc[order], shift[order]
+    if not len(start):
+        return start, n, ref_doc, start
+    # The reach of one reference never counts for the next: each has a range of its own.
+    other = np.append(False, (ref_doc[1:] != ref_doc[:-1]) | (shift[1:] != shift[:-1]))
+    base = np.cumsum(other) * ((start + n).max() + 1)
+    reach = np.maximum.accumulate(base + start + n)
+    heads = np.flatnonzero(np.append(True, other[1:] | (base[1:] + start[1:] > reach[:-1])))
+    ends = np.maximum.reduceat(start + n, heads)
+    start, ref_doc, shift = start[heads], ref_doc[heads], shift[heads]
+    order = np.lexsort((-ends, start))
+    start, ends, ref_doc, shift = start[order], ends[order], ref_doc[order], shift[order]
+    taken = np.append(True, ends[1:] > np.maximum.accumulate(ends)[:-1])
+    start, ends, ref_doc, shift = start[taken], ends[taken], ref_doc[taken], shift[taken]
+    return start, ends - start + window - 1, ref_doc, start + shift
 
 
 def factor(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
@@ -116,9 +127,10 @@ def _factored(docs: DataFrame, window: int) -> DataFrame:
                 for r in range(hi - lo):
                     own = tuple(f[to[r] - sizes[r] : to[r]] for f in fields)
                     a, b = starts[first[r] : first[r + 1]], ends[first[r] : first[r + 1]]
-                    gone = covered(len(a), own[0], own[1], window)
+                    parsed = parse(own, window)
+                    gone = covered(len(a), parsed[0], parsed[1], 1)
                     kept = b" ".join([data[x:y] for x, y in zip(a[~gone].tolist(), b[~gone].tolist())])
-                    factors = [dict(zip(("start", "length", "ref_doc", "ref_start"), f)) for f in zip(*(x.tolist() for x in parse(own, window)))]
+                    factors = [dict(zip(("start", "length", "ref_doc", "ref_start"), f)) for f in zip(*(x.tolist() for x in parsed))]
                     rows.append((len(a), int(gone.sum()), kept.decode(), factors))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(

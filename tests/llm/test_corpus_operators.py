@@ -205,6 +205,13 @@ def test_relative_parse(docs, rows, window):
         assert len(covered) == r.n_removed
 
 
+def test_factors_are_taken_from_the_left_and_not_within_one_another():
+    runs = [(0, 5, 4, 100), (5, 3, 4, 105), (2, 4, 9, 50), (20, 2, 4, 120), (30, 1, 1, 0), (30, 6, 2, 7), (34, 9, 3, 40), (8, 1, 9, 56)]
+    got = list(zip(*(x.tolist() for x in relative_parse.parse(tuple(np.array(c) for c in zip(*runs)), 10))))
+    assert got == [(0, 17, 4, 100), (8, 10, 9, 56), (20, 11, 4, 120), (30, 15, 2, 7), (34, 18, 3, 40)]
+    assert [len(x) for x in relative_parse.parse((np.zeros(0, np.int64),) * 4, 10)] == [0] * 4
+
+
 def test_substring_dedup_keeps_columns(docs, rows):
     out = relative_parse.substring_dedup(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
