@@ -163,11 +163,14 @@ def sets(texts: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for lo, hi, raw, off in slices(batch.column(1)):
                 key, count = shingles(raw, off, n)
+                one, two = _class_keys(key, count)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), packed(key, count)], ["node", "weight", "tokens"]
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), packed(key, count), pa.array(one), pa.array(two)],
+                    ["node", "weight", "tokens", "one", "two"],
                 )
 
-    return texts.mapInArrow(run, "node long, weight long, tokens binary")
+    # A text that is not of the class came by an equal key.
+    return texts.mapInArrow(run, "node long, weight long, tokens binary, one long, two long").where(F.col("node") == F.xxhash64("one", "two")).drop("one", "two")
 
 
 def _ranked(key: np.ndarray, row: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
@@ -276,12 +279,13 @@ def _resolved(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = marked.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(first, F.count("*").alias("weight")).withColumn("node", F.xxhash64("one", "two"))
     lonely = linkable(texts, words, percent)
     able = classes.join(lonely, "one", "left").where(100 * (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))) >= percent * F.col("n_shingles"))
-    able = materialise(spark, able.select("node", "weight", "first"), "linkable-classes")
-    chosen = texts.join(able.select("node", "weight", F.col("first.id").alias("id")), "id").select("node", "text", "weight")
+    # A small side: one 64-bit key finds the text, and ``sets`` tells whether it is the right one.
+    able = materialise(spark, able.select("node", F.col("weight").cast("int").alias("weight"), F.xxhash64("first.id").alias("key")), "linkable-classes")
+    chosen = texts.withColumn("key", F.xxhash64("id")).join(able, "key").select("node", "text", F.col("weight").cast("long").alias("weight"))
     nodes = materialise(spark, sets(chosen, words).dropDuplicates(["node"]), "shingle-sets")
     found = materialise(spark, compare(nodes, groups(nodes, percent), percent), "links")
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    keepers = joined.join(able, "node").groupBy("component").agg(F.min("first").alias("keeper"))
+    keepers = joined.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("keeper"))
     keeper = joined.join(keepers, "component").select("node", "keeper")
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     resolved = classes.join(keeper, "node", "left").join(degree, "node", "left").select(
