@@ -108,10 +108,10 @@ def op8(spark, folder):
 
 @_query("op9_sentencepiece_sampling")
 def op9(spark, folder):
-    drawn = sampling.encode(_table(spark, folder, "documents"), ["doc_id"])
+    drawn = sampling.encode(_table(spark, folder, "documents"), ["doc_id"], decoded=True)
     return drawn.select(
         "doc_id", "rank", F.size("ids").alias("n_pieces"), F.md5(F.concat_ws(",", "ids")).alias("ids_md5"),
-        "log_prob", "perturbed", "inclusion", F.sha2(sampling.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        "log_prob", "perturbed", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -538,6 +538,64 @@ def test_samples_follow_the_probabilities():
         assert abs(first[ids] / 4000 - p) < 4 * np.sqrt(p / 4000) + 0.002
 
 
+def _segmentations(lattices, text):
+    """Probability of every path of one stretch, by full enumeration."""
+    whole, paths = lattices.model.normalize(text), [((), 0, 0.0)]
+    done = {}
+    while paths:
+        ids, at, weight = paths.pop()
+        if at == len(whole):
+            done[ids] = np.exp(weight)
+        for end in range(at + 1, len(whole) + 1):
+            piece = lattices.pieces.get(whole[at:end])
+            if piece is not None:
+                paths.append(((*ids, piece), end, weight + lattices.piece_weight[piece]))
+    total = sum(done.values())
+    return {ids: p / total for ids, p in done.items()}
+
+
+def test_samples_equal_full_enumeration():
+    lattices = sampling._lattices(sampling._path(None), sampling.TEMPERATURE)
+    chance = _segmentations(lattices, "tha")
+    every = lattices.sample("tha", len(chance) + 3, np.random.default_rng([3]))
+    assert {tuple(ids) for ids, *_ in every} == set(chance) and len(every) == len(chance)
+    assert all(abs(np.exp(log_p) - chance[tuple(ids)]) < 1e-9 and inclusion == 1 for ids, log_p, _, inclusion in every)
+    # Pairs in order are drawn one after the other without the first; kappa makes p over inclusion unbiased.
+    runs, pairs, estimates = 6000, Counter(), []
+    for seed in range(runs):
+        drawn = lattices.sample("tha", 2, np.random.default_rng([seed, 1]))
+        pairs[tuple(tuple(ids) for ids, *_ in drawn)] += 1
+        assert drawn[0][2] >= drawn[1][2]
+        estimates.append(sum(chance[tuple(ids)] / inclusion for ids, _, _, inclusion in drawn))
+    for one, p in chance.items():
+        for two, q in chance.items():
+            if one != two:
+                expected = p * q / (1 - p)
+                assert abs(pairs[one, two] / runs - expected) < 5 * np.sqrt(expected / runs) + 0.001
+    assert abs(np.mean(estimates) - 1) < 5 * np.std(estimates) / np.sqrt(runs) + 0.005
+
+
+def test_neighbours_and_memory_do_not_change_samples(monkeypatch):
+    texts = ["the cat sat on the mat", "naïve 龘 x" * 30, "", "aaaaaaaaaaaaaaaaaaaa bb", "the cat sat on the mat"] * 3
+    keys = np.arange(len(texts)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    one = sampling.Lattices(sampling._path(None), sampling.TEMPERATURE)
+    together = [x.tolist() for x in one.sample_all(texts, keys, 4)]
+    monkeypatch.setattr(sampling, "_REMEMBERED", 1)
+    monkeypatch.setattr(sampling, "_SLICE", 5)
+    two = sampling.Lattices(sampling._path(None), sampling.TEMPERATURE)
+    apart = [two.sample_all([t], keys[i : i + 1], 4) for i, t in enumerate(texts)]
+    assert together[2] == np.concatenate([x[2] for x in apart]).tolist()
+    for column in (3, 4, 5):
+        assert np.allclose(together[column], np.concatenate([x[column] for x in apart]), rtol=1e-9, atol=1e-12)
+
+
+def test_decoded_by_the_same_workers(spark):
+    turns = spark.createDataFrame([(1, " two  spaces ", "x"), (2, None, "y"), (3, "naïve 龘\n\ttab", "z")], "k long, text string, decoded string")
+    got = sampling.encode(turns, ["k"], decoded=True)
+    for r in got.withColumn("back", sampling.decode(got["ids"])).collect():
+        assert r.decoded == r.back
+
+
 def test_long_stretches_are_one_lattice():
     lattices = sampling._lattices(sampling._path(None), sampling.TEMPERATURE)
     weight = lattices.piece_weight
