@@ -1,8 +1,9 @@
 """Match rules: tags and correspondents against document text.
 
 Rules belong to a tenant.  They are prepared once (folded words, checked regexes) and packed: a document
-meets its tenant's rules as one array, so its text is in the join once, not once per rule, and one pass tells
-all that match.  A pack is bounded; a tenant with more rules has several.
+meets its tenant's unlike rules as one array, so its text is in the join once, not once per rule, and one pass
+tells all that match.  Rules that say the same are read once and told apart after the match.  A pack is bounded;
+a tenant with more rules has several.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from ..session import materialise
 
 
@@ -44,7 +46,7 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
             "rule_words": F.filter(F.split(folded, r"(?U)\s+"), lambda w: w != ""),
             "rule_regex": regex,
         }
-    )
+    ).withColumn("rule_key", F.to_json(F.struct("matching_algorithm", "is_insensitive", "rule_folded", "rule_regex")))
 
 
 #: Rules in one array; a text is read again only for every so many rules of its tenant.
@@ -52,11 +54,23 @@ PACK = 1_000
 _RULE = ("matching_algorithm", "is_insensitive", "rule_folded", "rule_words", "rule_regex")
 
 
-def rule_packs(prepared: DataFrame, *columns: str) -> DataFrame:
-    """(tenant_id, rules): the prepared rules of a tenant in arrays of at most ``PACK``."""
-    place = F.row_number().over(Window.partitionBy("tenant_id").orderBy(columns[0]))
-    numbered = prepared.withColumn("_pack", F.floor((place - 1) / PACK))
-    return numbered.groupBy("tenant_id", "_pack").agg(F.collect_list(F.struct(*columns, *_RULE)).alias("rules")).drop("_pack")
+def rule_packs(prepared: DataFrame, *place: Column) -> DataFrame:
+    """(tenant_id, rules): a tenant's unlike rules, in the order of ``place`` if given, in arrays of at most ``PACK``."""
+    unlike = prepared.groupBy("tenant_id", "rule_key").agg(*place, *[F.first(c).alias(c) for c in _RULE])
+    columns = [*unlike.columns[2 : 2 + len(place)], "rule_key", *_RULE]
+    number = F.row_number().over(Window.partitionBy("tenant_id").orderBy(*columns[: len(place) + 1]))
+    numbered = unlike.withColumn("_pack", F.floor((number - 1) / PACK))
+    rules = F.array_sort(F.collect_list(F.struct(*columns))).alias("rules")
+    return numbered.groupBy("tenant_id", "_pack").agg(rules).drop("_pack")
+
+
+def _tag_lists(prepared: DataFrame) -> DataFrame:
+    """(tenant_id, rule_key, tag_ids): the tags of rules that say the same, in arrays of at most ``PACK``."""
+    place = F.row_number().over(Window.partitionBy("tenant_id", "rule_key").orderBy("tag_id"))
+    numbered = prepared.select("tenant_id", "rule_key", "tag_id", F.floor((place - 1) / PACK).alias("_list"))
+    # The struct keeps a rule without id in the list.
+    ids = F.transform(F.collect_list(F.struct("tag_id")), lambda t: t["tag_id"]).alias("tag_ids")
+    return numbered.groupBy("tenant_id", "rule_key", "_list").agg(ids).drop("_list")
 
 
 def rule_hit(rule: Column, text: Column, folded_text: Column) -> Column:
@@ -78,15 +92,21 @@ def _texts(docs: DataFrame, cap: int | None, *extra: str) -> DataFrame:
     return docs.select("id", "tenant_id", *extra, body.alias("rule_text")).withColumn("folded_text", fold(F.col("rule_text")))
 
 
+def _matches(docs: DataFrame, tags: DataFrame, cap: int | None) -> DataFrame:
+    """(document_id, tag_ids): the tags of every rule that matches, rules that say the same as arrays."""
+    prepared = prepare_rules(tags).withColumnRenamed("id", "tag_id")
+    joined = _texts(docs, cap).join(rule_packs(prepared), "tenant_id")
+    hits = F.filter("rules", lambda r: rule_hit(r, F.col("rule_text"), F.col("folded_text")))
+    found = joined.select(F.col("id").alias("document_id"), "tenant_id", F.explode(F.transform(hits, lambda r: r["rule_key"])).alias("rule_key"))
+    return found.join(_tag_lists(prepared), ["tenant_id", "rule_key"]).select("document_id", "tag_ids")
+
+
 def match_tags(docs: DataFrame, tags: DataFrame, cap: int | None = None) -> DataFrame:
     """(document_id, tag_id) for every tag rule that matches.
 
     Input: docs(id, tenant_id, title, text).  ``cap=None`` reads whole texts.
     """
-    packs = rule_packs(prepare_rules(tags).withColumnRenamed("id", "tag_id"), "tag_id")
-    joined = _texts(docs, cap).join(packs, "tenant_id")
-    hits = F.filter("rules", lambda r: rule_hit(r, F.col("rule_text"), F.col("folded_text")))
-    return joined.select(F.col("id").alias("document_id"), F.explode(F.transform(hits, lambda r: r["tag_id"])).alias("tag_id"))
+    return _matches(docs, tags, cap).select("document_id", F.explode("tag_ids").alias("tag_id"))
 
 
 def vendor_name_hits(docs: DataFrame, correspondents: DataFrame) -> DataFrame:
@@ -101,19 +121,22 @@ def match_correspondents(docs: DataFrame, correspondents: DataFrame, cap: int |
     Input: docs(id, tenant_id, title, text, vendor).  Rules are tried in creation
     order.
     """
-    prepared = prepare_rules(correspondents).select(
-        F.struct("created_at", "id").alias("place"), fold(F.col("name")).alias("rule_name"), "tenant_id", *_RULE
+    prepared = prepare_rules(correspondents).withColumns({"place": F.struct("created_at", "id"), "rule_name": fold(F.col("name"))})
+    # Of rules that say the same, and of equal names, only the first can be the first hit.
+    joined = _texts(docs, cap).join(rule_packs(prepared, F.min("place").alias("place")), "tenant_id")
+    none = F.lit(None).cast(prepared.schema["place"].dataType)
+    # The rules stand in order: after the first hit none is tried.
+    first = F.aggregate(
+        "rules",
+        none,
+        lambda hit, r: F.when(hit.isNotNull(), hit).when(rule_hit(r, F.col("rule_text"), F.col("folded_text")), r["place"]),
     )
-    joined = _texts(docs, cap, "vendor").join(rule_packs(prepared, "place", "rule_name"), "tenant_id")
-    vendor = fold(F.btrim("vendor"))
-
-    def hit(r: Column) -> Column:
-        return F.coalesce(F.col("folded_vendor") == r["rule_name"], F.lit(False)) | rule_hit(r, F.col("rule_text"), F.col("folded_text"))
-
-    first = F.array_min(F.transform(F.filter("rules", hit), lambda r: r["place"]))
-    found = joined.withColumn("folded_vendor", vendor).select("id", first.alias("place")).filter("place IS NOT NULL")
+    by_rule = joined.select("id", first.alias("place")).filter("place IS NOT NULL")
+    names = prepared.groupBy("tenant_id", "rule_name").agg(F.min("place").alias("place"))
+    by_name = docs.select("id", "tenant_id", fold(F.btrim("vendor")).alias("rule_name")).join(names, ["tenant_id", "rule_name"]).select("id", "place")
     # A tenant with several packs has a first hit in each.
-    return found.groupBy("id").agg(F.min("place").alias("place")).select("id", F.col("place.id").alias("correspondent_id"))
+    found = by_rule.unionByName(by_name).groupBy("id").agg(F.min("place").alias("place"))
+    return found.select("id", F.col("place.id").alias("correspondent_id"))
 
 
 # -- email senders ---------------------------------------------------------------
@@ -121,17 +144,24 @@ def match_correspondents(docs: DataFrame, correspondents: DataFrame, cap: int |
 
 def parse_sender(text: Column) -> Column:
     """Struct of display name and lower-case address from the first From line."""
-    line = F.btrim(F.regexp_extract(text, r"(?m)^From:\s*([^\n]+)", 1), F.lit(" \t\r"))
-    angle = F.regexp_extract(line, r"<([^<>]*)>", 1)
-    comment = F.regexp_extract(line, r"^([^\s<>()]+)\s*\(([^()]*)\)$", 1)
-    before = F.btrim(F.regexp_extract(line, r"^([^<]*)<", 1))
-    unquoted = F.regexp_replace(before, r'^"(.*)"$', "$1")
-    # Without brackets the first word is taken as the address.
-    bare = F.regexp_extract(line, r"^([^\s<>()]+)", 1)
-    name = F.when(angle != "", unquoted).when(comment != "", F.regexp_extract(line, r"\(([^()]*)\)$", 1))
-    address = F.when(angle != "", angle).when(comment != "", comment).otherwise(bare)
     blank_to_null = lambda c: F.when(F.btrim(c) != "", F.btrim(c))
-    return F.struct(blank_to_null(name).alias("name"), F.lower(blank_to_null(address)).alias("email"))
+
+    def parts(line: Column) -> Column:
+        angle = F.regexp_extract(line, r"<([^<>]*)>", 1)
+        comment = F.regexp_extract(line, r"^([^\s<>()]+)\s*\(([^()]*)\)$", 1)
+        return bind(F.struct(line.alias("line"), angle.alias("angle"), comment.alias("comment")), read)
+
+    def read(p: Column) -> Column:
+        line, angle, comment = p["line"], p["angle"], p["comment"]
+        before = F.btrim(F.regexp_extract(line, r"^([^<]*)<", 1))
+        unquoted = F.regexp_replace(before, r'^"(.*)"$', "$1")
+        # Without brackets the first word is taken as the address.
+        bare = F.regexp_extract(line, r"^([^\s<>()]+)", 1)
+        name = F.when(angle != "", unquoted).when(comment != "", F.regexp_extract(line, r"\(([^()]*)\)$", 1))
+        address = F.when(angle != "", angle).when(comment != "", comment).otherwise(bare)
+        return F.struct(blank_to_null(name).alias("name"), F.lower(blank_to_null(address)).alias("email"))
+
+    return bind(F.btrim(F.regexp_extract(text, r"(?m)^From:\s*([^\n]+)", 1), F.lit(" \t\r")), parts)
 
 
 def link_senders(senders: DataFrame, correspondents: DataFrame) -> DataFrame:
@@ -199,7 +229,8 @@ def assign_correspondent(
     """
     open_docs = docs.filter(F.col("correspondent_id").isNull())
     sender = F.when(F.col("mime_type") == email_type, parse_sender(F.col("text")))
-    marked = open_docs.withColumn("_sender", sender)
+    # A one-row generator: the sender is read once, whatever filters on it.
+    marked = open_docs.select("*", F.explode(F.array(sender)).alias("_sender"))
     is_mail = F.coalesce(F.col("_sender.email").isNotNull(), F.lit(False))
     # Senders meet each other several times: written once, without the texts.
     mails = materialise(docs.sparkSession, marked.filter(is_mail).select("id", "tenant_id", "_sender.name", "_sender.email"), "senders")
@@ -220,5 +251,7 @@ def apply_rules_to_existing(
     had none.
     """
     live_docs = docs.filter(F.col("deleted_at").isNull())
-    bridge = document_tags.select("document_id", "tag_id").unionByName(match_tags(live_docs, tags, cap)).distinct()
-    return bridge, assign_correspondent(live_docs, correspondents, cap=cap)
+    # The tags of a document stay one array through the shuffle; pairs are told apart inside it.
+    given = document_tags.select("document_id", F.array("tag_id").alias("tag_ids"))
+    whole = _matches(live_docs, tags, cap).unionByName(given).groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_list("tag_ids"))).alias("tag_ids"))
+    return whole.select("document_id", F.explode("tag_ids").alias("tag_id")), assign_correspondent(live_docs, correspondents, cap=cap)

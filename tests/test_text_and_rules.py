@@ -151,6 +151,43 @@ def test_match_rules(spark):
     assert got == {("d", i) for i, *_, want in RULES if want}
 
 
+def test_equal_rules_are_read_once(spark):
+    """Many tags with few unlike rules: a text meets the unlike ones, and every tag of a rule that matches comes out."""
+    rows = [(i, "t", "any", "alpha" if i % 2 else "nowhere", True) for i in range(2_500)] + [(7, "t", "literal", "beta", False), (9, "u", "any", "alpha", True)]
+    tags = spark.createDataFrame(rows, "id int, tenant_id string, matching_algorithm string, match string, is_insensitive boolean")
+    docs = spark.createDataFrame([("d", "t", None, "Alpha beta"), ("d", "t", None, "beta"), (None, "u", None, "alpha")], "id string, tenant_id string, title string, text string")
+    packs = ru.rule_packs(ru.prepare_rules(tags)).select("tenant_id", F.size("rules").alias("n")).collect()
+    assert sorted((r.tenant_id, r.n) for r in packs) == [("t", 3), ("u", 1)]
+    got = sorted(((r.document_id, r.tag_id) for r in ru.match_tags(docs, tags).collect()), key=str)
+    assert got == sorted([("d", i) for i in range(1, 2_500, 2)] + [("d", 7), ("d", 7), (None, 9)], key=str)
+
+
+def test_first_correspondent_of_equal_rules(spark):
+    """The earliest of equal rules and of equal names, also when a later pack holds it."""
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n)
+    rows = [(i, "t", f"name {i % 5}", "any", f"word{i % 1_500:04d}", at(5_000 - i)) for i in range(3_000)]
+    people = spark.createDataFrame(rows, "id long, tenant_id string, name string, matching_algorithm string, match string, created_at timestamp_ntz").withColumn("is_insensitive", F.lit(True))
+    docs = spark.createDataFrame(
+        [(1, "t", None, "WORD0007 word1400", "x"), (2, "t", None, "word0003", " NAME 2 "), (3, "t", None, "none", None), (4, "t", None, "word1499", "name 0")],
+        "id long, tenant_id string, title string, text string, vendor string",
+    )
+    want = {1: 2_900, 2: 2_997, 4: 2_999}
+    assert {r.id: r.correspondent_id for r in ru.match_correspondents(docs, people).collect()} == want
+    packs = ru.rule_packs(ru.prepare_rules(people).withColumn("place", F.struct("created_at", "id")), F.min("place").alias("place"))
+    assert sorted(len(r.rules) for r in packs.collect()) == [500, 1_000]
+
+
+def test_reapplied_rules_give_each_pair_once(spark):
+    tags = spark.createDataFrame([(1, "t", "any", "alpha", True), (2, "t", "any", "alpha", True), (2, "t", "any", "beta", True)],
+                                 "id long, tenant_id string, matching_algorithm string, match string, is_insensitive boolean")
+    people = spark.createDataFrame([], "id long, tenant_id string, name string, email string, matching_algorithm string, match string, is_insensitive boolean, created_at timestamp_ntz")
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha"), (None, "beta")], "id long, text string").selectExpr(
+        "id", "'t' AS tenant_id", "CAST(NULL AS string) AS title", "text", "CAST(NULL AS timestamp) AS deleted_at", "'text/plain' AS mime_type", "CAST(NULL AS bigint) AS correspondent_id", "CAST(NULL AS string) AS vendor")
+    bridge = spark.createDataFrame([(1, 2), (1, 5), (1, 5), (None, None)], "document_id long, tag_id long")
+    pairs, _ = ru.apply_rules_to_existing(docs, tags, people, bridge)
+    assert sorted(((r.document_id, r.tag_id) for r in pairs.collect()), key=str) == sorted([(1, 1), (1, 2), (1, 5), (None, 2), (None, None)], key=str)
+
+
 def test_rule_text_cap(spark):
     df = spark.createDataFrame([("ab", "x" * 6000), (None, "y")], "title string, text string")
     got = [r[0] for r in df.select(ru.rule_text(F.col("title"), F.col("text"), 5000)).collect()]
