@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
+from ..functions.binding import bind
 from ..functions.stem import STOP_WORDS, stem
 from ..session import materialise
 from .filters import PAGE_SIZE, live, page, relative_date, sort_columns
@@ -65,19 +66,41 @@ def _offsets(lists: pa.Array) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
-def lexeme_rows(docs: DataFrame, english: bool = True, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(keys, lexeme, position) of every indexed word.
+def lexeme_table(docs: DataFrame, english: bool = True, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, lexeme, positions) of docs(id, title, original_filename, text).
 
-    Stop words count as positions but are not indexed.
+    Stop words count as positions but are not indexed.  Only the texts are shuffled, so that rows of one key meet;
+    the words of a document are sorted and gathered inside its row.
     """
-    found = words(search_text(F.col("title"), F.col("original_filename"), F.col("text")))
-    rows = docs.select(*keys, F.posexplode(_normal_forms(found) if english else found).alias("n", "lexeme"))
-    return rows.where(F.col("lexeme").isNotNull()).select(*keys, "lexeme", (F.col("n") + 1).alias("position"))
+    body = search_text(F.col("title"), F.col("original_filename"), F.col("text"))
+    whole = docs.groupBy(*keys).agg(F.collect_list(body).alias("bodies"))
+    # One-row generators: every step is computed once per document.
+    found = whole.select(*keys, F.explode(F.array(F.transform("bodies", _placed))).alias("placed")).select(*keys, F.flatten("placed").alias("words"))
+    if english:
+        forms = found.withColumn("forms", _normal_forms(F.transform("words", lambda w: w["lexeme"])))
+        stemmed = F.zip_with("forms", "words", lambda f, w: F.struct(f.alias("lexeme"), w["position"].alias("position")))
+        found = forms.select(*keys, F.filter(stemmed, lambda w: w["lexeme"].isNotNull()).alias("words"))
+    return found.select(*keys, F.inline(bind(F.array_sort("words"), _gathered)))
 
 
-def lexeme_table(docs: DataFrame, english: bool = True, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(keys, lexeme, positions) of docs(id, title, original_filename, text)."""
-    return lexeme_rows(docs, english, keys).groupBy(*keys, "lexeme").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+def _placed(body: Column) -> Column:
+    return F.transform(words(body), lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("position")))
+
+
+def _gathered(placed: Column) -> Column:
+    """Structs of a word and its positions, from sorted structs of a word and one position."""
+    size = F.size(placed)
+    new_word = lambda i: (i == 0) | (F.get(placed, i)["lexeme"] != F.get(placed, i - 1)["lexeme"])
+    starts = F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), new_word))
+
+    def gather(starts: Column) -> Column:
+        def of_word(start: Column, n: Column) -> Column:
+            run = F.slice(placed, start + 1, F.coalesce(F.get(starts, n + 1), size) - start)
+            return F.struct(F.get(placed, start)["lexeme"].alias("lexeme"), F.transform(run, lambda w: w["position"]).alias("positions"))
+
+        return F.transform(starts, of_word)
+
+    return bind(starts, gather)
 
 
 # -- queries ------------------------------------------------------------------------

@@ -64,10 +64,11 @@ class SearchIndex:
         spark = catalog.spark
         listed = docs.drop("text")
         catalog.create("documents", listed, order=("id",))
-        words = materialise(spark, se.lexeme_rows(docs, english, (TENANT, "id")), "lexemes")
+        # Written once: laying rows out by range reads them twice.
+        words = materialise(spark, se.lexeme_table(docs, english, (TENANT, "id")), "lexemes")
         index = cls(catalog, span_bounds(words, spans), english, slots)
         catalog.create("texts", docs.select(TENANT, "id", "text", index._slot().alias("slot")), by=("slot",), order=("id",))
-        catalog.create("words", index._spanned(_postings(words)), by=("span",), order=("lexeme", "id"))
+        catalog.create("words", index._spanned(words), by=("span",), order=("lexeme", "id"))
         catalog.create("names", _names(listed), order=("trigram", "id"))
         version = F.lit(None).cast("bigint").alias("version")
         catalog.create("new_words", catalog.system("words").limit(0).select("*", version), by=("version", "span"))
@@ -190,7 +191,7 @@ class SearchIndex:
         ids = edited.select(TENANT, "id", F.lit(False).alias("removed"), number)
         if removed is not None:
             ids = ids.unionByName(removed.select(TENANT, "id", F.lit(True).alias("removed"), number))
-        words = self._spanned(se.lexeme_table(edited, self.english, (TENANT, "id")))
+        words = self._spanned(materialise(self.catalog.spark, se.lexeme_table(edited, self.english, (TENANT, "id")), "lexemes"))
         # The edits come last: until they are there, readers see neither the new rows nor a gap.
         self._version("new_words", words.withColumn("version", number), ("version", "span"), version)
         self._version("new_names", _names(edited).withColumn("version", number), ("version",), version)
@@ -222,10 +223,6 @@ class SearchIndex:
         return touched
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(TENANT, "id", "lexeme").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-
-
 def _names(docs: DataFrame) -> DataFrame:
     """(tenant_id, id, trigram) of the titles and file names."""
     both = F.concat(se.trigram_column(F.coalesce("title", "original_filename")), se.trigram_column(F.col("original_filename")))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import re
 import zipfile
 
 import pytest
@@ -118,6 +119,24 @@ def test_cover_rank_equals_brute_force(spark):
     assert got == pytest.approx(want, abs=1e-7)
 
 
+@pytest.mark.parametrize("english", [False, True])
+def test_words_are_gathered_without_a_shuffle_of_words(spark, english):
+    """Rows that share an id, or have none, meet; only texts are shuffled."""
+    texts = [(1, "the red fox, the Red"), (1, "fox 9 red"), (None, "red"), (None, "red and"), (2, None), (3, "  "), (4, "x" * 5_000 + " y")]
+    docs = spark.createDataFrame(texts, "id long, text string").selectExpr("id", "CAST(NULL AS string) AS title", "'' AS original_filename", "text")
+    want = {}
+    for id_, text in texts:
+        for n, w in enumerate(re.findall(r"[^\W_]+", (text or "").lower()), 1):
+            if (form := se.normal_form(w, english)) is not None:
+                want.setdefault((id_, form), []).append(n)
+    index = se.lexeme_table(docs, english)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "lexeme" not in shuffles[0]
+    got = [((r.id, r.lexeme), r.positions) for r in index.collect()]
+    assert len(got) == len(want) and dict(got) == {k: sorted(v) for k, v in want.items()}
+
+
 def test_stems():
     pairs = "schedules schedul consistency consist generously generous relational relat hopping hop happy happi skies sky university univers"
     words = pairs.split()
