@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.binding import bind
 from ..operators.aggregates import quota_check
 from ..operators.joins import ingest_dedup
 
@@ -227,9 +228,11 @@ _INVOICE = (
 
 def _safe_xml(text: Column) -> Column:
     """Text without document type or entity declarations before its root element, else NULL."""
-    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    bare = F.when(text.contains("<!--"), F.regexp_replace(text, r"(?s)<!--.*?-->", "")).otherwise(text)
     head = F.regexp_extract(bare, r"(?s)^(.*?)(?:<[A-Za-z_]|$)", 1)
-    return F.when(~head.contains("<!DOCTYPE") & ~head.contains("<!ENTITY"), text)
+    checked = bind(head, lambda h: F.when(~h.contains("<!DOCTYPE") & ~h.contains("<!ENTITY"), text))
+    # Without "<!" there is neither a comment nor a declaration.
+    return F.when(~text.contains("<!"), text).otherwise(checked)
 
 
 _MISC = r"(?:\s|<\?.*?\?>|<!--.*?-->)*"
@@ -243,7 +246,7 @@ def _filled(c: Column) -> Column:
 
 
 def _xml_number(c: Column) -> Column:
-    t = _filled(c)
+    t = F.btrim(c, F.lit(" \t\r\n"))
     return F.when(t.rlike(r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"), t.try_cast("double"))
 
 
@@ -258,15 +261,20 @@ def read_ubl_invoices(df: DataFrame, text: str = "xml") -> DataFrame:
     Unsafe, malformed and other XML gives no row; a bad number or date is NULL.
     Element prefixes are removed first, so any prefix may be used.
     """
-    safe = _safe_xml(F.col(text))
-    root = F.regexp_extract(safe, rf"(?s)^\x{{FEFF}}?{_MISC}(<[^>]*>)", 1)
-    prefix = F.regexp_extract(root, r"^<([A-Za-z_][\w.-]*):Invoice[\s>/]", 1)
-    default_ns = root.rlike(rf"^<Invoice\s[^>]*\bxmlns\s*=\s*[\"']{INVOICE_NAMESPACE}[\"']")
-    prefixed_ns = (prefix != "") & F.contains(
-        F.regexp_replace(root, r"\s*=\s*[\"']", "="), F.concat(F.lit("xmlns:"), prefix, F.lit(f"={INVOICE_NAMESPACE}"))
-    )
-    is_invoice = F.coalesce((default_ns | prefixed_ns) & safe.rlike(_ONE_ROOT), F.lit(False))
-    bare = F.regexp_replace(F.when(is_invoice, safe), r"<(/?)[A-Za-z_][\w.-]*:", "<$1")
+    # Each step is bound: a projection or generator would copy the check of the whole text into every mention.
+    def bare_of(safe: Column) -> Column:
+        def checked(root: Column) -> Column:
+            prefix = F.regexp_extract(root, r"^<([A-Za-z_][\w.-]*):Invoice[\s>/]", 1)
+            default_ns = root.rlike(rf"^<Invoice\s[^>]*\bxmlns\s*=\s*[\"']{INVOICE_NAMESPACE}[\"']")
+            prefixed_ns = (prefix != "") & F.contains(
+                F.regexp_replace(root, r"\s*=\s*[\"']", "="), F.concat(F.lit("xmlns:"), prefix, F.lit(f"={INVOICE_NAMESPACE}"))
+            )
+            is_invoice = F.coalesce((default_ns | prefixed_ns) & safe.rlike(_ONE_ROOT), F.lit(False))
+            return F.when(is_invoice, F.regexp_replace(safe, r"<(/?)[A-Za-z_][\w.-]*:", "<$1"))
+
+        return bind(F.regexp_extract(safe, rf"(?s)^\x{{FEFF}}?{_MISC}(<[^>]*>)", 1), checked)
+
+    bare = bind(_safe_xml(F.col(text)), bare_of)
     parsed = F.from_xml(bare, _INVOICE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     # A one-row generator: the document is parsed once, whatever reads the fields.
     rows = df.select("*", F.explode(F.array(parsed)).alias("x")).filter("x IS NOT NULL AND x._broken IS NULL")
