@@ -14,10 +14,15 @@ from ..functions.dates import first_date, parse_date
 
 ITEM_TYPE = "struct<description:string,quantity:double,unit_price:double,amount:double>"
 
-_SP = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f\u0085]"
+# Two ranges first: they turn visible ASCII away before the long list is gone through.
+_SP = (
+    r"[\x00-\x20\x7f-\u3000&&"
+    r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f\u0085]]"
+)
 # The same characters one by one.
 _BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _BREAKS = r"\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029"
+_RARE_BREAK = r"[\u0000-\u001f\u007f-\u2029&&[\r\u000b\f\u001c-\u001e\u0085\u2028\u2029]]"
 _GAP = rf"{_SP}*[:\-]?{_SP}*\n?{_SP}*"
 _AMOUNT = r"[0-9][0-9,]*\.[0-9]{2}"
 
@@ -32,6 +37,8 @@ TOTAL_LABELS = (
     rf"total{_SP}*amount",
     rf"(?<!sub{_SP})(?<!sub)total",
 )
+# Words without which a label cannot occur, in the same order.
+TOTAL_WORDS = (("balance", "due"), ("grand", "total"), ("amount", "due"), ("total", "amount"), ("total",))
 # Words that mark a line as a label and not a vendor name.
 VENDOR_STOP_WORDS = (
     "invoice", "receipt", "bill to", "ship to", "date", "terms",
@@ -62,6 +69,18 @@ def _any_word(text: Column, words: tuple[str, ...]) -> Column:
     return bind(F.lower(text), any_of)
 
 
+def _with_words(low: Column, words: tuple[str, ...], value: Column) -> Column:
+    """``value`` where all words occur in the case-folded text, else NULL: a plain search costs far less than a pattern that fails."""
+    hit = low.contains(words[0])
+    for word in words[1:]:
+        hit = hit & low.contains(word)
+    return F.when(hit, value)
+
+
+def _folded(text: Column, low: Column | None) -> Column:
+    return F.lower(text) if low is None else low
+
+
 def candidate_type(text: Column) -> Column:
     """invoice, receipt or NULL; invoice wins when both kinds of words occur."""
     return bind(
@@ -79,24 +98,29 @@ def invoice_number(text: Column) -> Column:
 def amount_after(text: Column, label: str) -> Column:
     symbol = "|".join((*CURRENCY_CODES, r"\$", "RM"))
     value = F.regexp_extract(text, rf"(?i){label}{_GAP}(?:{symbol})?{_SP}*({_AMOUNT})", 1)
-    return F.replace(value, F.lit(","), F.lit("")).try_cast("double")
+    # An empty text is no number, and finding that out costs an exception.
+    return bind(value, lambda v: F.when(v != "", _amount_text(v)))
 
 
-def total_amount(text: Column) -> Column:
-    return F.coalesce(*[amount_after(text, label) for label in TOTAL_LABELS])
+def total_amount(text: Column, low: Column | None = None) -> Column:
+    """``low``: the text in lower case, if the caller has it."""
+    low, found = _folded(text, low), zip(TOTAL_LABELS, TOTAL_WORDS, strict=True)
+    return F.coalesce(*[_with_words(low, words, amount_after(text, label)) for label, words in found])
 
 
 def date_after(text: Column, label: str) -> Column:
     return parse_date(F.btrim(F.regexp_extract(text, rf"(?i){label}{_GAP}{_SNIPPET}", 1)))
 
 
-def due_date(text: Column) -> Column:
-    return date_after(text, rf"due{_SP}*date")
+def due_date(text: Column, low: Column | None = None) -> Column:
+    return _with_words(_folded(text, low), ("due", "date"), date_after(text, rf"due{_SP}*date"))
 
 
-def invoice_date(text: Column) -> Column:
+def invoice_date(text: Column, low: Column | None = None) -> Column:
+    low = _folded(text, low)
     return F.coalesce(
-        date_after(text, rf"invoice{_SP}*date"), date_after(text, rf"(?<!due{_SP})(?<!due)\bdate\b")
+        _with_words(low, ("invoice", "date"), date_after(text, rf"invoice{_SP}*date")),
+        _with_words(low, ("date",), date_after(text, rf"(?<!due{_SP})(?<!due)\bdate\b")),
     )
 
 
@@ -118,9 +142,16 @@ def currency(text: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     """Stripped lines that are not blank."""
-    breaks = rf"\r\n|[{_BREAKS}]"
-    stripped = F.transform(F.split(text, breaks), lambda s: F.btrim(s, F.lit(_BLANKS)))
-    return F.filter(stripped, lambda s: s != "")
+    # A split by one character needs no pattern.
+    lines = F.when(text.rlike(_RARE_BREAK), F.split(text, rf"\r\n|[{_BREAKS}]")).otherwise(F.split(text, "\n"))
+
+    def strip(line: Column) -> Column:
+        # Stripping reads the whole line: only where an end is blank.
+        blanks = F.lit(_BLANKS)
+        ends = blanks.contains(F.substring(line, 1, 1)) | blanks.contains(F.substring(line, -1, 1))
+        return F.when(ends, F.btrim(line, blanks)).otherwise(line)
+
+    return F.filter(F.transform(lines, strip), lambda s: s != "")
 
 
 def vendor(lines: Column) -> Column:
@@ -128,13 +159,14 @@ def vendor(lines: Column) -> Column:
 
     def plausible(line: Column) -> Column:
         return (
-            ~_any_word(line, VENDOR_STOP_WORDS)
-            & F.length(line).between(2, 60)
+            F.length(line).between(2, 60)
+            & ~_any_word(line, VENDOR_STOP_WORDS)
             & ~line.rlike(rf"^(?:[0-9.,\-/]|{_SP})+$")
             & ~line.endswith(":")
         )
 
-    return F.get(F.filter(F.slice(lines, 1, 8), plausible), 0)
+    # In order up to the first hit; later lines are not looked at.
+    return F.coalesce(*[bind(F.get(lines, i), lambda s: F.when(plausible(s), s)) for i in range(8)])
 
 
 def _amount_text(value: Column) -> Column:
@@ -189,19 +221,21 @@ def extract_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.col(text)
 
-    def fields_of(lines: Column) -> Column:
+    def fields_of(read: Column) -> Column:
+        lines, low = read["lines"], read["low"]
         return F.struct(
             vendor(lines).alias("vendor"),
             invoice_number(body).alias("invoice_number"),
-            invoice_date(body).alias("invoice_date"),
-            due_date(body).alias("due_date"),
-            total_amount(body).alias("total_amount"),
+            invoice_date(body, low).alias("invoice_date"),
+            due_date(body, low).alias("due_date"),
+            total_amount(body, low).alias("total_amount"),
             currency(body).alias("currency"),
             line_items(lines).alias("line_items"),
         )
 
     typed = df.withColumn("document_type", candidate_type(body))
-    found = F.transform(F.array(text_lines(body)), fields_of)
+    read = F.struct(text_lines(body).alias("lines"), F.lower(body).alias("low"))
+    found = F.transform(F.array(read), fields_of)
     return typed.select("*", F.inline_outer(F.when(F.col("document_type").isNotNull(), found)))
 
 
