@@ -6,7 +6,8 @@ Two documents link when the Jaccard similarity of their sets of ``words``-word s
 1. Documents with equal sets form a class; only classes go on.
 2. Shared shingles are counted per class, exactly: a class of n shingles can only link if at least
    ``percent`` of them occur in another class.  Shingles travel as packed 32-bit marks, dealt by
-   hash; each task sends a shingle once, however many of its documents have it.
+   hash; each task sends a shingle once, however many of its documents have it.  The texts of the
+   classes left are found by a join; a filter of fixed size keeps the other texts out of its shuffle.
 3. The shingles of the classes left are put in a global order, rarest first; classes that share one
    of the first ``n - ceil(t n) + 1`` (the prefix) may link.  They are joined to the least class with
    that shingle only, never to each other, and the connected candidates form a group.
@@ -23,11 +24,12 @@ a null component_id; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -37,6 +39,8 @@ from .textkit import LOWER_ASCII, ROW_KEY, Rolling, mix, numbers, owners, packed
 WORDS, PERCENT = 4, 85
 ORDERS = 3
 BLOCK = 256
+#: Bits of the filter for a key and at most (8 MB), marks worked on at once; none changes a result.
+KEY_BITS, FILTER_BITS, MARKS = 16, 1 << 26, 1 << 21
 
 _WORD, _SHINGLE = Rolling(101), Rolling(111)
 _ORDER = numbers(ORDERS, 121)
@@ -85,9 +89,15 @@ def digests(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(per_slice(run), f"id {ROW_KEY}, n_shingles long, one long, two long")
 
 
+def mark_parts(spark: SparkSession) -> int:
+    """Parts the marks are dealt to: a class is named once in each part it has marks in, so fewer than other shuffles have."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, 16), most // 4)
+
+
 def linkable(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Class hashes (``one``) of the sets of which enough shingles occur in another class."""
-    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """``one`` (class hash) and ``lonely``: how many shingles of a class no other class has; classes without such ones are left out."""
+    parts = mark_parts(texts.sparkSession)
     marks = "part int, owner binary, sizes binary, marks binary, common binary"
 
     def deal(ids, raw, off):
@@ -130,13 +140,19 @@ def linkable(texts: DataFrame, n: int, percent: int) -> DataFrame:
         owner, sizes = column("owner", np.int64), column("sizes", np.uint32).astype(np.int64)
         mark, common = column("marks", np.uint32), np.unique(column("common", np.uint32))
         classes, which = np.unique(owner, return_inverse=True)
-        which = np.repeat(which, sizes)
-        # A class may come from several slices: count each of its marks once.
-        pair = np.unique(mark.astype(np.uint64) << np.uint64(32) | which.astype(np.uint64))
-        mark, which = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        same = mark[1:] == mark[:-1]
-        alone = ~(np.append(same, False) | np.append(False, same)) & ~np.isin(mark, common) if len(mark) else np.zeros(0, bool)
-        lonely = np.bincount(which[alone], minlength=len(classes))
+        which = np.repeat(which.astype(np.uint32), sizes)
+        lonely = np.zeros(len(classes), np.int64)
+        # Equal marks come into one share.
+        shares = np.uint32(-(-len(mark) // MARKS) or 1)
+        share = mark % shares
+        for i in range(shares):
+            here = share == i
+            # A class may come from several slices: count each of its marks once.
+            pair = np.unique(mark[here].astype(np.uint64) << np.uint64(32) | which[here].astype(np.uint64))
+            own = (pair >> np.uint64(32)).astype(np.uint32)
+            same = own[1:] == own[:-1]
+            alone = ~(np.append(same, False) | np.append(False, same)) & ~np.isin(own, common) if len(own) else np.zeros(0, bool)
+            lonely += np.bincount((pair[alone] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(classes))
         classes, lonely = classes[lonely > 0], lonely[lonely > 0]
         home = (classes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
         by = np.argsort(home, kind="stable")
@@ -156,6 +172,42 @@ def linkable(texts: DataFrame, n: int, percent: int) -> DataFrame:
     )
 
 
+def may_hold(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test for a key of ``keys`` (key): always true for one of them, mostly false for others.
+
+    A Bloom filter of two bits a key.  With so many keys that its fixed size is full it is true for more of the others.
+    """
+    spark = keys.sparkSession
+    size = min(FILTER_BITS, max(1 << 15, 1 << (KEY_BITS * keys.count()).bit_length()))
+    bits = F.explode(F.array(F.col("key").bitwiseAND(size - 1), F.shiftrightunsigned("key", 32).bitwiseAND(size - 1))).alias("bit")
+    # Bits and their buckets are counted from 1.
+    bit = F.col("bit") + 1
+    buckets = keys.select(bits).groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
+    whole = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for r in buckets.toLocalIterator():
+        whole[r.bucket - 1] = np.frombuffer(r.bitmap, np.uint8)
+    held = spark.sparkContext.broadcast(whole.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def may(key: pd.Series) -> pd.Series:
+        value = key.to_numpy().view(np.uint64)
+        out = np.ones(len(value), bool)
+        for at in (value, value >> np.uint64(32)):
+            at = (at & np.uint64(size - 1)).astype(np.int64)
+            out &= held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+        return pd.Series(out)
+
+    return may
+
+
+def texts_for(texts: DataFrame, able: DataFrame) -> DataFrame:
+    """node, text and weight of each of ``able`` (node, weight, key); a text that is not of the class may come by an equal key."""
+    keyed = texts.withColumn("key", F.xxhash64("id"))
+    # The texts are dealt by their key already, so that a repeated row goes before it is dealt again.
+    found = keyed.where(may_hold(able)("key")).join(able, "key").dropDuplicates(["key", "id", "node"])
+    return found.select("node", "text", F.col("weight").cast("long").alias("weight"))
+
+
 def sets(texts: DataFrame, n: int) -> DataFrame:
     """node (a class), weight and the sorted shingle hashes, packed."""
 
@@ -279,10 +331,9 @@ def _resolved(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = marked.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(first, F.count("*").alias("weight")).withColumn("node", F.xxhash64("one", "two"))
     lonely = linkable(texts, words, percent)
     able = classes.join(lonely, "one", "left").where(100 * (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))) >= percent * F.col("n_shingles"))
-    # A small side: one 64-bit key finds the text, and ``sets`` tells whether it is the right one.
+    # One 64-bit key finds the text, and ``sets`` tells whether it is the right one.
     able = materialise(spark, able.select("node", F.col("weight").cast("int").alias("weight"), F.xxhash64("first.id").alias("key")), "linkable-classes")
-    chosen = texts.withColumn("key", F.xxhash64("id")).join(able, "key").select("node", "text", F.col("weight").cast("long").alias("weight"))
-    nodes = materialise(spark, sets(chosen, words).dropDuplicates(["node"]), "shingle-sets")
+    nodes = materialise(spark, sets(texts_for(texts, able), words), "shingle-sets")
     found = materialise(spark, compare(nodes, groups(nodes, percent), percent), "links")
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     keepers = joined.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("keeper"))

@@ -128,6 +128,40 @@ def test_near_duplicates_with_repeated_and_missing_ids(spark):
     assert kept == Counter([(7, a), (7, a), (3, b + " end"), (None, least_c), (5, d), (None, ""), (None, None), (7, None)])
 
 
+def test_only_texts_of_linkable_classes_are_joined(spark):
+    texts = make(spark, [(i, "text %d" % i, None) for i in range(20000)]).select(ngram_join.row_key().alias("id"), "text")
+    able = texts.where("id.doc_id % 40 = 7").select(F.col("id.doc_id").alias("node"), F.lit(1).alias("weight"), F.xxhash64("id").alias("key"))
+    may = ngram_join.may_hold(able)
+    kept = {r[0] for r in texts.where(may(F.xxhash64("id"))).select("id.doc_id").collect()}
+    wanted = set(range(7, 20000, 40))
+    assert wanted <= kept and len(kept - wanted) < 0.05 * 20000
+    twice = texts.unionByName(texts.where("id.doc_id < 100"))
+    assert sorted((r.node, r.text, r.weight) for r in ngram_join.texts_for(twice, able).collect()) == [(i, "text %d" % i, 1) for i in sorted(wanted)]
+    assert ngram_join.texts_for(texts, able.where("node < 0")).count() == 0
+
+
+def test_a_full_filter_still_finds_every_text(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 1 << 15)
+    texts = spark.range(60000).select(ngram_join.row_key("id", "id").alias("id"), F.col("id").cast("string").alias("text"))
+    able = texts.where("id.doc_id % 2 = 0").select(F.col("id.doc_id").alias("node"), F.lit(1).alias("weight"), F.xxhash64("id").alias("key"))
+    assert ngram_join.texts_for(texts, able).count() == 30000
+
+
+@pytest.mark.parametrize("partitions", [1, 200])
+def test_marks_are_dealt_to_fewer_parts_and_counted_in_shares(spark, docs, monkeypatch, partitions):
+    texts = docs.select(ngram_join.row_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    count = lambda: sorted(map(tuple, ngram_join.linkable(texts, 4, 85).collect()))
+    want, before = count(), spark.conf.get("spark.sql.shuffle.partitions")
+    assert want
+    monkeypatch.setattr(ngram_join, "MARKS", 50)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert ngram_join.mark_parts(spark) == min(partitions, 50)
+        assert count() == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (9, 8), (8, 7), (5, 5), (7, 3), (20, 21), (None, 4)] + [(100 + i, 101 + i) for i in range(30)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
