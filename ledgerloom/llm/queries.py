@@ -109,8 +109,9 @@ def op8(spark, folder):
 @_query("op9_sentencepiece_sampling")
 def op9(spark, folder):
     drawn = sampling.encode(_table(spark, folder, "documents"), ["doc_id"], decoded=True)
+    # JSON of a list is its ids joined by commas, in brackets.
     return drawn.select(
-        "doc_id", "rank", F.size("ids").alias("n_pieces"), F.md5(F.concat_ws(",", "ids")).alias("ids_md5"),
+        "doc_id", "rank", F.size("ids").alias("n_pieces"), F.md5(F.btrim(F.to_json("ids"), F.lit("[]"))).alias("ids_md5"),
         "log_prob", "perturbed", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

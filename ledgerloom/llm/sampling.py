@@ -39,7 +39,7 @@ SAMPLES = 4
 TEMPERATURE = 1 / 2000
 SEED = 9
 #: Edges remembered, and bytes of text searched at once; neither changes a result.
-_REMEMBERED, _SLICE = 1_000_000, 1 << 18
+_REMEMBERED, _SLICE = 2_500_000, 1 << 17
 _UNUSED = -1e8
 #: Log-probabilities are added as whole numbers of this part, so that sums do not depend on the texts beside them.
 _FIXED = float(1 << 36)
@@ -94,7 +94,7 @@ class Trie:
 
 
 class Lattices:
-    """Lattices of the stretches between spaces, each built once while it is remembered.
+    """Lattices of the stretches between spaces, each built once while it is remembered; those met again are remembered longer.
 
     All lattices lie one after the other in flat arrays: node n has the edges ``first[n]`` to ``first[n + 1]``, the
     longest piece first; an edge has the probability of going on that way (summed up, as a fixed-point logarithm, and
@@ -124,6 +124,7 @@ class Lattices:
         self.piece_ids, self.piece_weight = [(i,) for i in range(len(scores))], scores
         self.others: dict[int, int] = {}
         self._sizes, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._said = self._spoken()
         self._forget()
 
     def _as_bytes(self, symbol: int) -> int:
@@ -134,8 +135,57 @@ class Lattices:
             self.piece_weight.append(2 * self.least)
         return piece
 
+    def _spoken(self) -> pa.Array | None:
+        """What each piece stands for in a decoded text, then the same for a text's first piece.
+
+        None if the model decodes by other rules.
+        """
+        unlike = {b: bytes([v]) for v, b in enumerate(self.bytes)}
+        raw = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        inside = [unlike.get(i, b"" if self.model.is_control(i) else x.replace("▁", " ").encode()) for i, x in enumerate(raw)]
+        first = [x[1:] if r.startswith("▁") else x for x, r in zip(inside, raw)]
+        said = pa.array(inside + first, pa.large_binary())
+        probes = [self.model.encode(x) for x in ("", "a", "  two  spaces ", "naïve 龘\n\ttab \x00", "x 😀▁▁ é")]
+        probes += [self.bytes[0x41:0x44], probes[2][1:], [i for i, x in enumerate(raw) if "▁" in x[1:]][:50]]
+        offsets = np.cumsum([0] + [len(x) for x in probes])
+        plain = _joined(said, np.fromiter(chain.from_iterable(probes), np.int32, int(offsets[-1])), offsets)
+        return said if plain.to_pylist() == [self.model.decode(x) for x in probes] else None
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The text of each list of ids, as the model decodes it; the bytes in ``ids`` make whole characters."""
+        if self._said is None:
+            return pa.array([self.model.decode(ids[a:b].tolist()) for a, b in pairwise(offsets.tolist())], pa.string())
+        return _joined(self._said, ids, offsets)
+
+    def _fade(self) -> None:
+        """Forget the stretches not met again since the last time, and more if the others are many."""
+        runs, begin = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        length, uses, least = np.fromiter(map(len, runs), np.int64, len(runs)), self._uses[begin], 2
+        cost = self.first[begin + length] - self.first[begin]
+        while cost[uses >= least].sum() > _REMEMBERED // 2:
+            least *= 2
+        held = np.flatnonzero(uses >= least)
+        node = ragged(begin[held], length[held])
+        degree = self.first[node + 1] - self.first[node]
+        edge = ragged(self.first[node], degree)
+        moved = np.full(len(self.first), -1, np.int32)
+        moved[node] = np.arange(len(node))
+        # Place -1 of ``moved`` is no node: the end of a stretch stays one.
+        end = moved[self.end[edge]]
+        kept = {name: getattr(self, name)[edge] for name in ("reached", "rest", "step", "piece")}
+        self._forget()
+        start = np.cumsum(length[held]) - length[held]
+        self.known = dict(zip([runs[i] for i in held.tolist()], start.tolist()))
+        self.nodes, self.edges, self.end = len(node), len(edge), end
+        self.first = np.concatenate((self.first, np.cumsum(degree)))
+        for name, values in kept.items():
+            setattr(self, name, values)
+        self._uses = np.zeros(len(node), np.int64)
+        self._uses[start] = 1
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self._uses = np.zeros(0, np.int64)
         self.nodes = self.edges = 0
         self._new: list[str] = []
         self._pending = 0
@@ -206,7 +256,9 @@ class Lattices:
         for name, values in (("reached", up), ("rest", rest), ("step", np.rint(step * _FIXED)), ("end", end), ("piece", piece)):
             held = getattr(self, name)
             if self.edges > len(held):
-                held = np.resize(held, max(2 * len(held), self.edges)) if len(held) else np.empty(self.edges, held.dtype)
+                longer = np.empty(max(2 * len(held), self.edges), held.dtype)
+                longer[:used] = held[:used]
+                held = longer
                 setattr(self, name, held)
             held[used : self.edges] = values
         self.first = np.concatenate((self.first, self.first[-1] + begin + degree))
@@ -214,8 +266,11 @@ class Lattices:
 
     def stretches(self, text: str) -> list[int]:
         """First nodes of a text's stretches, each of which starts with its spaces."""
-        out, known = [], self.known
-        for run in _STRETCH.findall(self.model.normalize(text)) if text else ():
+        known = self.known
+        runs = _STRETCH.findall(self.model.normalize(text)) if text else []
+        out = list(map(known.get, runs))
+        for i in [i for i, node in enumerate(out) if node is None] if None in out else ():
+            run = runs[i]
             node = known.get(run)
             if node is None:
                 node = known[run] = self.nodes
@@ -224,7 +279,7 @@ class Lattices:
                 self._pending += len(run)
                 if self._pending > _SLICE:
                     self._settle()
-            out.append(node)
+            out[i] = node
         return out
 
     def _walk(self, start: np.ndarray, seed: np.ndarray, fixed: np.ndarray, edge: np.ndarray):
@@ -273,12 +328,15 @@ class Lattices:
         All texts go through the search together, one path a round; a row's numbers come from its key alone.
         """
         if self.edges > _REMEMBERED:
-            self._forget()
+            self._fade()
         lists = [self.stretches(t) for t in texts]
         self._settle()
         count = np.array([len(x) for x in lists], np.int64)
         begin = np.cumsum(count) - count
         starts = np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum()))
+        met, times = np.unique(starts, return_counts=True)
+        self._uses = np.concatenate((self._uses, np.zeros(self.nodes - len(self._uses), np.int64)))
+        self._uses[met] += times
         root = -np.log(-np.log(_uniform(mix(keys ^ _ROOT), 0)))
         blank = np.flatnonzero(count == 0)
         found = [(blank, np.zeros(len(blank), np.int64), np.zeros(len(blank), np.int64), np.zeros(len(blank)), root[blank])]
@@ -370,6 +428,16 @@ class Lattices:
         return [(ids[a:b].tolist(), *map(float, s)) for a, b, *s in zip(offsets, offsets[1:], *scores)]
 
 
+def _joined(said: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The strings of each list of ids in ``said``, joined; its second half holds those for the first id of a list."""
+    own = ids.astype(np.int32)
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    own[heads] += len(said) // 2
+    _, at, data = said.take(pa.array(own)).buffers()
+    at = np.frombuffer(at, np.int64)[: len(own) + 1][offsets] if len(own) else np.zeros(len(offsets), np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(at.tobytes()), data]).cast(pa.large_string()).cast(pa.string())
+
+
 def _uniform(seed: np.ndarray, turn: int) -> np.ndarray:
     """A number above 0 and under 1 for each seed."""
     x = mix(seed + np.uint64((turn + 1) * int(_GOLDEN) & (1 << 64) - 1))
@@ -437,7 +505,7 @@ def encode(
                 drawn = [pa.array(rank, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
                 columns = [part.column(2 + c).take(pa.array(row)) for c in range(len(key))] + drawn + [pa.array(x) for x in scores]
                 if decoded:
-                    columns.append(pa.array([lattices.model.decode(ids[a:b].tolist()) for a, b in pairwise(offsets.tolist())], pa.string()))
+                    columns.append(lattices.decode_all(ids, offsets))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     chosen = table.select(F.col("text").cast("string").alias("_text"), F.xxhash64(*key).alias("_own"), *key)

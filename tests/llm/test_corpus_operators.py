@@ -630,6 +630,37 @@ def test_decoded_by_the_same_workers(spark):
         assert r.decoded == r.back
 
 
+def test_lists_of_ids_decode_together_as_one_by_one():
+    lattices = sampling._lattices(sampling._path(None), sampling.TEMPERATURE)
+    texts = ["", " ", "   ", "a", " a  b ", "naïve 龘\n\ttab", "\x00x", "▁x▁", "\r\n\xa0", "😀é\u200b\ufffd", "ﬁ Å x", "aaaaaaaaaaaa bb " * 30]
+    _, offsets, ids, *_ = lattices.sample_all(texts, np.arange(len(texts)).astype(np.uint64), 4)
+    lists = [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])] + [lattices.model.encode(t) for t in texts] + [[lattices.pieces["x"]], []]
+    offsets = np.cumsum([0] + [len(x) for x in lists])
+    together = lattices.decode_all(np.array([i for x in lists for i in x], np.int32), offsets)
+    assert together.type == pa.string() and together.to_pylist() == [lattices.model.decode(x) for x in lists]
+    assert lattices._said is not None
+    none = lattices.decode_all(np.zeros(0, np.int32), np.zeros(4, np.int64))
+    assert none.to_pylist() == ["", "", ""]
+
+
+def test_stretches_met_again_are_remembered_longer(monkeypatch):
+    rng = random.Random(3)
+    texts = ["the cat sat on the mat %s %s" % ("".join(rng.choices("abcdefgh", k=8)), rng.choice(["naïve", "龘 x", ""])) for _ in range(60)]
+    keys = np.arange(len(texts)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    together = [x.tolist() for x in sampling.Lattices(sampling._path(None), sampling.TEMPERATURE).sample_all(texts, keys, 4)]
+    monkeypatch.setattr(sampling, "_REMEMBERED", 300)
+    small, met, settled = sampling.Lattices(sampling._path(None), sampling.TEMPERATURE), [], []
+    known = small._settle
+    monkeypatch.setattr(small, "_settle", lambda: (settled.extend(small._new), known()))
+    for i, t in enumerate(texts):
+        met.append(small.sample_all([t], keys[i : i + 1], 4))
+    assert together[2] == np.concatenate([x[2] for x in met]).tolist()
+    for column in (3, 4, 5):
+        assert np.allclose(together[column], np.concatenate([x[column] for x in met]), rtol=1e-9, atol=1e-12)
+    # Built once, though the others are forgotten again and again.
+    assert settled.count("▁cat") == 1 and len(small.known) < 60 and "▁cat" in small.known
+
+
 def test_long_stretches_are_one_lattice():
     lattices = sampling._lattices(sampling._path(None), sampling.TEMPERATURE)
     weight = lattices.piece_weight
