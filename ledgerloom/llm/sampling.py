@@ -124,6 +124,7 @@ class Lattices:
         self.piece_ids, self.piece_weight = [(i,) for i in range(len(scores))], scores
         self.others: dict[int, int] = {}
         self._sizes, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._weight = np.zeros(0)
         self._said = self._spoken()
         self._forget()
 
@@ -226,7 +227,9 @@ class Lattices:
         symbol = np.frombuffer("".join(self._new).encode("utf-32-le"), np.uint32).astype(np.int64)
         stop = np.repeat(np.cumsum(lengths), lengths)
         degree, length, piece = self._edges(symbol, stop)
-        weight = np.array(self.piece_weight)[piece]
+        if len(self._weight) < len(self.piece_weight):
+            self._weight = np.array(self.piece_weight)
+        weight = self._weight[piece]
         begin = np.cumsum(degree) - degree
         node = np.repeat(np.arange(len(degree)), degree)
         after = node + length
@@ -242,14 +245,14 @@ class Lattices:
             mass = weight[edges] + behind[after[edges]]
             top = np.maximum.reduceat(mass, heads)
             behind[same] = top + np.log(np.add.reduceat(np.exp(mass - np.repeat(top, degree[same])), heads))
-        step = weight + behind[after] - behind[node]
+        step = weight + behind[after] - np.repeat(behind[:-1], degree)
         share = np.exp(step)
         # What the other edges of the node have; at most one edge has more than half, and there the others are added up.
         small = np.where(share > 0.5, 0.0, share)
-        rest = np.where(share > 0.5, np.add.reduceat(small, begin)[node], np.maximum(np.add.reduceat(share, begin)[node] - share, 0.0))
-        rest[degree[node] == 1] = 0.0
+        rest = np.where(share > 0.5, np.repeat(np.add.reduceat(small, begin), degree), np.maximum(np.repeat(np.add.reduceat(share, begin), degree) - share, 0.0))
+        rest[begin[degree == 1]] = 0.0
         up = np.cumsum(share)
-        up -= np.concatenate(([0.0], up))[begin][node]
+        up -= np.repeat(np.concatenate(([0.0], up))[begin], degree)
         up[begin + degree - 1] = 1.0
         used, self.edges = self.edges, self.edges + len(piece)
         end = np.where(final, -1, after + old)
@@ -306,9 +309,15 @@ class Lattices:
             on = self.end[e]
             going = np.flatnonzero(on >= 0)
             active, node, t = active[going], on[going].astype(np.int64), t + 1
-        walker = np.concatenate(walkers)
-        order = np.argsort(walker, kind="stable")
-        return walker[order], np.concatenate(nodes)[order], np.concatenate(edges)[order], np.concatenate(numbers)[order]
+        size = np.bincount(np.concatenate(walkers), minlength=len(start))
+        out = [np.empty(int(size.sum()), kind) for kind in (np.int64, np.int64, np.float64)]
+        # A walker's steps lie one after the other.
+        place = np.cumsum(size) - size
+        for t, walker in enumerate(walkers):
+            at = place[walker] + t
+            for whole, part in zip(out, (nodes, edges, numbers)):
+                whole[at] = part[t]
+        return np.repeat(np.arange(len(start)), size), *out
 
     def _reopen(self, node: np.ndarray, shut: np.ndarray, drawn: np.ndarray):
         """An edge of each node that is not shut, the share of the others that are free, and the bits then shut."""
