@@ -309,14 +309,18 @@ def _at_places(files: DataFrame, places: DataFrame, order: str) -> DataFrame:
     return files.join(wanted, same, "left_semi")
 
 
+def fresh_places(files: DataFrame, existing: DataFrame, order: str = "idx") -> DataFrame:
+    """(tenant_id, checksum, place) of the first file of each checksum that is unknown to the tenant's archive."""
+    known = existing.select("tenant_id", "checksum").distinct()
+    return _first_places(files, order).join(known, ["tenant_id", "checksum"], "left_anti")
+
+
 def ingest_dedup(files: DataFrame, existing: DataFrame, order: str = "idx") -> DataFrame:
     """New files: first of their checksum and unknown to the tenant's archive.
 
     Trashed documents still count as existing.  Which files stay is decided on keys and places alone.
     """
-    known = existing.select("tenant_id", "checksum").distinct()
-    fresh = _first_places(files, order).join(known, ["tenant_id", "checksum"], "left_anti")
-    return _at_places(files, fresh, order)
+    return _at_places(files, fresh_places(files, existing, order), order)
 
 
 def two_earliest_ids(df: DataFrame, keys: list[str]) -> DataFrame:

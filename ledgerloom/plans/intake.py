@@ -194,7 +194,7 @@ docs AS (SELECT tenant_id, id, checksum, document_type, gate_score, text, has_te
 
 def _run_intake(a: Archive, index=None) -> str:
     folder = shared_folder(a.spark, "arrivals")
-    a.table("corpus", heavy=True).withColumn("original_filename", F.concat(F.col("title"), F.lit(".txt"))).write.parquet(folder)
+    a.table("corpus", heavy=True).withColumn("original_filename", F.concat(F.col("title"), F.lit(".txt"))).write.option("compression", "zstd").parquet(folder)
     rows = a.spark.readStream.schema(a.spark.read.parquet(folder).schema).parquet(folder)
     allowed = agg.budget_allowed(a.table("tenants"), a.table("ai_usage"), datetime.datetime(2024, 1, 31))
     path = shared_folder(a.spark, "intake")

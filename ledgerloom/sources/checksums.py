@@ -37,5 +37,5 @@ class ChecksumStore:
 
     def add(self, files: DataFrame, batch_id: int) -> None:
         rows = files.select("tenant_id", "checksum", "id", prefix_of(F.col("checksum")).alias("prefix"), F.lit(batch_id).cast("bigint").alias("batch_id"))
-        to = rows.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        to = rows.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         to.partitionBy("prefix", "batch_id").parquet(self.path)

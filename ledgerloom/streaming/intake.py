@@ -2,7 +2,8 @@
 
 A batch is staged once, so every step sees the same rows.  Its checksums are compared with those of earlier
 batches (only the prefixes that occur in the batch are read); new documents are extracted, scored and routed.
-All tables are written under the batch's number:
+Which rows are new is kept as a bit per staged row, so texts are read where they lie and not shuffled.  The staged
+rows go when their documents are processed.  All tables are written under the batch's number:
 
 * ``path``: documents, ``batch_id=N``;
 * ``path.state/queue``: documents that wait for the model, with the mode of the call;
@@ -19,15 +20,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import AuditLog
 from ..operators.extract import extract_candidates, model_input_mode
 from ..operators.gate import score_candidates
-from ..operators.joins import ingest_dedup
+from ..operators.joins import fresh_places
 from ..operators.routing import decide
 from ..operators.search_index import SearchIndex
+from ..session import materialise
 from ..sources.checksums import ChecksumStore
 
 OUTPUT = (
@@ -68,36 +70,75 @@ def process_documents(docs: DataFrame, allowed: DataFrame | None = None) -> Data
     return decide(joined)
 
 
+#: Rows of a staged file and of a block of bits.
+BLOCK = 32768
+
+
+def _put(rows: DataFrame, path: str) -> None:
+    # Digests in hexadecimal are a large part of the bytes; zstd halves them and snappy keeps them.
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def _staged(batch: DataFrame, path: str) -> DataFrame:
     """The batch as a table of its own, with checksums and a place that differs from row to row."""
     filled = batch.select("*", *[F.expr(e).alias(c) for c, e in DEFAULTS.items() if c not in batch.columns])
-    filled.withColumn("checksum", F.sha2("text", 256)).write.mode("overwrite").parquet(path)
+    # Small files share the work on them out evenly.
+    to = filled.withColumn("checksum", F.sha2("text", 256)).write.mode("overwrite").option("maxRecordsPerFile", BLOCK)
+    to.option("compression", "zstd").parquet(path)
     place = F.struct(F.col("id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     return batch.sparkSession.read.parquet(path).withColumn("idx", place)
 
 
+def _fresh(staged: DataFrame, known: DataFrame, path: str) -> DataFrame:
+    """The staged rows that ``ingest_dedup`` keeps.
+
+    The keys and places are shuffled (checksums as bytes); what they say is stored as one bit per staged row, a block
+    of bits per file, small enough to be joined to the rows where they lie.
+    """
+    digest = F.unhex("checksum").alias("checksum")
+    places = fresh_places(staged.select("tenant_id", digest, "idx"), known.select("tenant_id", digest))
+    number = F.col("idx.row") + 1  # Spark's bitmaps count from 1
+    block = (F.col("idx.file").alias("_file"), F.bitmap_bucket_number(number).alias("_block"))
+    bits = places.groupBy(*block).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"))
+    _put(bits, path)
+    bit = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (bit % 8).cast("int")) == 1
+    marked = staged.withColumns({"_file": block[0], "_block": block[1]})
+    return marked.join(staged.sparkSession.read.parquet(path), ["_file", "_block"]).where(is_set).drop("_file", "_block", "_bits")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def batch_writer(path: str, allowed: DataFrame | None = None, index: SearchIndex | None = None) -> Callable[[DataFrame, int], None]:
     """The per-batch job; input rows have id, tenant_id, text and what of ``DEFAULTS`` the source knows."""
     job = Job(path, allowed, index)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        staged = _staged(batch, f"{job.state}/staged/batch_id={batch_id}")
+        stage = f"{job.state}/staged/batch_id={batch_id}"
+        staged = _staged(batch, stage)
         store = ChecksumStore(spark, f"{job.state}/checksums")
         store.create()
-        fresh = ingest_dedup(staged, store.known(staged, batch_id))
+        fresh = _fresh(staged, store.known(staged, batch_id), f"{job.state}/fresh/batch_id={batch_id}")
+        # A row per tenant: written first, its size is known when the join is planned, and the texts need not move for it.
+        may = None if job.allowed is None else materialise(spark, job.allowed.select("tenant_id", "allowed"), "allowed")
         done = f"{job.state}/processed/batch_id={batch_id}"
-        process_documents(fresh, job.allowed).drop("idx").write.mode("overwrite").parquet(done)
+        _put(process_documents(fresh, may).withColumn("mode", model_input_mode()).drop("idx", "text"), done)
         processed = spark.read.parquet(done)
+        if job.index is not None:
+            job.index.apply(batch_id + 1, fresh.select("tenant_id", "id", "title", "original_filename", "text"))
+        _removed(spark, stage)
 
         queue = processed.where("queued AND extraction_status <> 'skipped_budget'")
-        queue.select("id", "tenant_id", model_input_mode().alias("mode")).write.mode("overwrite").parquet(f"{job.state}/queue/batch_id={batch_id}")
+        _put(queue.select("id", "tenant_id", "mode"), f"{job.state}/queue/batch_id={batch_id}")
         AuditLog(spark, f"{job.state}/audit").append(_events(processed), f"{batch_id:020d}")
-        if job.index is not None:
-            job.index.apply(batch_id + 1, processed.select("tenant_id", "id", "title", "original_filename", "text"))
         store.add(processed, batch_id)
         # The documents come last: a reader that sees a batch sees all of it.
-        processed.select(*OUTPUT).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        _put(processed.select(*OUTPUT), f"{path}/batch_id={batch_id}")
 
     return write
 
