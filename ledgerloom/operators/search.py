@@ -229,11 +229,9 @@ def trigrams(text: str) -> list[str]:
 
 
 def trigram_column(name: Column) -> Column:
-    def of_word(word: Column) -> Column:
-        padded = F.concat(F.lit("  "), word, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(3)))
-
-    return F.flatten(F.transform(words(name), of_word))
+    # The words, padded and apart by line ends, are read by one pattern: runs of three that cross no line end.
+    apart = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " \n  ")
+    return F.regexp_extract_all(F.concat(F.lit("  "), apart, F.lit(" ")), F.lit(r"(?=(?!   )([^\n]{3}))(?s:.)"), 1)
 
 
 def word_similarity(q: str, name: Column) -> Column:

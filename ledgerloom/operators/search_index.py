@@ -28,6 +28,8 @@ from . import search as se
 from .filters import PAGE_SIZE, page, relative_date, sort_columns
 
 SPANS, SLOTS = 16, 256
+#: Most bits that tell which documents a merge may touch; 16 for each edited document as long as that is less.
+EDIT_BITS = 1 << 25
 #: Tenant under which the index keeps its own state.
 _OWN = "-"
 
@@ -206,16 +208,24 @@ class SearchIndex:
         spark, catalog = self.catalog.spark, self.catalog
         edits = catalog.system("edits").where((F.col("version") > self.merged()) & (F.col("version") <= upto))
         last = materialise(spark, edits.groupBy(TENANT, "id").agg(F.max("version").alias("version")), "edits")
+        bits = _bits_for(last)
+        spots = materialise(spark, _spots(last, bits), "edit-bits") if bits else None
         touched = None
         for name, keys in (("words", (TENANT, "span")), ("names", (TENANT,))):
             base, new = catalog.system(name), catalog.system(f"new_{name}")
-            gone = base.join(last.select(TENANT, "id"), [TENANT, "id"], "left_semi")
+            # Only rows whose bit is set meet the edits by id; the others stay where they lie until they are laid out.
+            sure, doubtful = _by_bit(base, spots, bits) if bits else (base.limit(0), base)
+            met = doubtful.join(last.select(TENANT, "id", F.lit(True).alias("gone")), [TENANT, "id"], "left")
+            met = materialise(spark, met, f"doubtful-{name}")
             added = new.join(last, [TENANT, "id", "version"], "left_semi").drop("version")
-            ranges = materialise(spark, gone.select(*keys).unionByName(added.select(*keys)).distinct(), f"touched-{name}")
-            kept = base.join(ranges, list(keys), "left_semi").join(last.select(TENANT, "id"), [TENANT, "id"], "left_anti")
-            whole = materialise(spark, kept.where("id IS NOT NULL").unionByName(added), f"merged-{name}")
+            ranges = materialise(spark, met.where("gone").select(*keys).unionByName(added.select(*keys)).distinct(), f"touched-{name}")
+            kept = sure.unionByName(met.where("gone IS NULL").drop("gone")).join(ranges, list(keys), "left_semi")
+            whole = kept.where("id IS NOT NULL").unionByName(added)
             # A range whose last row went away keeps one void row, as an empty partition cannot be overwritten.
-            left = ranges.join(whole.select(*keys).distinct(), list(keys), "left_anti")
+            lost = met.where("gone").groupBy(*keys).agg(F.count("*").alias("lost"))
+            there = base.where("id IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("there"))
+            emptied = lost.join(there, list(keys)).where("lost = there").select(*keys)
+            left = materialise(spark, emptied.join(added.select(*keys), list(keys), "left_anti"), f"left-{name}")
             void = left.select(*[F.col(f.name) if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name) for f in whole.schema])
             catalog.replace_partitions(name, whole.unionByName(void), keys[1:], ("lexeme", "id") if name == "words" else ("trigram", "id"))
             touched = ranges if touched is None else touched
@@ -223,6 +233,35 @@ class SearchIndex:
         return touched
 
 
+def _bits_for(docs: DataFrame) -> int:
+    """How many bits to keep for so many documents: a power of two that Spark will broadcast; 0 if it would say too little."""
+    most = 4 * docs.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    n = docs.count()
+    bits = min(EDIT_BITS, 1 << (16 * max(n, 1)).bit_length(), 1 << max(0, most.bit_length() - 1) if most > 0 else 0)
+    return bits if bits >= max(64, n) else 0
+
+
+def _spot(bits: int) -> Column:
+    return F.pmod(F.xxhash64(TENANT, "id"), F.lit(bits))
+
+
+def _word(bits: int) -> Column:
+    return F.shiftright(_spot(bits), 6).cast("int").alias("word")
+
+
+def _spots(docs: DataFrame, bits: int) -> DataFrame:
+    """The documents' bits, in words of 64: (word, flags), small enough to be joined to rows where they lie."""
+    spot = docs.select(_word(bits), (_spot(bits) % 64).cast("int").alias("bit"))
+    return spot.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("flags"))
+
+
+def _by_bit(rows: DataFrame, spots: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that belong to none of the documents of ``spots``, and rows that may."""
+    flagged = rows.withColumn("word", _word(bits)).join(spots, "word", "left")
+    may = F.coalesce(F.getbit("flags", (_spot(bits) % 64).cast("int")), F.lit(0)) == 1
+    return flagged.where(~may).select(*rows.columns), flagged.where(may).select(*rows.columns)
+
+
 def _names(docs: DataFrame) -> DataFrame:
     """(tenant_id, id, trigram) of the titles and file names."""
     both = F.concat(se.trigram_column(F.coalesce("title", "original_filename")), se.trigram_column(F.col("original_filename")))

@@ -41,7 +41,10 @@ class Catalog:
         return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def replace_partitions(self, name: str, rows: DataFrame, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> None:
-        """Overwrite only the partitions that ``rows`` has rows of.  ``rows`` must not read this table."""
+        """Overwrite only the partitions that ``rows`` has rows of.
+
+        ``rows`` may read this table: a dynamic overwrite puts its files in place when all of them are written.
+        """
         to = self._laid(rows, by, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         to.partitionBy(TENANT, *by).parquet(self.path(name))
 
