@@ -80,7 +80,7 @@ def lexeme_table(docs: DataFrame, english: bool = True, keys: tuple[str, ...] =
         forms = found.withColumn("forms", _normal_forms(F.transform("words", lambda w: w["lexeme"])))
         stemmed = F.zip_with("forms", "words", lambda f, w: F.struct(f.alias("lexeme"), w["position"].alias("position")))
         found = forms.select(*keys, F.filter(stemmed, lambda w: w["lexeme"].isNotNull()).alias("words"))
-    return found.select(*keys, F.inline(bind(F.array_sort("words"), _gathered)))
+    return found.select(*keys, F.inline(bind(F.sort_array("words"), _gathered)))
 
 
 def _placed(body: Column) -> Column:
